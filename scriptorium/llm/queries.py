@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import sharding, url_filter
+from scriptorium.llm import chat, sharding, url_filter
 
 QUERIES = {
+    "op7_reply_trees": chat.op7_reply_trees,
     "op9_hypergeometric_shards": sharding.op9_hypergeometric_shards,
     "op10_redirect_equivalence": url_filter.op10_redirect_equivalence,
 }
 
 ORACLE_SQL = {
+    "op7_reply_trees": chat.ORACLE_SQL,
     "op10_redirect_equivalence": url_filter.ORACLE_SQL,
 }
