@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import chat, sharding, url_filter
+from scriptorium.llm import chat, media, sharding, url_filter
 
 QUERIES = {
+    "op6_transport_streams": media.op6_transport_streams,
     "op7_reply_trees": chat.op7_reply_trees,
     "op9_hypergeometric_shards": sharding.op9_hypergeometric_shards,
     "op10_redirect_equivalence": url_filter.op10_redirect_equivalence,
