@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import chat, media, sharding, url_filter
+from scriptorium.llm import chat, media, sharding, toxicity, url_filter
 
 QUERIES = {
+    "op1_string_kernel_toxicity": toxicity.op1_string_kernel_toxicity,
     "op6_transport_streams": media.op6_transport_streams,
     "op7_reply_trees": chat.op7_reply_trees,
     "op9_hypergeometric_shards": sharding.op9_hypergeometric_shards,
