@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import chat, media, sharding, toxicity, url_filter
+from scriptorium.llm import chat, media, quality, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_string_kernel_toxicity": toxicity.op1_string_kernel_toxicity,
     "op6_transport_streams": media.op6_transport_streams,
     "op7_reply_trees": chat.op7_reply_trees,
+    "op8_positive_unlabelled_quality": quality.op8_positive_unlabelled_quality,
     "op9_hypergeometric_shards": sharding.op9_hypergeometric_shards,
     "op10_redirect_equivalence": url_filter.op10_redirect_equivalence,
 }

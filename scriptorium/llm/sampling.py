@@ -21,3 +21,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, most:
     chosen = reduce(DataFrame.unionAll, lots)
     found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+
+
+def hashed_lot(rows: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most ``most`` rows, those whose ``doc_id`` has the smallest keyed hashes."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
