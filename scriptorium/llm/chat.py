@@ -84,7 +84,8 @@ def enumerate_paths(nodes: DataFrame) -> DataFrame:
     for k in reversed(range(len(jumps))):
         jump = jumps[k].select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), "above")
         moved = paths.join(jump, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n")))
-        paths = paths.unionAll(moved.select("tree_id", "leaf_id", F.col("above").alias("node_id"), (F.col("up") + 2**k).alias("up")))
+        moved = moved.select("tree_id", "leaf_id", F.col("above").alias("node_id"), (F.col("up") + 2**k).alias("up"))
+        paths = cut(paths.unionAll(moved))
     return paths
 
 
@@ -97,13 +98,25 @@ def _span_step(acc: Column, turn: Column) -> Column:
     return F.struct((acc["at"] + header + size + len(END) + 1).cast("long").alias("at"), spans.alias("spans"))
 
 
+def rank_branches(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """(tree_id, leaf_id, path_score, branch_rank), from ids and scores alone."""
+    worth = nodes.select(
+        F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")
+    )
+    branches = (
+        paths.join(worth, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n")))
+        .groupBy("tree_id", "leaf_id")
+        .agg(F.sum("score").alias("path_score"))
+    )
+    return rank_in_groups(branches, ["tree_id"], [-F.col("path_score"), F.col("leaf_id")], "branch_rank")
+
+
 def format_paths(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """(tree_id, leaf_id, branch_rank, path_score, n_turns, formatted, loss_spans), where
     branches of a tree rank by the sum of their nodes' scores, then by leaf id."""
     said = nodes.select(
         F.col("tree_id").alias("t"),
         F.col("node_id").alias("n"),
-        F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
         (F.coalesce("role", F.lit("")) == "assistant").alias("speaks"),
         escape_role(F.coalesce("role", F.lit(""))).alias("role"),
         escape(F.coalesce("text", F.lit(""))).alias("text"),
@@ -112,20 +125,18 @@ def format_paths(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     whole = (
         paths.join(said, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n")))
         .groupBy("tree_id", "leaf_id")
-        .agg(F.sum("score").alias("path_score"), F.sort_array(F.collect_list(turn)).alias("turns"))
+        .agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     )
     first = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["text"], F.lit(END + "\n"))), "")
     made = whole.select(
         "tree_id",
         "leaf_id",
-        "path_score",
         F.size("turns").cast("long").alias("n_turns"),
         text.alias("formatted"),
         F.aggregate("turns", first, _span_step)["spans"].alias("loss_spans"),
     )
-    ranks = rank_in_groups(made.select("tree_id", "leaf_id", "path_score"), ["tree_id"], [-F.col("path_score"), F.col("leaf_id")], "branch_rank")
-    ranks = ranks.select(F.col("tree_id").alias("t"), F.col("leaf_id").alias("l"), "branch_rank")
+    ranks = rank_branches(nodes, paths).select(F.col("tree_id").alias("t"), F.col("leaf_id").alias("l"), "path_score", "branch_rank")
     same = F.col("tree_id").eqNullSafe(F.col("t")) & F.col("leaf_id").eqNullSafe(F.col("l"))
     return made.join(ranks, same).select("tree_id", "leaf_id", "branch_rank", "path_score", "n_turns", "formatted", "loss_spans")
 
