@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import chat, media, quality, sharding, toxicity, url_filter
+from scriptorium.llm import chat, media, near_dup, quality, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_string_kernel_toxicity": toxicity.op1_string_kernel_toxicity,
+    "op5_chosen_path_near_dup": near_dup.op5_chosen_path_near_dup,
     "op6_transport_streams": media.op6_transport_streams,
     "op7_reply_trees": chat.op7_reply_trees,
     "op8_positive_unlabelled_quality": quality.op8_positive_unlabelled_quality,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_chosen_path_near_dup": near_dup.ORACLE_SQL,
     "op7_reply_trees": chat.ORACLE_SQL,
     "op10_redirect_equivalence": url_filter.ORACLE_SQL,
 }
