@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import chat, media, near_dup, quality, sharding, toxicity, url_filter
+from scriptorium.llm import chat, media, near_dup, piece_dropout, quality, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_string_kernel_toxicity": toxicity.op1_string_kernel_toxicity,
+    "op2_merge_dropout_pieces": piece_dropout.op2_merge_dropout_pieces,
     "op5_chosen_path_near_dup": near_dup.op5_chosen_path_near_dup,
     "op6_transport_streams": media.op6_transport_streams,
     "op7_reply_trees": chat.op7_reply_trees,
