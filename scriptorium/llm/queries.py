@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import chat, media, near_dup, piece_dropout, quality, sharding, token_counts, toxicity, url_filter
+from scriptorium.llm import chat, decontamination, media, near_dup, piece_dropout, quality, sharding, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_string_kernel_toxicity": toxicity.op1_string_kernel_toxicity,
     "op2_merge_dropout_pieces": piece_dropout.op2_merge_dropout_pieces,
     "op3_edit_aware_token_counts": token_counts.op3_edit_aware_token_counts,
+    "op4_bm25_decontamination": decontamination.op4_bm25_decontamination,
     "op5_chosen_path_near_dup": near_dup.op5_chosen_path_near_dup,
     "op6_transport_streams": media.op6_transport_streams,
     "op7_reply_trees": chat.op7_reply_trees,
