@@ -46,3 +46,22 @@ def map_arrow(df: DataFrame, schema: T.StructType | str, step: Callable[[pa.Reco
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as the frame has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_column_of_text(df: DataFrame, name: str, kind: T.DataType, step: Callable[[list[bytes]], object]) -> DataFrame:
+    """All columns of ``df(text, ...)`` and ``name``, which ``step`` makes of the texts."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
+    columns = df.columns
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {c: batch.column(n) for n, c in enumerate(columns)} | {name: step(texts(batch))}
+
+    return map_arrow(df, schema, run)

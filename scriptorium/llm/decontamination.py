@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scriptorium.llm.arrow import map_arrow, texts
+from scriptorium.llm.arrow import fresh_name, map_arrow, texts, with_column_of_text
 from scriptorium.session import table
 
 K1, B = 1.2, 0.75
@@ -271,6 +272,26 @@ def _pass(rows: DataFrame, shared, threshold: float, overlap: float) -> DataFram
     return map_arrow(rows, SCHEMA, step)
 
 
+def with_flag(documents: DataFrame, benchmark: DataFrame, name: str, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """``documents(text, ...)`` and ``name``: true where a text holds an item of ``benchmark(item_id, text)``."""
+    spark, flags = documents.sparkSession, []
+    for items in _slices(benchmark):
+        index = build_index(items)
+        if index is not None:
+            flags.append(fresh_name(documents, f"{name}_{len(flags)}"))
+            documents = with_column_of_text(documents, flags[-1], T.BooleanType(), _flags(spark.sparkContext.broadcast(index), threshold, overlap))
+    flag = F.greatest(F.lit(False), F.lit(False), *flags)
+    return documents.withColumn(name, flag).drop(*flags)
+
+
+def _flags(shared, threshold: float, overlap: float):
+    def step(own: list[bytes]) -> list[bool]:
+        held = {f[0] for f in find(shared.value, own, threshold, overlap)}
+        return [n in held for n in range(len(own))]
+
+    return step
+
+
 def op4_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that it holds."""
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

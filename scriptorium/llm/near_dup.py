@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.arrow import map_arrow, texts
+from scriptorium.llm.arrow import fresh_name, map_arrow, texts
 from scriptorium.llm.components import connected_components
 from scriptorium.session import cut, table
 
@@ -314,23 +314,47 @@ def linked_sets(sets: DataFrame, keys: DataFrame, documents: DataFrame, k: int,
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of ``documents(doc_id, text)``."""
+    """(doc_id, row_key, n_shingles, component_id, kept, stays) of each row of
+    ``documents(doc_id, text)``. ``row_key`` is a hash of id and text; ``stays`` marks one
+    row_key of each component: that of the smallest id, or without ids the smallest."""
     rows = cut(with_sets(documents, k))
     full = rows.where("set_id is not null")
     sets = cut(full.groupBy("set_id").agg(F.first("tokens").alias("tokens"), F.min("row_key").alias("row_key")))
     label = linked_sets(sets.select("set_id", "tokens"), sets.select("set_id", "row_key"), documents, k, percent, trees)
-    part = F.coalesce("component", "set_id")
-    named = full.join(label, full["set_id"] == label["node"], "left").select("doc_id", "n_shingles", part.alias("part"))
-    least = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    grouped = named.join(least, "part").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    named = full.join(label, full["set_id"] == label["node"], "left").select(
+        "doc_id", "row_key", "n_shingles", F.coalesce("component", "set_id").alias("part")
+    )
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("row_key").alias("first")))
+    least = named.groupBy("part").agg(first.alias("least")).select("part", F.col("least.doc_id").alias("component_id"), "least.first")
+    grouped = named.join(least, "part").select("doc_id", "row_key", "n_shingles", "component_id", (F.col("row_key") == F.col("first")).alias("stays"))
+    alone = rows.where("set_id is null").select("doc_id", "row_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return grouped.unionAll(alone).withColumn("kept", kept)
 
 
+def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
+    """``documents(doc_id, text, ...)`` with one row of each component; rows without a set all stay."""
+    key = fresh_name(documents, "row_key")
+    judged = cut(near_duplicates(documents, k, percent, trees).select("row_key", "n_shingles", "stays"))
+    gone = judged.where("not stays").select(F.col("row_key").alias(key)).distinct()
+    twice = judged.where("stays and n_shingles > 0").groupBy(F.col("row_key").alias(key)).count().where("count > 1").select(key)
+    keyed = documents.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    left = keyed.join(_sized(gone), key, "left_anti")
+    if not twice.isEmpty():  # rows that repeat id and text
+        left = left.join(_sized(twice), key, "left_anti").unionAll(left.join(_sized(twice), key, "left_semi").dropDuplicates([key]))
+    return left.select(*documents.columns)
+
+
+def _sized(keys: DataFrame) -> DataFrame:
+    """``keys`` with a broadcast hint if there are BROADCAST_KEYS at most."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def op5_chosen_path_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose two-word shingle sets have similarity 0.8 or more."""
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=2)
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 ORACLE_SQL = r"""

@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scriptorium.llm.arrow import map_arrow, texts
+from scriptorium.llm.arrow import map_arrow, texts, with_column_of_text
 from scriptorium.llm.sampling import hashed_lot
 from scriptorium.session import table
 
@@ -201,14 +202,13 @@ def train(documents: DataFrame, labels: DataFrame, web: DataFrame) -> Model:
     return fit(x, is_p, is_u)
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """``documents(doc_id, text)`` as (doc_id, score)."""
+def with_score(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``documents(text, ...)`` and the score of each text as ``name``."""
 
-    def step(batch: pa.RecordBatch) -> dict:
-        x = np.array([text_features(t) for t in texts(batch)]).reshape(-1, N_FEATURES)
-        return {"doc_id": batch.column("doc_id"), "score": model.scores(x)}
+    def step(own: list[bytes]) -> np.ndarray:
+        return model.scores(np.array([text_features(t) for t in own]).reshape(-1, N_FEATURES))
 
-    return map_arrow(documents.select("doc_id", "text"), "doc_id long, score double", step)
+    return with_column_of_text(documents, name, T.DoubleType(), step)
 
 
 def held_out(remainder: int, folds: int):
@@ -220,5 +220,5 @@ def op8_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFra
     """Every document's quality; labels of rows with remainder 1 of 3 are never read."""
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out(1, 3))
-    scored = score(documents, train(documents, labels, documents.where(~held_out(1, 3))))
+    scored = with_score(documents, train(documents, labels, documents.where(~held_out(1, 3))))
     return scored.select("doc_id", held_out(1, 3).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

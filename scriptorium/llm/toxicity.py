@@ -30,11 +30,11 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scriptorium.llm.arrow import map_arrow, texts
+from scriptorium.llm.arrow import with_column_of_text
 from scriptorium.llm.sampling import labelled_sample
 from scriptorium.session import table
 
@@ -310,17 +310,17 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     return fit(sorted(((r["text"] or "").encode(), r["label"]) for r in rows))
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """``documents(doc_id, text)`` as (doc_id, score)."""
+def with_score(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``documents(text, ...)`` and the score of each text as ``name``."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # LETTERS**3 weights, 2 MB
     scorers: list[Scorer] = []
 
-    def step(batch: pa.RecordBatch) -> dict:
+    def step(own: list[bytes]) -> np.ndarray:
         if not scorers:
             scorers.append(Scorer(shared.value))
-        return {"doc_id": batch.column("doc_id"), "score": scorers[0](texts(batch))}
+        return scorers[0](own)
 
-    return map_arrow(documents.select("doc_id", "text"), "doc_id long, score double", step)
+    return with_column_of_text(documents, name, T.DoubleType(), step)
 
 
 def held_out(remainder: int, folds: int):
@@ -332,5 +332,5 @@ def op1_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity; labels of rows with remainder 2 of 4 are never read."""
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out(2, 4))
-    scored = score(documents, train(documents, labels))
+    scored = with_score(documents, train(documents, labels))
     return scored.select("doc_id", held_out(2, 4).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
