@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from scriptorium.plans import relational, texts
+
+MODULES = [relational, texts]
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
