@@ -10,7 +10,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows are handed to and from Python in pieces of about so many bytes of text.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
+#: Rows of an Arrow batch at most, as texts may be long.
+BATCH_ROWS = 2000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -30,6 +33,9 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 def map_arrow(df: DataFrame, schema: T.StructType | str, step: Callable[[pa.RecordBatch], dict], column: str = "text") -> DataFrame:
     """``step`` turns each piece into columns of ``schema`` by name."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(BATCH_CONF, str(BATCH_ROWS))
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     names = schema.names

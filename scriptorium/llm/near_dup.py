@@ -1,23 +1,24 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document's set is that of its word shingles. Equal sets are one *set* from then on, so
-exact copies cost nothing further. Each set has TOKENS minwise tokens. In each of ``trees``
+exact copies cost nothing further. Each set has TOKENS minwise tokens, of a byte each. In each of ``trees``
 independent trees, a node is a path of (coordinate, token) choices; which coordinates a
 node branches on is a keyed hash of the node: one, or in a quarter of all nodes two, so
 that a set moves to 1.25 children on average and a pair of similarity 0.8 stays together
 in one of them as a whole. Sets of low similarity part after a few levels.
 
-* A node of one set ends.
-* A node of up to SMALL sets is compared exhaustively on the minwise tokens.
-* A larger node branches on, unless its sets resemble its pivot (``dense``) or the last
-  level is reached: then all of it is compared with pivots. Whatever is not connected to
-  the node's largest component becomes a pivot itself in further rounds, until nothing is
-  left; so every link of the node is found or lies inside one component.
+* A node of one set ends; one of up to BIG sets is compared exhaustively on the minwise
+  tokens; a larger one branches on.
+* A larger node whose sets resemble its pivot (``DENSE``), or that is left at the last
+  level, would not part: it is split into blocks of about BLOCK sets that all hold some
+  pivots of the node.
 
-Pairs whose tokens agree in AGREE places or more are confirmed on full sets, recomputed
-from the texts of these documents alone. First one pair for each set is confirmed, then
-those pairs that still connect different components: no link that would change a
-component is passed over. Components are joined by alternating stars.
+Sets of fitting sizes whose tokens agree often enough are confirmed on full sets, recomputed from the
+texts of these documents alone. A node gives a spanning forest of its agreeing sets first,
+not all pairs. When the components of the confirmed links are known, all agreeing sets of
+a node that are still in different components are confirmed too; in a dense node,
+whatever is outside its largest component meets every block. So every link of a node is
+found or lies inside one component. Components are joined by alternating stars.
 
 Recall: a pair of similarity 0.8 meets in one tree with probability 0.73 after two levels,
 0.64 after three, 0.58 after four; ten independent trees miss 2e-6, 4e-5 and 2e-4.
@@ -32,26 +33,28 @@ text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.arrow import fresh_name, map_arrow, texts
 from scriptorium.llm.components import connected_components
 from scriptorium.session import cut, table
 
-TOKENS, AGREE = 64, 36
-TREES, SMALL, LAST_LEVEL = 10, 12, 12
-#: A node is dense if its sets agree with its pivot in half of the tokens on average.
-DENSE = 32
-PIVOTS, LATER_PIVOTS = 6, 32
+#: Minwise tokens of a set, a byte each; agreement of a pair is asked for to DEVIATIONS below the mean.
+TOKENS, DEVIATIONS = 256, 4.2
+TREES, BIG, LAST_LEVEL = 10, 512, 12
+#: A node is dense if its sets agree with its pivot in so many tokens on average.
+DENSE = 160
+PIVOTS, BLOCK = 8, 400
 #: Ids that may be broadcast to pick documents; beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
-CACHE_WORDS = 500_000
-_MULTIPLIERS = np.random.default_rng(1).integers(1, 2**63, (2, TOKENS), dtype=np.uint64) | np.uint64(1)
+CACHE_WORDS = 200_000
+_MULTIPLIERS = np.random.default_rng(1).integers(1, 2**63, (2, TOKENS // 2), dtype=np.uint64) | np.uint64(1)
 
 
 class _Words(dict):
@@ -89,8 +92,9 @@ def shingle_hashes(text: bytes, k: int) -> np.ndarray:
 
 
 def minwise_tokens(sets: list[np.ndarray]) -> np.ndarray:
-    """16 bits of each of TOKENS minwise values, for non-empty sets: (sets, TOKENS)."""
-    out = np.empty((len(sets), TOKENS), dtype=np.uint16)
+    """For non-empty sets: a byte of each of TOKENS minwise values, then the size in four
+    bytes, as (sets, TOKENS + 4). Each mixed hash gives two values, its halves."""
+    out = np.empty((len(sets), TOKENS + 4), dtype=np.uint8)
     at = 0
     while at < len(sets):
         end, size = at, 0
@@ -99,14 +103,20 @@ def minwise_tokens(sets: list[np.ndarray]) -> np.ndarray:
             end += 1
         flat = np.concatenate(sets[at:end])
         starts = np.cumsum([0, *map(len, sets[at : end - 1])])
-        for t in range(TOKENS):
+        for t in range(TOKENS // 2):
             x = flat * _MULTIPLIERS[0, t]
             x = (x ^ (x >> np.uint64(29))) * _MULTIPLIERS[1, t]
-            out[at:end, t] = (np.minimum.reduceat(x >> np.uint64(16), starts) & np.uint64(0xFFFF)).astype(np.uint16)
+            halves = np.minimum.reduceat((x ^ (x >> np.uint64(32))).view(np.uint32).reshape(-1, 2), starts, axis=0)
+            out[at:end, 2 * t : 2 * t + 2] = (halves ^ halves >> 11) & 255
         at = end
+    out[:, TOKENS:] = np.array([len(s) for s in sets], dtype="<u4").view(np.uint8).reshape(-1, 4)
     return out
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, TOKENS + 4)
+
+
 def with_sets(documents: DataFrame, k: int) -> DataFrame:
     """(doc_id, row_key, set_id, n_shingles, tokens) of each row of ``documents(doc_id, text)``."""
 
@@ -133,127 +143,145 @@ def _branch(rows: DataFrame) -> DataFrame:
     second = F.pmod(first + 1 + F.pmod(F.xxhash64(node, F.lit(2)), F.lit(TOKENS - 1)).cast("int"), F.lit(TOKENS))
     twice = F.pmod(F.xxhash64(node, F.lit(3)), F.lit(4)) == 0
     places = F.when(twice, F.array(first, second)).otherwise(F.array(first))
-    children = F.transform(places, lambda c: F.xxhash64(node, c, F.substring(F.col("tokens"), c * 2 + 1, F.lit(2))))
+    children = F.transform(places, lambda c: F.xxhash64(node, c, F.substring(F.col("tokens"), c + 1, F.lit(1))))
     return rows.select(F.explode(children).alias("node"), "set_id", "tokens")
 
 
-def _agreement(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Places in which two columns of tokens agree, row by row."""
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint16).reshape(-1, TOKENS) for c in (a, b))
-    return (x == y).sum(1)
+def _alike(rows: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of tokens and sizes may have a similarity of ``percent``, as (rows, rows)."""
+    n, p = len(rows), percent / 100
+    least = TOKENS * p - DEVIATIONS * np.sqrt(TOKENS * p * (1 - p))
+    tokens, sizes = rows[:, :TOKENS], np.ascontiguousarray(rows[:, TOKENS:]).view("<u4").astype(np.int64)[:, 0]
+    out = np.empty((n, n), dtype=bool)
+    for at in range(0, n, 32):
+        agree = (tokens[at : at + 32, None, :] == tokens[None, :, :]).sum(2)
+        low, high = np.minimum(sizes[at : at + 32, None], sizes), np.maximum(sizes[at : at + 32, None], sizes)
+        out[at : at + 32] = (agree >= least) & (100 * low >= percent * high)
+    return out
+
+
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the graph of agreeing rows, from the rows with most neighbours."""
+    np.fill_diagonal(near, False)
+    seen, edges = np.zeros(len(near), dtype=bool), []
+    for root in np.argsort(-near.sum(1), kind="stable").tolist():
+        stack = [] if seen[root] else [root]
+        seen[root] = True
+        while stack:
+            u = stack.pop()
+            fresh = np.flatnonzero(near[u] & ~seen).tolist()
+            seen[fresh] = True
+            edges += [(u, v) for v in fresh]
+            stack += fresh
+    return edges
+
 
+def _crossing(near: np.ndarray, labels: list[bytes]) -> list[tuple[int, int]]:
+    """Agreeing rows of different labels."""
+    codes = np.unique(np.array([x.hex() for x in labels]), return_inverse=True)[1]
+    i, j = np.nonzero(np.triu(near & (codes[:, None] != codes[None, :]), 1))
+    return list(zip(i.tolist(), j.tolist(), strict=True))
 
-def _compare_small(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that share a node of ``rows(node, set_id, tokens)`` and agree."""
 
-    def pairs(node: np.ndarray, ids: list[bytes], tokens: np.ndarray) -> tuple[list, list]:
-        edges = np.flatnonzero(np.diff(node)) + 1
-        a, b = [], []
-        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(node)], strict=True):
-            if hi - lo > 1:
-                mine = tokens[lo:hi]
-                i, j = np.nonzero(np.triu((mine[:, None, :] == mine[None, :, :]).sum(2) >= AGREE, 1))
-                for p, q in zip((i + lo).tolist(), (j + lo).tolist(), strict=True):
-                    x, y = ids[p], ids[q]
+def _compare(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of agreeing sets within each node of ``rows(node, set_id, tokens[, label])``:
+    a spanning forest of them, or with labels all those of different labels.
+
+    Rows of a node come together by a shuffle; only one node, of about BIG rows at most, is
+    held at a time.
+    """
+    labelled = "label" in rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list = [np.zeros(0, np.int64), [], np.zeros((0, TOKENS + 4), np.uint8), []]
+
+        def pairs(node: np.ndarray, ids: list, tokens: np.ndarray, labels: list) -> pa.RecordBatch:
+            edges = (np.flatnonzero(np.diff(node)) + 1).tolist()
+            a, b = [], []
+            for lo, hi in zip([0, *edges], [*edges, len(node)], strict=True):
+                if hi - lo < 2:
+                    continue
+                near = _alike(tokens[lo:hi], percent)
+                for p, q in _crossing(near, labels[lo:hi]) if labelled else _forest(near):
+                    x, y = ids[lo + p], ids[lo + q]
                     if x != y:
                         a.append(min(x, y))
                         b.append(max(x, y))
-        return a, b
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple = (np.zeros(0, np.int64), [], np.zeros((0, TOKENS), np.uint16))
-
-        def out(a: list, b: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
         for batch in batches:
-            node = np.concatenate([rest[0], batch.column("node").to_numpy()])
-            ids = rest[1] + batch.column("set_id").to_pylist()
-            own = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), dtype=np.uint16).reshape(-1, TOKENS)
-            tokens = np.vstack([rest[2], own])
-            if not len(node):
+            if not batch.num_rows:
                 continue
+            own = _matrix(batch.column("tokens"))
+            node = np.concatenate([rest[0], batch.column("node").to_numpy()])
+            ids, tokens = rest[1] + batch.column("set_id").to_pylist(), np.vstack([rest[2], own])
+            labels = rest[3] + batch.column("label").to_pylist() if labelled else []
             keep = int(np.flatnonzero(node == node[-1])[0])  # the last node may go on in the next batch
-            yield out(*pairs(node[:keep], ids[:keep], tokens[:keep])) if keep else out([], [])
-            rest = (node[keep:], ids[keep:], tokens[keep:])
-        yield out(*pairs(*rest)) if len(rest[1]) else out([], [])
+            yield pairs(node[:keep], ids[:keep], tokens[:keep], labels[:keep])
+            rest = [node[keep:], ids[keep:], tokens[keep:], labels[keep:]]
+        yield pairs(*rest)
 
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a binary, b binary")
 
 
-def _agreeing(pairs: DataFrame) -> DataFrame:
-    """Adds ``agree`` to ``pairs(..., tokens_a, tokens_b)`` and drops the tokens."""
-    names = [c for c in pairs.columns if c not in ("tokens_a", "tokens_b")]
-    kinds = dict(pairs.dtypes)
+def _likeness(large: DataFrame) -> DataFrame:
+    """(node, like): how many tokens the sets of each node share with its pivot on average."""
+    pivot = large.groupBy("node").agg(F.min_by("tokens", F.xxhash64("set_id")).alias("tokens_b"))
+    both = large.join(pivot, "node").select("node", F.col("tokens").alias("tokens_a"), "tokens_b")
 
     def step(batch: pa.RecordBatch) -> dict:
-        return {c: batch.column(c) for c in names} | {"agree": _agreement(batch.column("tokens_a"), batch.column("tokens_b")).astype(np.int32)}
-
-    return map_arrow(pairs, ", ".join(f"{c} {kinds[c]}" for c in names) + ", agree int", step, column="tokens_a")
-
-
-def _pivot_rank(rows: DataFrame, seed: int) -> DataFrame:
-    """The set of each node with the smallest keyed hash: (node, pivot)."""
-    return rows.groupBy("node").agg(F.min_by("set_id", F.xxhash64(F.lit(seed), "set_id")).alias("pivot"))
+        x, y = (_matrix(batch.column(c))[:, :TOKENS] for c in ("tokens_a", "tokens_b"))
+        return {"node": batch.column("node"), "agree": (x == y).sum(1).astype(np.int32)}
 
+    return map_arrow(both, "node long, agree int", step, column="tokens_a").groupBy("node").agg(F.avg("agree").alias("like"))
 
-def _with_pivot_agreement(rows: DataFrame, pivots: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(node, set_id, pivot, agree) for each row of ``rows(node, set_id, tokens)`` and pivot of its node."""
-    known = pivots.join(tokens.select(F.col("set_id").alias("pivot"), F.col("tokens").alias("tokens_b")), "pivot")
-    both = rows.join(known, "node").where("set_id <> pivot")
-    return _agreeing(both.select("node", "set_id", "pivot", F.col("tokens").alias("tokens_a"), "tokens_b"))
 
-
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def candidates(sets: DataFrame, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
-    """Of ``sets(set_id, tokens)``: agreeing pairs (a, b), and the rows (node, set_id) of
-    dense nodes, whose pivots have been compared."""
+def nodes_of(sets: DataFrame, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
+    """Of ``sets(set_id, tokens)``: the rows (node, set_id) of nodes of 2 to BIG sets, and
+    the rows (node, set_id, size) of larger nodes that do not part any more."""
     spark = sets.sparkSession
-    pairs = spark.createDataFrame([], "a binary, b binary")
-    dense = spark.createDataFrame([], "node bigint, set_id binary")
+    small, dense = [], spark.createDataFrame([], "node bigint, set_id binary, size bigint")
     roots = F.explode(F.array(*[F.xxhash64(F.lit(17), F.lit(r)) for r in range(trees)]))
     rows = _branch(_branch(sets.select(roots.alias("node"), "set_id", "tokens")))
     for level in range(2, LAST_LEVEL + 1):
         rows = cut(rows.select("node", "set_id"))
         sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         live = cut(rows.join(sizes, "node"))
-        small = live.where(F.col("size") <= SMALL).join(sets, "set_id").select("node", "set_id", "tokens")
-        pairs = pairs.unionAll(_compare_small(small))
-        large = live.where(F.col("size") > SMALL)
+        small.append(live.where(F.col("size") <= BIG).select("node", "set_id"))
+        large = live.where(F.col("size") > BIG)
         if large.isEmpty():
             break
-        large = large.join(sets, "set_id").select("node", "set_id", "tokens")
-        likeness = _with_pivot_agreement(large, _pivot_rank(large, 0), sets).groupBy("node").agg(F.avg("agree").alias("like"))
-        held = cut(likeness.where((F.col("like") >= DENSE) | F.lit(level == LAST_LEVEL)).select("node"))
-        compact = cut(large.join(held, "node", "left_semi").select("node", "set_id"))
-        dense = dense.unionAll(compact)
-        pivots = _pivot_rank(compact, 0)
-        for seed in range(1, PIVOTS):
-            pivots = pivots.unionAll(_pivot_rank(compact, seed))
-        starred = _with_pivot_agreement(compact.join(sets, "set_id").select("node", "set_id", "tokens"), pivots.distinct(), sets)
-        pairs = pairs.unionAll(starred.where(F.col("agree") >= AGREE).select(*_ordered("set_id", "pivot")))
+        large = large.join(sets, "set_id")
+        like = _likeness(large).where((F.col("like") >= DENSE) | F.lit(level == LAST_LEVEL))
+        held = cut(like.select("node"))
+        dense = dense.unionAll(cut(large.join(held, "node", "left_semi").select("node", "set_id", "size")))
         rows = _branch(large.join(held, "node", "left_anti"))
-    return cut(pairs.distinct()), dense
-
-
-def _later_pairs(dense: DataFrame, links: DataFrame, tried: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Agreeing pairs of dense nodes that connect what is outside a node's largest component,
-    and the (node, pivot) compared for them, at most LATER_PIVOTS of a node at once."""
-    label = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = dense.join(label, dense["set_id"] == label["node"], "left").select(dense["node"], "set_id", F.coalesce("component", "set_id").alias("label"))
-    named = cut(named)
-    core = named.groupBy("node", "label").count().groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("core"))
-    outside = named.join(core, "node").where("label <> core").join(tried.withColumnRenamed("pivot", "set_id"), ["node", "set_id"], "left_anti")
-    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("set_id"), "set_id"))
-    pivots = cut(outside.withColumn("nth", nth).where(F.col("nth") <= LATER_PIVOTS).select("node", F.col("set_id").alias("pivot"), F.col("label").alias("own")))
-    rows = named.join(pivots.select("node").distinct(), "node", "left_semi").join(sets, "set_id").select("node", "set_id", "label", "tokens")
-    known = pivots.join(sets.select(F.col("set_id").alias("pivot"), F.col("tokens").alias("tokens_b")), "pivot")
-    both = rows.join(known, "node").where("label <> own").select("set_id", "pivot", F.col("tokens").alias("tokens_a"), "tokens_b")
-    found = _agreeing(both).where(F.col("agree") >= AGREE).select(*_ordered("set_id", "pivot")).distinct()
-    return cut(found), pivots.select("node", "pivot")
+    return reduce(DataFrame.unionAll, small), dense
+
+
+def _blocks(dense: DataFrame) -> DataFrame:
+    """Rows (node, set_id) that split each dense node into blocks of about BLOCK sets, every
+    one with the node's pivots."""
+    block = lambda i: F.xxhash64("node", i)
+    count = F.ceil(F.col("size") / BLOCK)
+    split = dense.select(block(F.pmod(F.xxhash64("set_id"), count)).alias("node"), "set_id")
+    least = [F.min_by("set_id", F.xxhash64(F.lit(seed), "set_id")) for seed in range(PIVOTS)]
+    pivots = dense.groupBy("node", "size").agg(F.array_distinct(F.array(*least)).alias("pivots"))
+    every = pivots.select("node", "pivots", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("i"))
+    return split.unionAll(every.select(block(F.col("i")).alias("node"), F.explode("pivots").alias("set_id"))).distinct()
+
+
+def _outside(named: DataFrame) -> DataFrame:
+    """Rows (node, set_id, label) of blocks in which whatever is outside a dense node's
+    largest component (``named(node, set_id, size, label)``) meets all of the node."""
+    core = named.groupBy("node", "label").count().groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("core"), F.sum("count").alias("n"), F.max("count").alias("in_core"))
+    known = named.join(core.where("in_core < n"), "node")
+    blocks, chunks = F.ceil(F.col("n") / BLOCK), F.ceil((F.col("n") - F.col("in_core")) / BLOCK)
+    to = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    own = F.xxhash64("set_id")
+    members = known.select("node", "set_id", "label", F.pmod(own, blocks).alias("i"), F.explode(to(chunks)).alias("j"))
+    others = known.where("label <> core").select("node", "set_id", "label", F.explode(to(blocks)).alias("i"), F.pmod(F.xxhash64(F.lit(9), "set_id"), chunks).alias("j"))
+    return members.unionAll(others).select(F.xxhash64("node", "i", "j").alias("node"), "set_id", "label").distinct()
 
 
 def confirm(pairs: DataFrame, keys: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -291,26 +319,17 @@ def confirm(pairs: DataFrame, keys: DataFrame, documents: DataFrame, k: int, per
 
 def linked_sets(sets: DataFrame, keys: DataFrame, documents: DataFrame, k: int, percent: int, trees: int = TREES) -> DataFrame:
     """(node, component) of every set that is linked with another one."""
-    pairs, dense = candidates(sets, trees)
-    nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = cut(confirm(nearest, keys, documents, k, percent))
-    tried = sets.sparkSession.createDataFrame([], "node bigint, pivot binary")
-    while True:
-        label = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"label_{c}"))  # noqa: B023,E731
-        apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(
-            F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
-        )
-        fresh = cut(apart.select("a", "b"))
-        if not fresh.isEmpty():
-            links = cut(links.unionAll(confirm(fresh, keys, documents, k, percent)))
-        if dense.isEmpty():
-            break
-        pairs, pivots = _later_pairs(dense, links, tried, sets)
-        if pivots.isEmpty():
-            break
-        tried = cut(tried.unionAll(pivots))
-    return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    nodes, dense = nodes_of(sets, trees)
+    edges = lambda links: links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs = cut(_compare(nodes.unionAll(_blocks(dense)).join(sets, "set_id").select("node", "set_id", "tokens"), percent).distinct())
+    links = cut(confirm(pairs, keys, documents, k, percent))
+    found = connected_components(edges(links)).withColumnRenamed("node", "member")
+    label = F.coalesce("component", "set_id").alias("label")
+    named = nodes.join(found, nodes["set_id"] == found["member"], "left").select("node", "set_id", label)
+    far = cut(dense.join(found, dense["set_id"] == found["member"], "left").select("node", "set_id", "size", label))
+    apart = named.unionAll(_outside(far)).join(sets, "set_id").select("node", "set_id", "tokens", "label")
+    more = cut(_compare(apart, percent).distinct().join(pairs, ["a", "b"], "left_anti"))
+    return connected_components(edges(links.unionAll(confirm(more, keys, documents, k, percent))))
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:

@@ -30,7 +30,7 @@ from scriptorium.llm.arrow import map_arrow, texts
 from scriptorium.session import table
 
 LEAF_UNITS, GROWN = 32, 4
-CACHE_UNITS = 600_000
+CACHE_UNITS = 400_000
 FAST_UNITS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -198,7 +198,8 @@ EDITED_SCHEMA = TREE_SCHEMA + ", old_tokens long, encoded_chars long"
 
 def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
     """``trees`` with the edits ``(doc_id, seq, at, removed, inserted)`` of each document."""
-    one = F.struct(F.col("seq").cast("int"), F.col("at").cast("long"), F.col("removed").cast("long"), F.col("inserted").cast("string"))
+    kinds = {"seq": "int", "at": "long", "removed": "long", "inserted": "string"}
+    one = F.struct(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()])
     lists = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(one)).alias("edits"))
     return trees.join(lists, "doc_id", "left")
 

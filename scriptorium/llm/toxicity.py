@@ -44,7 +44,7 @@ LANDMARKS = 160
 DECAY, SPAN, WINDOW = 0.7, 6, 24
 ROUNDS = 4
 #: Units whose score a task remembers at most.
-CACHE_UNITS = 300_000
+CACHE_UNITS = 150_000
 
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 SPELLED = re.compile(rb"(?<!\S)[a-z](?: [a-z]){2,}(?!\S)")
@@ -229,9 +229,10 @@ def fit(docs: list[tuple[bytes, int]]) -> Model:
     rng = np.random.default_rng(11)
     marks = _pick_landmarks(names, toxic, clean, int(labels.sum()), int((1 - labels).sum()), rng)
     bags = features([names[i] for i in marks])
-    rows_of = np.zeros((len(marks), LETTERS**3))
+    space = {t: n for n, t in enumerate(sorted(set().union(*bags)))}  # the landmarks' triples
+    rows_of = np.zeros((len(marks), len(space)))
     for k, bag in enumerate(bags):
-        rows_of[k, list(bag)] = list(bag.values())
+        rows_of[k, [space[t] for t in bag]] = list(bag.values())
     gram = rows_of @ rows_of.T
     values, vectors = np.linalg.eigh(gram)
     good = values > 1e-6 * values[-1]
@@ -252,7 +253,7 @@ def fit(docs: list[tuple[bytes, int]]) -> Model:
         neg = np.concatenate([*hard, lot])
         used = np.unique(np.concatenate([pos, neg]))
         new = [i for i in used.tolist() if i not in known]
-        kernel = unit_kernel([names[i] for i in new], rows_of)
+        kernel = unit_kernel([names[i] for i in new], rows_of, space)
         known |= {i: k for i, k in zip(new, kernel, strict=True)}
         x = np.array([known[i] for i in np.concatenate([pos, neg]).tolist()]) @ root
         y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
@@ -265,13 +266,15 @@ def fit(docs: list[tuple[bytes, int]]) -> Model:
     return Model(triples, bias, weights, offset)
 
 
-def unit_kernel(units: list[str], landmark_rows: np.ndarray) -> np.ndarray:
-    """Kernel of units and landmarks, (units, landmarks)."""
+def unit_kernel(units: list[str], landmark_rows: np.ndarray, space: dict[int, int]) -> np.ndarray:
+    """Kernel of units and landmarks, (units, landmarks); ``space`` numbers the landmarks' triples."""
     out = np.zeros((len(units), len(landmark_rows)))
-    for k, bag in enumerate(features(units)):
-        if bag:
-            at = np.fromiter(bag.keys(), np.int64, len(bag))
-            out[k] = landmark_rows[:, at] @ np.fromiter(bag.values(), np.float64, len(bag))
+    for at in range(0, len(units), 2000):
+        for k, bag in enumerate(features(units[at : at + 2000]), at):
+            shared = [(space[t], x) for t, x in bag.items() if t in space]
+            if shared:
+                places, values = zip(*shared, strict=True)
+                out[k] = landmark_rows[:, list(places)] @ np.array(values)
     return out
 
 
