@@ -38,6 +38,8 @@ from scriptorium.session import table
 THRESHOLD = 0.5
 MAX_POSITIVE, MAX_UNLABELLED = 10_000, 20_000
 HIDDEN, STEPS, BATCH, STEP = 32, 3000, 500, 5e-3
+#: The prior is the median of the estimates of both halves of so many random halvings.
+HALVINGS = 3
 #: Standardised features are cut at so many deviations.
 CLIP = 5.0
 #: Bytes of each class, by ASCII; bytes beyond are letters of other scripts.
@@ -166,18 +168,20 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 def fit(x: np.ndarray, is_p: np.ndarray, is_u: np.ndarray) -> Model:
     """From features of rows that are positives, unlabelled, or both (a positive's text in
-    the unlabelled lot): estimates the prior on halves of the rows that the first classifier
+    the unlabelled lot): estimates the prior on halves of the rows that a first classifier
     did not see, then trains."""
     if not is_p.any() or not is_u.any():
         zero = np.zeros(N_FEATURES)
         return Model(zero, zero + 1, np.zeros((N_FEATURES, 1)), np.zeros(1), np.zeros(1), -30.0, 0.0)
-    priors, half = [], np.arange(len(x)) % 2
-    for k in (0, 1):
-        mine, rest = half == k, half != k
-        if all((a & b).any() for a in (mine, rest) for b in (is_p, is_u)):
-            first = _train(x[mine & is_p], x[mine & is_u], None)
-            priors.append(estimate_prior(first.output(x[rest & is_p]), first.output(x[rest & is_u])))
-    return _train(x[is_p], x[is_u], float(np.mean(priors)) if priors else 0.5)
+    priors, rng = [], np.random.default_rng(7)
+    for _ in range(HALVINGS):
+        half = rng.permutation(len(x)) % 2
+        for k in (0, 1):
+            mine, rest = half == k, half != k
+            if all((a & b).any() for a in (mine, rest) for b in (is_p, is_u)):
+                first = _train(x[mine & is_p], x[mine & is_u], None)
+                priors.append(estimate_prior(first.output(x[rest & is_p]), first.output(x[rest & is_u])))
+    return _train(x[is_p], x[is_u], float(np.median(priors)) if priors else 0.5)
 
 
 def features(documents: DataFrame) -> DataFrame:
