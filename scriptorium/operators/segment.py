@@ -97,10 +97,12 @@ def renumbered(rows: DataFrame, key: str, order: str, keep: Column) -> DataFrame
 
 def islands(blocks: DataFrame, key: str = "chapter", order: str = "block_index", kind: str = "narrator") -> DataFrame:
     """Adds ``island`` (consecutive blocks of one type share it), ``merge_top`` and
-    ``merge_bottom`` (a block of ``kind`` with one of its island before or after it)."""
-    w = Window.partitionBy(key).orderBy(order)
-    same_before = F.col("type").eqNullSafe(F.lag("type").over(w)) & F.lag(order).over(w).isNotNull()
-    same_after = F.col("type").eqNullSafe(F.lead("type").over(w)) & F.lead(order).over(w).isNotNull()
+    ``merge_bottom`` (a block of ``kind`` with one of its island before or after it).
+    Blocks of equal ``order`` follow each other by type."""
+    w = Window.partitionBy(key).orderBy(order, "type").rowsBetween(Window.unboundedPreceding, 0)
+    step = Window.partitionBy(key).orderBy(order, "type")
+    same_before = F.col("type").eqNullSafe(F.lag("type").over(step)) & F.lag(order).over(step).isNotNull()
+    same_after = F.col("type").eqNullSafe(F.lead("type").over(step)) & F.lead(order).over(step).isNotNull()
     of_kind = F.coalesce(F.col("type") == kind, F.lit(False))
     flagged = blocks.withColumns({"merge_top": of_kind & same_before, "merge_bottom": of_kind & same_after, "__new": (~same_before).cast("int")})
     return flagged.withColumn("island", F.sum("__new").over(w)).drop("__new")

@@ -256,8 +256,8 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS
     "number_runs": f"WITH books AS ({_BOOK}), {_LINES}, {_NUMBERS} SELECT doc_id, count(*) AS numbers FROM runs GROUP BY doc_id",
     "segment_ends": f"WITH books AS (SELECT doc_id, text FROM documents), {_LINES} SELECT doc_id, line_no, coalesce(lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no), 1000000) AS \"end\" FROM lines",
     "renumbered_lines": f"WITH books AS (SELECT doc_id, text FROM documents), {_LINES} SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS \"index\" FROM lines WHERE length(line) > 200",
-    "narrator_islands": f"""WITH b AS ({E.BLOCKS}), f AS (SELECT chapter, block_index, type, coalesce(lag(type) OVER w = type, false) AS s, coalesce(lead(type) OVER w = type, false) AS e FROM b WINDOW w AS (PARTITION BY chapter ORDER BY block_index))
-SELECT chapter, block_index, CAST(sum(CAST(NOT s AS INT)) OVER (PARTITION BY chapter ORDER BY block_index) AS BIGINT) AS island, type = 'narrator' AND s AS merge_top, type = 'narrator' AND e AS merge_bottom FROM f""",
+    "narrator_islands": f"""WITH b AS ({E.BLOCKS}), f AS (SELECT chapter, block_index, type, coalesce(lag(type) OVER w = type, false) AS s, coalesce(lead(type) OVER w = type, false) AS e FROM b WINDOW w AS (PARTITION BY chapter ORDER BY block_index, type))
+SELECT chapter, block_index, CAST(sum(CAST(NOT s AS INT)) OVER (PARTITION BY chapter ORDER BY block_index, type ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island, type = 'narrator' AND s AS merge_top, type = 'narrator' AND e AS merge_bottom FROM f""",
     "block_stats": f"""WITH c AS (SELECT conv_id AS chapter, role AS type, count(*) AS blocks, CAST(sum(len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda w: w <> ''))) AS BIGINT) AS words FROM conversations GROUP BY 1, 2)
 SELECT *, CAST(sum(blocks) OVER w AS BIGINT) AS total_blocks, CAST(sum(words) OVER w AS BIGINT) AS total_words FROM c WINDOW w AS (PARTITION BY chapter)""",
 }
