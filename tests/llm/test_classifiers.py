@@ -62,6 +62,8 @@ def test_without_labels_scores_are_low(spark):
 
 
 def test_long_units_are_read_in_windows():
+    """An insult anywhere in a long unit, across any window's edge, lifts it over the same unit without."""
     weights = toxicity.fold(toxicity.features(["idiot"]), np.array([1.0]))
-    alone, inside = toxicity.unit_scores(["idiot", "x" * 40 + "idiot" + "y" * 40], weights)
-    assert inside > 0.2 * alone
+    units = ["x" * n + "idiot" + "y" * (80 - n) for n in range(0, 81, 7)]
+    clean, *found = toxicity.unit_scores(["x" * 40 + "y" * 45, *units], weights)
+    assert min(found) > clean + 0.1
