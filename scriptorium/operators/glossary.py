@@ -18,10 +18,11 @@ def lookup_keys(entries: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.max_by("name", F.struct("ord", "name")).alias("name"))
 
 
-def resolve(mentions: DataFrame, entries: DataFrame, column: str = "speaker", small: bool = True) -> DataFrame:
-    """Adds ``entry``: the glossary name that a mention's name or alias, in any case, stands for."""
+def resolve(mentions: DataFrame, entries: DataFrame, column: str = "speaker") -> DataFrame:
+    """Adds ``entry``: the glossary name that a mention's name or alias, in any case, stands for.
+    Spark broadcasts the glossary if its size allows."""
     keys = lookup_keys(entries).select("key", F.col("name").alias("entry"))
-    return mentions.join(F.broadcast(keys) if small else keys, F.lower(column) == F.col("key"), "left").drop("key")
+    return mentions.join(keys, F.lower(column) == F.col("key"), "left").drop("key")
 
 
 def merge(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scriptorium.plans import relational, texts
+from scriptorium.plans import markup, relational, texts
 
-MODULES = [relational, texts]
+MODULES = [relational, texts, markup]
 
 
 def queries() -> dict:

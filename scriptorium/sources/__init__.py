@@ -1,0 +1 @@
+"""Readers and writers of books, scripts, manifests and glossaries."""

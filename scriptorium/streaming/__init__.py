@@ -1,0 +1 @@
+"""Incremental jobs as Structured Streaming queries."""
