@@ -21,7 +21,12 @@ whatever is outside its largest component meets every block. So every link of a
 found or lies inside one component. Components are joined by alternating stars.
 
 Recall: a pair of similarity 0.8 meets in one tree with probability 0.73 after two levels,
-0.64 after three, 0.58 after four; ten independent trees miss 2e-6, 4e-5 and 2e-4.
+0.58 after four, 0.41 after eight, 0.32 after twelve; ten trees on the same tokens miss
+4e-6, 3e-4, 8e-3 and 3e-2 (``missed``). So sets of nodes that branch on where the trees
+miss too much go through further rounds of trees, each on fresh tokens, until the rounds,
+each taken at its deepest level, miss MISS / 2 together. With the pairs that part before
+and those whose tokens disagree too much (3e-5), a link is missed with probability MISS at
+most, however deep the nodes are.
 
 Defined cases: null, empty or blank text has no set and is linked with nothing; a text of
 fewer words than a shingle has its whole sequence as one shingle; repeated rows are exact
@@ -32,6 +37,7 @@ text are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -48,13 +54,14 @@ from scriptorium.session import cut, table
 #: Minwise tokens of a set, a byte each; agreement of a pair is asked for to DEVIATIONS below the mean.
 TOKENS, DEVIATIONS = 256, 4.2
 TREES, BIG, LAST_LEVEL = 10, 512, 12
+#: A pair that is just similar enough is missed with this probability at most.
+MISS = 5e-4
 #: A node is dense if its sets agree with its pivot in so many tokens on average.
 DENSE = 160
 PIVOTS, BLOCK = 8, 400
 #: Ids that may be broadcast to pick documents; beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 CACHE_WORDS = 200_000
-_MULTIPLIERS = np.random.default_rng(1).integers(1, 2**63, (2, TOKENS // 2), dtype=np.uint64) | np.uint64(1)
 
 
 class _Words(dict):
@@ -76,6 +83,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _multipliers(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 2**63, (2, TOKENS // 2), dtype=np.uint64) | np.uint64(1)
+
+
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
     """Sorted distinct hashes of the text's k-word shingles (A-Z lower-cased, words parted by
     ASCII white space)."""
@@ -91,9 +102,10 @@ def shingle_hashes(text: bytes, k: int) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def minwise_tokens(sets: list[np.ndarray]) -> np.ndarray:
+def minwise_tokens(sets: list[np.ndarray], seed: int = 1) -> np.ndarray:
     """For non-empty sets: a byte of each of TOKENS minwise values, then the size in four
     bytes, as (sets, TOKENS + 4). Each mixed hash gives two values, its halves."""
+    multipliers = _multipliers(seed)
     out = np.empty((len(sets), TOKENS + 4), dtype=np.uint8)
     at = 0
     while at < len(sets):
@@ -104,8 +116,8 @@ def minwise_tokens(sets: list[np.ndarray]) -> np.ndarray:
         flat = np.concatenate(sets[at:end])
         starts = np.cumsum([0, *map(len, sets[at : end - 1])])
         for t in range(TOKENS // 2):
-            x = flat * _MULTIPLIERS[0, t]
-            x = (x ^ (x >> np.uint64(29))) * _MULTIPLIERS[1, t]
+            x = flat * multipliers[0, t]
+            x = (x ^ (x >> np.uint64(29))) * multipliers[1, t]
             halves = np.minimum.reduceat((x ^ (x >> np.uint64(32))).view(np.uint32).reshape(-1, 2), starts, axis=0)
             out[at:end, 2 * t : 2 * t + 2] = (halves ^ halves >> 11) & 255
         at = end
@@ -236,27 +248,79 @@ def _likeness(large: DataFrame) -> DataFrame:
     return map_arrow(both, "node long, agree int", step, column="tokens_a").groupBy("node").agg(F.avg("agree").alias("like"))
 
 
-def nodes_of(sets: DataFrame, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
-    """Of ``sets(set_id, tokens)``: the rows (node, set_id) of nodes of 2 to BIG sets, and
-    the rows (node, set_id, size) of larger nodes that do not part any more."""
+def missed(level: int, trees: int, percent: int = 80) -> float:
+    """The probability that a pair of similarity ``percent`` comes together to ``level`` in
+    none of ``trees`` trees on the same tokens: over the number of tokens that agree, as
+    the trees are independent only for given tokens."""
+
+    def together(p: float) -> float:
+        out = 1.0
+        for _ in range(level):
+            out = 0.75 * p * out + 0.25 * (1 - (1 - p * out) ** 2)
+        return out
+
+    p = percent / 100
+    return sum(math.comb(TOKENS, n) * p**n * (1 - p) ** (TOKENS - n) * (1 - together(n / TOKENS)) ** trees for n in range(TOKENS + 1))
+
+
+def safe_level(trees: int, percent: int) -> int:
+    """The deepest level to which ``trees`` trees miss MISS / 2 at most; 1 if there is none
+    at which nodes end."""
+    return max((level for level in range(2, LAST_LEVEL + 1) if missed(level, trees, percent) <= MISS / 2), default=1)
+
+
+def nodes_of(sets: DataFrame, roots: range = range(TREES), safe: int = LAST_LEVEL) -> tuple[DataFrame, DataFrame, DataFrame | None, int]:
+    """Of ``sets(set_id, tokens)``: the rows (node, set_id) of nodes of 2 to BIG sets, the
+    rows (node, set_id, size) of larger nodes that do not part any more, the ids (set_id) of
+    sets that branch on at level ``safe`` (none: None), and the deepest level at which a
+    node ended. ``roots`` numbers the trees."""
     spark = sets.sparkSession
     small, dense = [], spark.createDataFrame([], "node bigint, set_id binary, size bigint")
-    roots = F.explode(F.array(*[F.xxhash64(F.lit(17), F.lit(r)) for r in range(trees)]))
+    live = None
+    roots = F.explode(F.array(*[F.xxhash64(F.lit(17), F.lit(r)) for r in roots]))
     rows = _branch(_branch(sets.select(roots.alias("node"), "set_id", "tokens")))
     for level in range(2, LAST_LEVEL + 1):
         rows = cut(rows.select("node", "set_id"))
         sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        live = cut(rows.join(sizes, "node"))
-        small.append(live.where(F.col("size") <= BIG).select("node", "set_id"))
-        large = live.where(F.col("size") > BIG)
+        shared = cut(rows.join(sizes, "node"))
+        small.append(shared.where(F.col("size") <= BIG).select("node", "set_id"))
+        large = shared.where(F.col("size") > BIG)
         if large.isEmpty():
             break
         large = large.join(sets, "set_id")
         like = _likeness(large).where((F.col("like") >= DENSE) | F.lit(level == LAST_LEVEL))
         held = cut(like.select("node"))
         dense = dense.unionAll(cut(large.join(held, "node", "left_semi").select("node", "set_id", "size")))
-        rows = _branch(large.join(held, "node", "left_anti"))
-    return reduce(DataFrame.unionAll, small), dense
+        large = large.join(held, "node", "left_anti")
+        if level == safe:
+            live = cut(large.select("set_id").distinct())
+        rows = _branch(large)
+    return reduce(DataFrame.unionAll, small), dense, live, level
+
+
+def _fresh(ids: DataFrame, keys: DataFrame, documents: DataFrame, k: int, seed: int) -> DataFrame:
+    """(set_id, tokens) of the sets ``ids(set_id)`` with other minwise tokens."""
+
+    def step(batch: pa.RecordBatch) -> dict:
+        sets = [shingle_hashes(t, k) for t in texts(batch)]
+        return {"set_id": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "tokens": [t.tobytes() for t in minwise_tokens(sets, seed)] if sets else []}
+
+    return map_arrow(_chosen(ids.join(keys, "set_id"), documents), "set_id binary, tokens binary", step).dropDuplicates(["set_id"])
+
+
+def all_nodes(sets: DataFrame, keys: DataFrame, documents: DataFrame, k: int, percent: int, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
+    """The nodes of ``nodes_of`` from as many rounds of ``trees`` trees as MISS asks for."""
+    safe = safe_level(trees, percent)
+    nodes, dense, live, level = nodes_of(sets, range(trees), safe)
+    if safe < 2:
+        live = sets.select("set_id")
+    miss, turn = missed(level, trees, percent), 1
+    while live is not None and miss > MISS / 2 and not live.isEmpty():
+        again = cut(_fresh(live, keys, documents, k, turn + 1))
+        more, more_dense, _, level = nodes_of(again, range(turn * trees, (turn + 1) * trees))
+        nodes, dense = nodes.unionAll(more), dense.unionAll(more_dense)
+        miss, turn = miss * missed(level, trees, percent), turn + 1
+    return nodes, dense
 
 
 def _blocks(dense: DataFrame) -> DataFrame:
@@ -284,18 +348,22 @@ def _outside(named: DataFrame) -> DataFrame:
     return members.unionAll(others).select(F.xxhash64("node", "i", "j").alias("node"), "set_id", "label").distinct()
 
 
+def _chosen(keys: DataFrame, documents: DataFrame) -> DataFrame:
+    """The rows (text, row_key) of ``documents`` that ``keys(set_id, row_key)`` names."""
+    wanted = cut(keys)
+    picked = wanted.select("row_key").distinct()
+    if wanted.count() <= BROADCAST_KEYS:
+        picked = F.broadcast(picked)
+    keyed = documents.select("text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key"))
+    return keyed.join(picked, "row_key", "left_semi")
+
+
 def confirm(pairs: DataFrame, keys: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` with 100 * intersection >= percent * union of the full sets.
 
     ``keys(set_id, row_key)`` names one document for each set.
     """
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(keys, "set_id"))
-    n = wanted.count()
-    picked = wanted.select("row_key").distinct()
-    if n <= BROADCAST_KEYS:
-        picked = F.broadcast(picked)
-    keyed = documents.select("text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key"))
-    chosen = keyed.join(picked, "row_key", "left_semi")
+    chosen = _chosen(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(keys, "set_id"), documents)
 
     def full(batch: pa.RecordBatch) -> dict:
         sets = [shingle_hashes(t, k).tobytes() for t in texts(batch)]
@@ -319,7 +387,7 @@ def confirm(pairs: DataFrame, keys: DataFrame, documents: DataFrame, k: int, per
 
 def linked_sets(sets: DataFrame, keys: DataFrame, documents: DataFrame, k: int, percent: int, trees: int = TREES) -> DataFrame:
     """(node, component) of every set that is linked with another one."""
-    nodes, dense = nodes_of(sets, trees)
+    nodes, dense = all_nodes(sets, keys, documents, k, percent, trees)
     edges = lambda links: links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     pairs = cut(_compare(nodes.unionAll(_blocks(dense)).join(sets, "set_id").select("node", "set_id", "tokens"), percent).distinct())
     links = cut(confirm(pairs, keys, documents, k, percent))

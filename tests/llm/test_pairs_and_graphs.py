@@ -71,6 +71,32 @@ def test_large_nodes_are_split_without_losing_links(spark, monkeypatch):
     assert got == dict(enumerate(naive_components(texts, 2, 80)[0]))
 
 
+def test_deep_nodes_of_a_templated_group_lose_no_links(spark, monkeypatch):
+    """Texts that share three quarters of their words part only on deep levels, where ten trees
+    lose about two links in a hundred."""
+    monkeypatch.setattr(near_dup, "BIG", 4)
+    monkeypatch.setattr(near_dup, "DENSE", 257)
+    template, pairs = [f"t{i}" for i in range(75)], 400
+    texts = []
+    for i in range(pairs):
+        own = [f"o{i}_{j}" for j in range(25)]
+        texts += [" ".join(template + own), " ".join(template + own[11:] + [f"n{i}_{j}" for j in range(11)])]  # 89 of 111 words in both
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, k=1).collect()}
+    assert got == {i: i - i % 2 for i in range(2 * pairs)}
+
+
+def test_computed_miss_is_that_of_the_branching_law():
+    assert 6e-3 < near_dup.missed(8, 10) < 1e-2 and near_dup.missed(near_dup.safe_level(10, 80), 10) <= near_dup.MISS / 2
+    r = np.random.default_rng(4)
+
+    def meets(p, level):
+        return level == 0 or any(r.random() < p and meets(p, level - 1) for _ in range(1 + (r.random() < 0.25)))
+
+    lost = sum(not any(meets(p, 6) for _ in range(3)) for p in r.binomial(near_dup.TOKENS, 0.8, 8000) / near_dup.TOKENS)
+    assert abs(lost / 8000 / near_dup.missed(6, 3) - 1) < 0.1
+
+
 def test_one_of_each_keeps_other_columns_and_rows_without_ids(spark):
     rows = [(None, "a b c d e f", "p"), (2, "a b c d e f", "q"), (None, "z y x w v u", "r"), (None, "z y x w v u", "r"), (5, None, "s"), (6, "", "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row_key string")
