@@ -12,7 +12,12 @@ terms reaches the threshold. No item that reaches the threshold is lost.
 Retrieved items are verified on the whole text: an item's question (up to the last ``?``;
 without one, all but its last sentence) and its answer (the rest) must each share at least
 ``overlap`` of their five-word shingles with the text. A part of fewer words counts as one
-shingle; an empty part needs nothing.
+shingle; an empty part needs nothing. One changed word takes up to five shingles, which is
+most of a part of up to 13 words. So parts are also compared in the passage by the widest
+shingles of which any one changed word leaves half, near the words of the other part that
+are found there; the higher share counts. A part of one word, of which a change leaves
+nothing, needs nothing beside a longer one. Only items of one part of fewer than five words
+must be held as they are.
 
 The index is made of slices of up to SLICE_WORDS words, which bounds what is broadcast at
 once; further slices take further passes. Scores use the statistics of their slice.
@@ -25,6 +30,7 @@ texts the result is empty; only the id and text columns are read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass
 
@@ -62,13 +68,36 @@ def parts_of(text: str) -> tuple[str, str]:
     return (body[: ends[-1]], body[ends[-1] :]) if ends else (body, "")
 
 
-def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
-    if not words:
+def shingles(words: list[bytes], width: int = SHINGLE) -> set[tuple[bytes, ...]]:
+    width = min(width, len(words))
+    if not width:
         return set()
-    width = min(SHINGLE, len(words))
     return set(zip(*(words[i:] for i in range(width)), strict=False))
 
 
+def steady_width(words: list[bytes]) -> int:
+    """The widest shingles, of SHINGLE words at most, of which a change of any one word leaves
+    half (``OVERLAP``); 0 if there are none."""
+    for width in range(min(SHINGLE, len(words)), 0, -1):
+        grams = list(zip(*(words[i:] for i in range(width)), strict=False))
+        n = len(set(grams))
+        if n - width >= OVERLAP * n:  # a word is in so many shingles at most
+            return width
+        if len(words) <= 4 * SHINGLE and all(len({*grams[: max(0, at - width + 1)], *grams[at + 1 :]}) >= OVERLAP * n for at in range(len(words))):
+            return width
+    return 0
+
+
+def judged_parts(text: str) -> tuple[list[bytes], list[bytes]]:
+    """Words of an item's question and answer; one that a changed word can wipe out is empty
+    if the other is none such."""
+    question, answer = (words_of(p.encode()) for p in parts_of(text))
+    steady = steady_width(question) > 0, steady_width(answer) > 0
+    if question and answer and steady[0] != steady[1]:
+        return (question, []) if steady[0] else ([], answer)
+    return question, answer
+
+
 @dataclass
 class Index:
     """BM25 impacts of a slice of items, as fractions of the items' own scores."""
@@ -76,6 +105,9 @@ class Index:
     items: list[int]
     questions: list[set]
     answers: list[set]
+    #: steady shingles of questions and answers, and the items' words
+    steady: list[tuple[set, set]]
+    sizes: list[int]
     vocabulary: dict[bytes, int]
     #: postings, by term: item and impact
     post_at: np.ndarray
@@ -113,11 +145,13 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
     pair = term * (1 << 32) + item // BLOCK_ITEMS
     start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
     block_max, block_term = np.maximum.reduceat(impact, start), term[start]
-    parts = [tuple(shingles(words_of(p.encode())) for p in parts_of(t)) for _, t, _ in bags]
+    parts = [judged_parts(t) for _, t, _ in bags]
     return Index(
         [i for i, _, _ in bags],
-        [q for q, _ in parts],
-        [a for _, a in parts],
+        [shingles(q) for q, _ in parts],
+        [shingles(a) for _, a in parts],
+        [tuple(shingles(p, steady_width(p)) for p in pair) for pair in parts],
+        lengths.astype(int).tolist(),
         vocabulary,
         post_at,
         item,
@@ -177,6 +211,33 @@ def overlaps(index: Index, item: int, text_shingles: dict[int, set]) -> tuple[fl
     return share(index.questions[item]), share(index.answers[item])
 
 
+def overlaps_nearby(index: Index, item: int, passage: list[bytes]) -> tuple[float, float]:
+    """Shares of the item's steady question and answer shingles found in the passage, no
+    further from what is found of the other part than the item is long."""
+    size, parts, whole = index.sizes[item], index.steady[item], (index.questions[item], index.answers[item])
+    hits = []
+    for part in parts:
+        width = len(next(iter(part))) if part else 0
+        grams = zip(*(passage[i:] for i in range(width)), strict=False) if part else ()
+        hits.append([(at, g) for at, g in enumerate(grams) if g in part])
+
+    def share(n: int) -> float:
+        part, own, other = parts[n], hits[n], hits[1 - n]
+        if not whole[n]:
+            return 1.0
+        if not part:
+            return 0.0
+        if whole[1 - n]:
+            places = [at for at, _ in other]
+            near = [bisect_left(places, at - size) < bisect_right(places, at + size) for at, _ in own]
+            return len({g for (_, g), good in zip(own, near, strict=True) if good}) / len(part)
+        if len(next(iter(part))) == 1:
+            return 0.0
+        return max((len({g for at, g in own if first <= at < first + 2 * size}) for first, _ in own), default=0) / len(part)
+
+    return share(0), share(1)
+
+
 class _ByWidth(dict):
     """A text's shingles of each width, made when asked for."""
 
@@ -224,10 +285,13 @@ def _find_lot(index, spans, begin, offset, lengths, ids, words, threshold, overl
     pair = np.unique(owner[known] * len(index.vocabulary) + term[known])
     passage, item, score = retrieve(index, pair // len(index.vocabulary), pair % len(index.vocabulary), len(spans), threshold)
     found, own = [], {}
-    for d, i, s in zip(doc[passage].tolist(), item.tolist(), score.tolist(), strict=True):
+    starts = np.array([s for _, s in spans])[passage].tolist()
+    for d, i, s, start in zip(doc[passage].tolist(), item.tolist(), score.tolist(), starts, strict=True):
         if d not in own:
             own[d] = _ByWidth(words[d])
         q, a = overlaps(index, i, own[d])
+        if q < overlap or a < overlap:
+            q, a = map(max, (q, a), overlaps_nearby(index, i, words[d][start : start + 2 * index.stride]))
         if q >= overlap and a >= overlap:
             found.append((d, index.items[i], s, q, a))
     return found

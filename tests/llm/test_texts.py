@@ -160,6 +160,30 @@ def test_retrieval_loses_nothing_above_the_threshold():
         assert got == expected
 
 
+def test_copies_with_one_word_changed_are_found_at_each_place():
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 8)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    lengths = [(q, a) for q in (9, 16, 30) for a in (1, 2, 3, 4, 5, 7, 9, 13, 14, 20)] + [(1, 12), (3, 12), (12, 0), (6, 0)]
+    items = [(n, f"{some(q)}{'?.'[n % 2]} {some(a)}".strip() + ".") for n, (q, a) in enumerate(x for x in lengths for _ in range(2))]
+    index = decontamination.build_index(items)
+    for i, text in items:
+        w = text.split()
+        docs = []
+        for at in range(len(w)):
+            mark = re.sub(r"\w", "", w[at])
+            docs.append(" ".join([some(70), *w[:at], "zzz" + mark, *w[at + 1 :], some(70)]).encode())
+        found = {d for d, n, *_ in decontamination.find(index, docs) if n == i}
+        assert found == set(range(len(w))), text
+
+
+def test_a_question_without_its_answer_nearby_is_not_held():
+    items = [(1, "aa bb cc dd ee ff gg hh ii jj kk ll mm nn? pp qq rr."), (2, "ab ac ad ae af ag ah ai aj ak al am an ao. bp bq br bs.")]
+    index = decontamination.build_index(items)
+    docs = [f"{items[0][1].split('?')[0]} {'x ' * 60} pp y qq".encode(), f"{items[1][1].split('.')[0]} no such words here".encode(), b"pp qq rr"]
+    assert decontamination.find(index, docs) == []
+
+
 def test_contaminated_documents(spark):
     items, _ = bench_items()
     benchmark = spark.createDataFrame([*items, (50, None), (51, " "), (None, "x y z")], "item_id long, text string")
