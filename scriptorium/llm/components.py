@@ -1,9 +1,10 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Each round is a handful of aggregations and joins on node keys (the minimum over a hub's
-neighbours combines map-side, and the joins may be split where a hub is skewed), and ends
-in a reliable checkpoint. Self-loops and repeated edges are allowed; edges with a null end
-are no edges. Nodes without edges do not occur in the result.
+Each round is a handful of aggregations and joins on node keys and ends in a reliable
+checkpoint. The least neighbours of all nodes combine map-side and are written before they
+are joined, so that both sides of the join are plain exchanges, which adaptive execution
+splits where a hub has very many edges. Self-loops and repeated edges are allowed; edges
+with a null end are no edges. Nodes without edges do not occur in the result.
 """
 
 from __future__ import annotations
@@ -16,14 +17,13 @@ from scriptorium.session import cut
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = both.join(least, "u").where("v > u")
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(down.groupBy("u").agg(F.min("v").alias("m")))
     others = down.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        now = cut(_small_star(_large_star(now)))
+        large = cut(_large_star(now))
+        now = cut(_small_star(large))
         before, mark = mark, _mark(now)
         if mark == before:
             break

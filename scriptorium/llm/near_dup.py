@@ -1,32 +1,34 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document's set is that of its word shingles. Equal sets are one *set* from then on, so
-exact copies cost nothing further. Each set has TOKENS minwise tokens, of a byte each. In each of ``trees``
-independent trees, a node is a path of (coordinate, token) choices; which coordinates a
-node branches on is a keyed hash of the node: one, or in a quarter of all nodes two, so
-that a set moves to 1.25 children on average and a pair of similarity 0.8 stays together
-in one of them as a whole. Sets of low similarity part after a few levels.
-
-* A node of one set ends; one of up to BIG sets is compared exhaustively on the minwise
-  tokens; a larger one branches on.
-* A larger node whose sets resemble its pivot (``DENSE``), or that is left at the last
-  level, would not part: it is split into blocks of about BLOCK sets that all hold some
-  pivots of the node.
-
-Sets of fitting sizes whose tokens agree often enough are confirmed on full sets, recomputed from the
-texts of these documents alone. A node gives a spanning forest of its agreeing sets first,
-not all pairs. When the components of the confirmed links are known, all agreeing sets of
-a node that are still in different components are confirmed too; in a dense node,
-whatever is outside its largest component meets every block. So every link of a node is
-found or lies inside one component. Components are joined by alternating stars.
-
-Recall: a pair of similarity 0.8 meets in one tree with probability 0.73 after two levels,
-0.58 after four, 0.41 after eight, 0.32 after twelve; ten trees on the same tokens miss
-4e-6, 3e-4, 8e-3 and 3e-2 (``missed``). So sets of nodes that branch on where the trees
-miss too much go through further rounds of trees, each on fresh tokens, until the rounds,
-each taken at its deepest level, miss MISS / 2 together. With the pairs that part before
-and those whose tokens disagree too much (3e-5), a link is missed with probability MISS at
-most, however deep the nodes are.
+exact copies cost nothing further. Each set has TOKENS minwise tokens, of a byte each. In
+each of ``trees`` independent trees, a node is a path of (coordinate, token) choices; which
+coordinates a node branches on is a keyed hash of the node: one, or in a quarter of all
+nodes two, so that a set moves to 1.25 children on average and a pair of similarity 0.8
+stays together in one of them as a whole. Sets of low similarity part after a few levels.
+
+* Nodes are first counted at FIRST_LEVEL, as paths down to there need no exchange. A node
+  of one set ends; one of up to BIG sets is compared exhaustively on the minwise tokens;
+  a larger one branches on.
+* A larger node whose sets resemble each other (``DENSE``), or that is left at the last
+  level, would not part: all of its sets count as agreeing.
+
+Each node gives a star of its agreeing sets, not all pairs. The components of these stars
+are *groups*: every pair that agrees in some node is inside one. Then the full sets, made
+anew from the texts, are sent to their group once and linked there exactly, all pairs of a
+group, in one task; only a star of links leaves it. A group of too many or too long sets is
+split into blocks that all hold some pivots of the group; once their links are joined,
+whatever is outside the group's largest component meets every set of the group, block by
+block. So every link inside a group is found, and what is written grows with the sets of
+a group, but for those outside of its largest component.
+
+Recall: a pair of similarity 0.8 meets in one tree with probability 0.58 after four levels,
+0.48 after six, 0.32 after twelve; twelve trees on the same tokens miss 8e-5, 8e-4 and 2e-2
+(``missed``). So sets of nodes that branch on where the trees miss too much go through
+further rounds of trees, each on fresh tokens, until the rounds, each taken at its deepest
+level, miss MISS / 2 together. With the pairs that part before and those whose tokens
+disagree too much (3e-5), a link is missed with probability MISS at most, however deep the
+nodes are.
 
 Defined cases: null, empty or blank text has no set and is linked with nothing; a text of
 fewer words than a shingle has its whole sequence as one shingle; repeated rows are exact
@@ -53,12 +55,15 @@ from scriptorium.session import cut, table
 
 #: Minwise tokens of a set, a byte each; agreement of a pair is asked for to DEVIATIONS below the mean.
 TOKENS, DEVIATIONS = 256, 4.2
-TREES, BIG, LAST_LEVEL = 10, 512, 12
+TREES, FIRST_LEVEL, BIG, LAST_LEVEL = 12, 4, 512, 12
 #: A pair that is just similar enough is missed with this probability at most.
 MISS = 5e-4
-#: A node is dense if its sets agree with its pivot in so many tokens on average.
-DENSE = 160
-PIVOTS, BLOCK = 8, 400
+#: A node is dense if its sampled sets agree in so many tokens on average.
+DENSE, PROBES = 160, 8
+#: Sets and shingles of a block of full sets, about; pivots that every block of a group holds.
+BLOCK, BLOCK_SHINGLES, PIVOTS = 400, 500_000, 8
+#: Columns of the dense products that count common shingles.
+WIDTH = 2048
 #: Ids that may be broadcast to pick documents; beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 CACHE_WORDS = 200_000
@@ -129,6 +134,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, TOKENS + 4)
 
 
+def _row_key() -> F.Column:
+    """128 bits that name a row by its id and text."""
+    return F.unhex(F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))))
+
+
 def with_sets(documents: DataFrame, k: int) -> DataFrame:
     """(doc_id, row_key, set_id, n_shingles, tokens) of each row of ``documents(doc_id, text)``."""
 
@@ -144,108 +154,148 @@ def with_sets(documents: DataFrame, k: int) -> DataFrame:
             "tokens": [next(tokens).tobytes() if len(s) else None for s in sets],
         }
 
-    keyed = documents.select(F.col("doc_id").cast("long"), "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
-    return map_arrow(keyed, "doc_id long, row_key long, set_id binary, n_shingles long, tokens binary", step)
-
-
-def _branch(rows: DataFrame) -> DataFrame:
-    """One level down: ``rows(node, set_id, tokens)`` with the children as nodes."""
-    node = F.col("node")
-    first = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(TOKENS)).cast("int")
-    second = F.pmod(first + 1 + F.pmod(F.xxhash64(node, F.lit(2)), F.lit(TOKENS - 1)).cast("int"), F.lit(TOKENS))
-    twice = F.pmod(F.xxhash64(node, F.lit(3)), F.lit(4)) == 0
-    places = F.when(twice, F.array(first, second)).otherwise(F.array(first))
-    children = F.transform(places, lambda c: F.xxhash64(node, c, F.substring(F.col("tokens"), c + 1, F.lit(1))))
-    return rows.select(F.explode(children).alias("node"), "set_id", "tokens")
-
-
-def _alike(rows: np.ndarray, percent: int) -> np.ndarray:
-    """Which rows of tokens and sizes may have a similarity of ``percent``, as (rows, rows)."""
-    n, p = len(rows), percent / 100
-    least = TOKENS * p - DEVIATIONS * np.sqrt(TOKENS * p * (1 - p))
-    tokens, sizes = rows[:, :TOKENS], np.ascontiguousarray(rows[:, TOKENS:]).view("<u4").astype(np.int64)[:, 0]
-    out = np.empty((n, n), dtype=bool)
-    for at in range(0, n, 32):
-        agree = (tokens[at : at + 32, None, :] == tokens[None, :, :]).sum(2)
-        low, high = np.minimum(sizes[at : at + 32, None], sizes), np.maximum(sizes[at : at + 32, None], sizes)
-        out[at : at + 32] = (agree >= least) & (100 * low >= percent * high)
-    return out
+    keyed = documents.select(F.col("doc_id").cast("long"), "text", _row_key().alias("row_key"))
+    return map_arrow(keyed, "doc_id long, row_key binary, set_id binary, n_shingles long, tokens binary", step)
+
+
+def branch(node: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One level down from the nodes that the rows of ``tokens`` are in: (row, child) pairs."""
+    first = _mix(node ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(TOKENS)
+    second = (first + np.uint64(1) + _mix(node ^ np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(TOKENS - 1)) % np.uint64(TOKENS)
+    twice = np.flatnonzero(_mix(node ^ np.uint64(0x165667B19E3779F9)) & np.uint64(3) == 0)
+    rows = np.concatenate([np.arange(len(node)), twice])
+    place = np.concatenate([first, second[twice]])
+    token = tokens[rows, place.astype(np.int64)].astype(np.uint64)
+    return rows, _mix(node[rows] * np.uint64(0x9FB21C651E98DF25) + place * np.uint64(256) + token + np.uint64(1))
+
 
+def _node_rows(batch: pa.RecordBatch, rows: np.ndarray, nodes: np.ndarray) -> dict:
+    return {"node": nodes.view(np.int64), "id": batch.column("id").to_numpy()[rows]}
 
-def _forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the graph of agreeing rows, from the rows with most neighbours."""
-    np.fill_diagonal(near, False)
-    seen, edges = np.zeros(len(near), dtype=bool), []
-    for root in np.argsort(-near.sum(1), kind="stable").tolist():
-        stack = [] if seen[root] else [root]
-        seen[root] = True
-        while stack:
-            u = stack.pop()
-            fresh = np.flatnonzero(near[u] & ~seen).tolist()
-            seen[fresh] = True
-            edges += [(u, v) for v in fresh]
-            stack += fresh
-    return edges
 
+def _first_nodes(sets: DataFrame, roots: range) -> DataFrame:
+    """(node, id) of the nodes at FIRST_LEVEL that the sets (id, tokens) come to."""
 
-def _crossing(near: np.ndarray, labels: list[bytes]) -> list[tuple[int, int]]:
-    """Agreeing rows of different labels."""
-    codes = np.unique(np.array([x.hex() for x in labels]), return_inverse=True)[1]
-    i, j = np.nonzero(np.triu(near & (codes[:, None] != codes[None, :]), 1))
-    return list(zip(i.tolist(), j.tolist(), strict=True))
+    def step(batch: pa.RecordBatch) -> dict:
+        tokens = _matrix(batch.column("tokens"))
+        starts = _mix(np.array(roots, dtype=np.uint64) + np.uint64(17))
+        rows, nodes = np.tile(np.arange(len(tokens)), len(roots)), np.repeat(starts, len(tokens))
+        for _ in range(FIRST_LEVEL):
+            into, nodes = branch(nodes, tokens[rows])
+            rows = rows[into]
+        return _node_rows(batch, rows, nodes)
+
+    return map_arrow(sets.select("id", "tokens"), "node long, id long", step, column="tokens")
+
+
+def _next_nodes(rows: DataFrame) -> DataFrame:
+    """(node, id) one level below ``rows(node, id, tokens)``."""
+
+    def step(batch: pa.RecordBatch) -> dict:
+        return _node_rows(batch, *branch(batch.column("node").to_numpy().view(np.uint64), _matrix(batch.column("tokens"))))
 
+    return map_arrow(rows.select("node", "id", "tokens"), "node long, id long", step, column="tokens")
 
-def _compare(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of agreeing sets within each node of ``rows(node, set_id, tokens[, label])``:
-    a spanning forest of them, or with labels all those of different labels.
 
-    Rows of a node come together by a shuffle; only one node, of about BIG rows at most, is
-    held at a time.
+def _least_agreement(percent: int) -> float:
+    p = percent / 100
+    return TOKENS * p - DEVIATIONS * math.sqrt(TOKENS * p * (1 - p))
+
+
+def _alike(rows: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which of ``rows`` of tokens and sizes may have a similarity of ``percent`` with which of
+    ``others`` (broadcast against each other)."""
+    sizes, theirs = (np.ascontiguousarray(x[..., TOKENS:]).view("<u4").astype(np.int64)[..., 0] for x in (rows, others))
+    fits = 100 * np.minimum(sizes, theirs) >= percent * np.maximum(sizes, theirs)
+    return fits & ((rows[..., :TOKENS] == others[..., :TOKENS]).sum(-1) >= _least_agreement(percent))
+
+
+def _parts(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix, the least row of its connected part."""
+    label = np.arange(len(near))
+    while True:
+        reached = np.minimum(label, np.where(near, label[None, :], len(near)).min(1))
+        reached = reached[reached]
+        if (reached == label).all():
+            return label
+        label = reached
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
+    """The rows of each run of equal ``by`` in sorted batches; only one run and batch is held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(by).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        if held and held[-1].column(by)[0].as_py() != key[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if lo:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _stars(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) from the sets of each node of ``rows(node, id, tokens)`` to the least set
+    of those that they agree with, directly or by others of the node.
+
+    Rows of a node come together by a shuffle; only one batch and one node, of BIG rows at
+    most, are held at a time.
     """
-    labelled = "label" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list = [np.zeros(0, np.int64), [], np.zeros((0, TOKENS + 4), np.uint8), []]
-
-        def pairs(node: np.ndarray, ids: list, tokens: np.ndarray, labels: list) -> pa.RecordBatch:
-            edges = (np.flatnonzero(np.diff(node)) + 1).tolist()
-            a, b = [], []
-            for lo, hi in zip([0, *edges], [*edges, len(node)], strict=True):
-                if hi - lo < 2:
-                    continue
-                near = _alike(tokens[lo:hi], percent)
-                for p, q in _crossing(near, labels[lo:hi]) if labelled else _forest(near):
-                    x, y = ids[lo + p], ids[lo + q]
-                    if x != y:
-                        a.append(min(x, y))
-                        b.append(max(x, y))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TOKENS + 4), np.uint8)]
+
+        def stars(node: np.ndarray, ids: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
+            start = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(node)]]) if len(node) else np.zeros(1, int)
+            size = np.diff(start)
+            two = start[:-1][size == 2]
+            two = two[_alike(tokens[two], tokens[two + 1], percent)]
+            u, v = [ids[two + 1]], [ids[two]]
+            for lo, n in zip(start[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                order = lo + np.argsort(ids[lo : lo + n], kind="stable")
+                own, sketch = ids[order], tokens[order]
+                near = np.vstack([_alike(sketch[at : at + 32, None, :], sketch[None, :, :], percent) for at in range(0, n, 32)])
+                least = own[_parts(near)]
+                u.append(own[own != least])
+                v.append(least[own != least])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = _matrix(batch.column("tokens"))
-            node = np.concatenate([rest[0], batch.column("node").to_numpy()])
-            ids, tokens = rest[1] + batch.column("set_id").to_pylist(), np.vstack([rest[2], own])
-            labels = rest[3] + batch.column("label").to_pylist() if labelled else []
-            keep = int(np.flatnonzero(node == node[-1])[0])  # the last node may go on in the next batch
-            yield pairs(node[:keep], ids[:keep], tokens[:keep], labels[:keep])
-            rest = [node[keep:], ids[keep:], tokens[keep:], labels[keep:]]
-        yield pairs(*rest)
+            node, ids = (np.concatenate([r, batch.column(c).to_numpy()]) for r, c in zip(rest, ("node", "id"), strict=False))
+            tokens = np.vstack([rest[2], _matrix(batch.column("tokens"))])
+            keep = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
+            yield stars(node[:keep], ids[:keep], tokens[:keep])
+            rest = [node[keep:], ids[keep:], tokens[keep:]]
+        yield stars(*rest)
 
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a binary, b binary")
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "u long, v long")
 
 
-def _likeness(large: DataFrame) -> DataFrame:
-    """(node, like): how many tokens the sets of each node share with its pivot on average."""
-    pivot = large.groupBy("node").agg(F.min_by("tokens", F.xxhash64("set_id")).alias("tokens_b"))
-    both = large.join(pivot, "node").select("node", F.col("tokens").alias("tokens_a"), "tokens_b")
+def _dense(large: DataFrame, level: int) -> DataFrame:
+    """(node) of the nodes of ``large(node, id, tokens)`` whose PROBES sets, those of the least
+    keyed hashes, agree in DENSE tokens on average; all nodes at the last level."""
+    if level == LAST_LEVEL:
+        return large.select("node").distinct()
+    probes = [F.min_by("tokens", F.xxhash64(F.lit(seed), "id")) for seed in range(PROBES)]
 
     def step(batch: pa.RecordBatch) -> dict:
-        x, y = (_matrix(batch.column(c))[:, :TOKENS] for c in ("tokens_a", "tokens_b"))
-        return {"node": batch.column("node"), "agree": (x == y).sum(1).astype(np.int32)}
+        agree = []
+        for row in batch.column("probes").to_pylist():
+            x = np.frombuffer(b"".join(row), dtype=np.uint8).reshape(len(row), TOKENS + 4)[:, :TOKENS]
+            agree.append(float(np.mean([(x[i] == x[j]).sum() for i in range(len(x)) for j in range(i)] or [TOKENS])))
+        return {"node": batch.column("node"), "agree": agree}
 
-    return map_arrow(both, "node long, agree int", step, column="tokens_a").groupBy("node").agg(F.avg("agree").alias("like"))
+    probed = large.groupBy("node").agg(F.array_distinct(F.array(*probes)).alias("probes"))
+    return map_arrow(probed, "node long, agree double", step, column="probes").where(F.col("agree") >= DENSE).select("node")
 
 
 def missed(level: int, trees: int, percent: int = 80) -> float:
@@ -264,140 +314,174 @@ def missed(level: int, trees: int, percent: int = 80) -> float:
 
 
 def safe_level(trees: int, percent: int) -> int:
-    """The deepest level to which ``trees`` trees miss MISS / 2 at most; 1 if there is none
+    """The deepest level to which ``trees`` trees miss MISS / 2 at most; 0 if there is none
     at which nodes end."""
-    return max((level for level in range(2, LAST_LEVEL + 1) if missed(level, trees, percent) <= MISS / 2), default=1)
-
-
-def nodes_of(sets: DataFrame, roots: range = range(TREES), safe: int = LAST_LEVEL) -> tuple[DataFrame, DataFrame, DataFrame | None, int]:
-    """Of ``sets(set_id, tokens)``: the rows (node, set_id) of nodes of 2 to BIG sets, the
-    rows (node, set_id, size) of larger nodes that do not part any more, the ids (set_id) of
-    sets that branch on at level ``safe`` (none: None), and the deepest level at which a
-    node ended. ``roots`` numbers the trees."""
-    spark = sets.sparkSession
-    small, dense = [], spark.createDataFrame([], "node bigint, set_id binary, size bigint")
-    live = None
-    roots = F.explode(F.array(*[F.xxhash64(F.lit(17), F.lit(r)) for r in roots]))
-    rows = _branch(_branch(sets.select(roots.alias("node"), "set_id", "tokens")))
-    for level in range(2, LAST_LEVEL + 1):
-        rows = cut(rows.select("node", "set_id"))
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    return max((level for level in range(FIRST_LEVEL, LAST_LEVEL + 1) if missed(level, trees, percent) <= MISS / 2), default=0)
+
+
+def nodes_of(sets: DataFrame, roots: range, safe: int = LAST_LEVEL) -> tuple[DataFrame, DataFrame, DataFrame | None, int]:
+    """Of ``sets(id, tokens)``: the rows (node, id) of nodes of 2 to BIG sets, the rows
+    (node, id) of larger nodes that do not part any more, the ids (id) of sets that branch
+    on at level ``safe`` (none: None), and the deepest level at which a node ended.
+    ``roots`` numbers the trees."""
+    small, dense = [], sets.sparkSession.createDataFrame([], "node bigint, id bigint")
+    live, rows = None, _first_nodes(sets, roots)
+    for level in range(FIRST_LEVEL, LAST_LEVEL + 1):
+        sizes = cut(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"))
         shared = cut(rows.join(sizes, "node"))
-        small.append(shared.where(F.col("size") <= BIG).select("node", "set_id"))
-        large = shared.where(F.col("size") > BIG)
+        small.append(shared.where(F.col("size") <= BIG).select("node", "id"))
+        large = shared.where(F.col("size") > BIG).select("node", "id")
         if large.isEmpty():
             break
-        large = large.join(sets, "set_id")
-        like = _likeness(large).where((F.col("like") >= DENSE) | F.lit(level == LAST_LEVEL))
-        held = cut(like.select("node"))
-        dense = dense.unionAll(cut(large.join(held, "node", "left_semi").select("node", "set_id", "size")))
-        large = large.join(held, "node", "left_anti")
+        with_tokens = large.join(sets, "id")
+        held = cut(_dense(with_tokens, level))
+        dense = dense.unionAll(large.join(held, "node", "left_semi"))
+        going = with_tokens.join(held, "node", "left_anti")
         if level == safe:
-            live = cut(large.select("set_id").distinct())
-        rows = _branch(large)
+            live = cut(going.select("id").distinct())
+        rows = cut(_next_nodes(going))
     return reduce(DataFrame.unionAll, small), dense, live, level
 
 
 def _fresh(ids: DataFrame, keys: DataFrame, documents: DataFrame, k: int, seed: int) -> DataFrame:
-    """(set_id, tokens) of the sets ``ids(set_id)`` with other minwise tokens."""
+    """(id, tokens) of the sets ``ids(id)`` with other minwise tokens."""
 
     def step(batch: pa.RecordBatch) -> dict:
         sets = [shingle_hashes(t, k) for t in texts(batch)]
-        return {"set_id": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "tokens": [t.tobytes() for t in minwise_tokens(sets, seed)] if sets else []}
+        return {"id": batch.column("id"), "tokens": [t.tobytes() for t in minwise_tokens(sets, seed)] if sets else []}
+
+    return map_arrow(_chosen(ids, keys, documents), "id long, tokens binary", step).dropDuplicates(["id"])
+
 
-    return map_arrow(_chosen(ids.join(keys, "set_id"), documents), "set_id binary, tokens binary", step).dropDuplicates(["set_id"])
+def agreeing(sets: DataFrame, keys: DataFrame, documents: DataFrame, k: int, percent: int, trees: int) -> DataFrame:
+    """Edges (u, v) whose components hold every pair of agreeing sets of a node, from as many
+    rounds of ``trees`` trees as MISS asks for."""
 
+    def edges(small: DataFrame, dense: DataFrame, own: DataFrame) -> DataFrame:
+        least = cut(dense.groupBy("node").agg(F.min("id").alias("v")))
+        held = dense.join(least, "node").where("id > v").select(F.col("id").alias("u"), "v")
+        return cut(_stars(small.join(own, "id").select("node", "id", "tokens"), percent).unionAll(held).distinct())
 
-def all_nodes(sets: DataFrame, keys: DataFrame, documents: DataFrame, k: int, percent: int, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
-    """The nodes of ``nodes_of`` from as many rounds of ``trees`` trees as MISS asks for."""
     safe = safe_level(trees, percent)
-    nodes, dense, live, level = nodes_of(sets, range(trees), safe)
-    if safe < 2:
-        live = sets.select("set_id")
+    small, dense, live, level = nodes_of(sets, range(trees), safe)
+    found = edges(small, dense, sets)
+    if not safe:
+        live = sets.select("id")
     miss, turn = missed(level, trees, percent), 1
     while live is not None and miss > MISS / 2 and not live.isEmpty():
         again = cut(_fresh(live, keys, documents, k, turn + 1))
-        more, more_dense, _, level = nodes_of(again, range(turn * trees, (turn + 1) * trees))
-        nodes, dense = nodes.unionAll(more), dense.unionAll(more_dense)
+        small, dense, _, level = nodes_of(again, range(turn * trees, (turn + 1) * trees))
+        found = found.unionAll(edges(small, dense, again))
         miss, turn = miss * missed(level, trees, percent), turn + 1
-    return nodes, dense
-
-
-def _blocks(dense: DataFrame) -> DataFrame:
-    """Rows (node, set_id) that split each dense node into blocks of about BLOCK sets, every
-    one with the node's pivots."""
-    block = lambda i: F.xxhash64("node", i)
-    count = F.ceil(F.col("size") / BLOCK)
-    split = dense.select(block(F.pmod(F.xxhash64("set_id"), count)).alias("node"), "set_id")
-    least = [F.min_by("set_id", F.xxhash64(F.lit(seed), "set_id")) for seed in range(PIVOTS)]
-    pivots = dense.groupBy("node", "size").agg(F.array_distinct(F.array(*least)).alias("pivots"))
-    every = pivots.select("node", "pivots", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("i"))
-    return split.unionAll(every.select(block(F.col("i")).alias("node"), F.explode("pivots").alias("set_id"))).distinct()
-
-
-def _outside(named: DataFrame) -> DataFrame:
-    """Rows (node, set_id, label) of blocks in which whatever is outside a dense node's
-    largest component (``named(node, set_id, size, label)``) meets all of the node."""
-    core = named.groupBy("node", "label").count().groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("core"), F.sum("count").alias("n"), F.max("count").alias("in_core"))
-    known = named.join(core.where("in_core < n"), "node")
-    blocks, chunks = F.ceil(F.col("n") / BLOCK), F.ceil((F.col("n") - F.col("in_core")) / BLOCK)
-    to = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
-    own = F.xxhash64("set_id")
-    members = known.select("node", "set_id", "label", F.pmod(own, blocks).alias("i"), F.explode(to(chunks)).alias("j"))
-    others = known.where("label <> core").select("node", "set_id", "label", F.explode(to(blocks)).alias("i"), F.pmod(F.xxhash64(F.lit(9), "set_id"), chunks).alias("j"))
-    return members.unionAll(others).select(F.xxhash64("node", "i", "j").alias("node"), "set_id", "label").distinct()
-
-
-def _chosen(keys: DataFrame, documents: DataFrame) -> DataFrame:
-    """The rows (text, row_key) of ``documents`` that ``keys(set_id, row_key)`` names."""
-    wanted = cut(keys)
-    picked = wanted.select("row_key").distinct()
-    if wanted.count() <= BROADCAST_KEYS:
-        picked = F.broadcast(picked)
-    keyed = documents.select("text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key"))
-    return keyed.join(picked, "row_key", "left_semi")
+    return found
+
+
+def _chosen(ids: DataFrame, keys: DataFrame, documents: DataFrame) -> DataFrame:
+    """(id, text) of one document, or equal ones, for each of ``ids(id)``; ``keys(id, row_key)``
+    names it."""
+    wanted = _sized(keys.join(ids, "id", "left_semi").select("id", "row_key"))
+    return documents.select("text", _row_key().alias("row_key")).join(wanted, "row_key").select("id", "text")
+
+
+def common_shingles(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """How many shingles the sets numbered ``rows`` share with each of ``sets``: products of
+    0-1 matrices of WIDTH shingles at a time, of those that at least two sets hold."""
+    n = len(sets)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    code = np.cumsum(np.concatenate([[False], flat[1:] != flat[:-1]]))
+    held = np.bincount(code) > 1
+    keep = held[code]
+    code, owner = (np.cumsum(held) - 1)[code[keep]], owner[keep]
+    common = np.zeros((len(rows), n), dtype=np.float32)  # whole numbers below 2**24 are exact
+    for at in range(0, int(held.sum()), WIDTH):
+        lo, hi = np.searchsorted(code, [at, at + WIDTH])
+        some = np.zeros((n, WIDTH), dtype=np.float32)
+        some[owner[lo:hi], code[lo:hi] - at] = 1
+        common += some[rows] @ some.T
+    return common.astype(np.int64)
+
+
+def linked(sets: list[np.ndarray], outside: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets are linked, as a symmetric matrix: 100 * intersection >= percent * union; of
+    pairs of which neither is ``outside``, none."""
+    sizes, rows = np.array([len(s) for s in sets]), np.flatnonzero(outside)
+    common = common_shingles(sets, rows)
+    near = np.zeros((len(sets), len(sets)), dtype=bool)
+    near[rows] = 100 * common >= percent * (sizes[rows, None] + sizes[None, :] - common)
+    return near | near.T
+
+
+def _links(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) that join what is linked in each block of ``rows(block, id, label, outside,
+    hashes)``, one or none for each row: from its label to the least one that it reaches."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _runs(batches, "block"):
+            outside = block.column("outside").to_numpy(zero_copy_only=False)
+            if block.num_rows < 2 or not outside.any():
+                continue
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in block.column("hashes").to_pylist()]
+            names, label = np.unique(block.column("label").to_numpy(), return_inverse=True)
+            near = linked(sets, outside, percent)
+            first = np.unique(label, return_index=True)[1][label]
+            near[np.arange(len(label)), first] = near[first, np.arange(len(label))] = True  # one label is one part
+            least = np.full(len(sets), len(names))
+            part = _parts(near)
+            np.minimum.at(least, part, label)
+            edges = np.unique(np.stack([names[label], names[least[part]]]), axis=1)
+            edges = edges[:, edges[0] != edges[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["u", "v"])
+
+    return rows.select("block", "id", "label", "outside", "hashes").repartition("block").sortWithinPartitions("block").mapInArrow(run, "u long, v long")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Rows (block, id, label, outside) that send the sets ``members(part, id, blocks)`` to
+    their group, or to one of its blocks and the group's pivots to all of them."""
+    block = lambda i: F.xxhash64("part", i)
+    zero = F.lit(0).cast("bigint")
+    own = members.select(block(F.pmod(F.xxhash64("id"), "blocks")).alias("block"), "id")
+    least = [F.min_by("id", F.xxhash64(F.lit(seed), "id")) for seed in range(PIVOTS)]
+    pivots = members.where("blocks > 1").groupBy("part", "blocks").agg(F.array_distinct(F.array(*least)).alias("pivots"))
+    every = pivots.select("part", "pivots", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("i")).select(block(F.col("i")).alias("block"), F.explode("pivots").alias("id"))
+    return own.unionAll(every).distinct().withColumns({"label": F.col("id"), "outside": F.lit(True)})
+
+
+def _outside(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (block, id, label, outside) of blocks in which whatever is outside the largest
+    component of a split group ``members(part, id, blocks)`` meets all of the group."""
+    named = cut(members.where("blocks > 1").join(found, members["id"] == found["node"], "left").select("part", "id", "blocks", F.coalesce("component", "id").alias("label")))
+    largest = named.groupBy("part", "label").count().groupBy("part").agg(F.max_by("label", F.struct("count", "label")).alias("core"), F.sum("count").alias("n"), F.max("count").alias("in_core"))
+    known = named.join(cut(largest.where("in_core < n")), "part").withColumn("outside", F.col("label") != F.col("core"))
+    chunks = F.ceil(F.col("blocks") * (F.col("n") - F.col("in_core")) / F.col("n"))
+    to = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    kept = ["part", "id", "label", "outside"]
+    everyone = known.select(*kept, F.pmod(F.xxhash64("id"), "blocks").alias("i"), F.explode(to(chunks)).alias("j"))
+    others = known.where("outside").select(*kept, F.explode(to(F.col("blocks"))).alias("i"), F.pmod(F.xxhash64(F.lit(9), "id"), chunks).alias("j"))
+    return everyone.unionAll(others).select(F.xxhash64("part", "i", "j").alias("block"), "id", "label", "outside").distinct()
 
-def confirm(pairs: DataFrame, keys: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` with 100 * intersection >= percent * union of the full sets.
 
-    ``keys(set_id, row_key)`` names one document for each set.
-    """
-    chosen = _chosen(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(keys, "set_id"), documents)
+def linked_sets(sets: DataFrame, documents: DataFrame, k: int, percent: int, trees: int = TREES) -> DataFrame:
+    """(node, component) of every set of ``sets(id, tokens, row_key, n_shingles)`` that is
+    linked with another one."""
+    keys = sets.select("id", "row_key")
+    groups = cut(connected_components(agreeing(sets.select("id", "tokens"), keys, documents, k, percent, trees)))
+    placed = groups.select(F.col("node").alias("id"), F.col("component").alias("part")).join(sets.select("id", "n_shingles"), "id")
+    most = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES))
+    members = cut(placed.join(cut(placed.groupBy("part").agg(most.alias("blocks"))), "part").select("part", "id", "blocks"))
 
     def full(batch: pa.RecordBatch) -> dict:
-        sets = [shingle_hashes(t, k).tobytes() for t in texts(batch)]
-        return {"set_id": [xxhash.xxh3_128_digest(s) for s in sets], "hashes": sets}
-
-    whole = map_arrow(chosen, "set_id binary, hashes binary", full).dropDuplicates(["set_id"])
-    both = pairs.join(whole.select(F.col("set_id").alias("a"), F.col("hashes").alias("hashes_a")), "a").join(
-        whole.select(F.col("set_id").alias("b"), F.col("hashes").alias("hashes_b")), "b"
-    )
-
-    def check(batch: pa.RecordBatch) -> dict:
-        good = []
-        for x, y in zip(batch.column("hashes_a").to_pylist(), batch.column("hashes_b").to_pylist(), strict=True):
-            s, t = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            common = len(np.intersect1d(s, t, assume_unique=True))
-            good.append(100 * common >= percent * (len(s) + len(t) - common))
-        return {"a": batch.column("a"), "b": batch.column("b"), "good": good}
-
-    return map_arrow(both.select("a", "b", "hashes_a", "hashes_b"), "a binary, b binary, good boolean", check, column="hashes_a").where("good").select("a", "b")
-
-
-def linked_sets(sets: DataFrame, keys: DataFrame, documents: DataFrame, k: int, percent: int, trees: int = TREES) -> DataFrame:
-    """(node, component) of every set that is linked with another one."""
-    nodes, dense = all_nodes(sets, keys, documents, k, percent, trees)
-    edges = lambda links: links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    pairs = cut(_compare(nodes.unionAll(_blocks(dense)).join(sets, "set_id").select("node", "set_id", "tokens"), percent).distinct())
-    links = cut(confirm(pairs, keys, documents, k, percent))
-    found = connected_components(edges(links)).withColumnRenamed("node", "member")
-    label = F.coalesce("component", "set_id").alias("label")
-    named = nodes.join(found, nodes["set_id"] == found["member"], "left").select("node", "set_id", label)
-    far = cut(dense.join(found, dense["set_id"] == found["member"], "left").select("node", "set_id", "size", label))
-    apart = named.unionAll(_outside(far)).join(sets, "set_id").select("node", "set_id", "tokens", "label")
-    more = cut(_compare(apart, percent).distinct().join(pairs, ["a", "b"], "left_anti"))
-    return connected_components(edges(links.unionAll(confirm(more, keys, documents, k, percent))))
+        return {"id": batch.column("id"), "hashes": [shingle_hashes(t, k).tobytes() for t in texts(batch)]}
+
+    whole = cut(map_arrow(_chosen(members.select("id"), keys, documents), "id long, hashes binary", full).dropDuplicates(["id"]))
+    links = cut(_links(_blocks(members).join(whole, "id"), percent))
+    found = connected_components(links)
+    far = cut(_outside(members, found))
+    if far.isEmpty():
+        return found
+    return connected_components(links.unionAll(cut(_links(far.join(whole, "id"), percent))))
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
@@ -406,14 +490,15 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, trees:
     row_key of each component: that of the smallest id, or without ids the smallest."""
     rows = cut(with_sets(documents, k))
     full = rows.where("set_id is not null")
-    sets = cut(full.groupBy("set_id").agg(F.first("tokens").alias("tokens"), F.min("row_key").alias("row_key")))
-    label = linked_sets(sets.select("set_id", "tokens"), sets.select("set_id", "row_key"), documents, k, percent, trees)
-    named = full.join(label, full["set_id"] == label["node"], "left").select(
-        "doc_id", "row_key", "n_shingles", F.coalesce("component", "set_id").alias("part")
-    )
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("row_key").alias("first")))
-    least = named.groupBy("part").agg(first.alias("least")).select("part", F.col("least.doc_id").alias("component_id"), "least.first")
-    grouped = named.join(least, "part").select("doc_id", "row_key", "n_shingles", "component_id", (F.col("row_key") == F.col("first")).alias("stays"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("least")
+    sets = full.groupBy("set_id").agg(F.first("tokens").alias("tokens"), F.first("n_shingles").alias("n_shingles"), first)
+    sets = cut(sets.withColumn("id", F.monotonically_increasing_id()))  # fixed by the checkpoint
+    found = cut(linked_sets(sets.select("id", "tokens", "n_shingles", "least.row_key"), documents, k, percent, trees))
+    joined = sets.join(found, sets["id"] == found["node"]).select("id", "component", "least")
+    least = cut(joined.groupBy("component").agg(F.min("least").alias("of_all")))
+    named = cut(found.join(least, "component").select("node", "of_all"))
+    of_set = sets.join(named, sets["id"] == named["node"], "left").select("set_id", F.coalesce("of_all", "least").alias("to"))
+    grouped = full.drop("tokens").join(of_set, "set_id").select("doc_id", "row_key", "n_shingles", F.col("to.doc_id").alias("component_id"), (F.col("row_key") == F.col("to.row_key")).alias("stays"))
     alone = rows.where("set_id is null").select("doc_id", "row_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return grouped.unionAll(alone).withColumn("kept", kept)
@@ -425,7 +510,7 @@ def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80, trees: int
     judged = cut(near_duplicates(documents, k, percent, trees).select("row_key", "n_shingles", "stays"))
     gone = judged.where("not stays").select(F.col("row_key").alias(key)).distinct()
     twice = judged.where("stays and n_shingles > 0").groupBy(F.col("row_key").alias(key)).count().where("count > 1").select(key)
-    keyed = documents.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    keyed = documents.withColumn(key, _row_key())
     left = keyed.join(_sized(gone), key, "left_anti")
     if not twice.isEmpty():  # rows that repeat id and text
         left = left.join(_sized(twice), key, "left_anti").unionAll(left.join(_sized(twice), key, "left_semi").dropDuplicates([key]))

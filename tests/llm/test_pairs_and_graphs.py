@@ -64,6 +64,7 @@ def test_large_nodes_are_split_without_losing_links(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BIG", 4)
     monkeypatch.setattr(near_dup, "BLOCK", 3)
     monkeypatch.setattr(near_dup, "PIVOTS", 2)
+    monkeypatch.setattr(near_dup, "FIRST_LEVEL", 2)
     monkeypatch.setattr(near_dup, "LAST_LEVEL", 3)
     texts = corpus(2, 8)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS)
@@ -76,7 +77,8 @@ def test_deep_nodes_of_a_templated_group_lose_no_links(spark, monkeypatch):
     lose about two links in a hundred."""
     monkeypatch.setattr(near_dup, "BIG", 4)
     monkeypatch.setattr(near_dup, "DENSE", 257)
-    template, pairs = [f"t{i}" for i in range(75)], 400
+    monkeypatch.setattr(near_dup, "LAST_LEVEL", 7)
+    template, pairs = [f"t{i}" for i in range(75)], 150
     texts = []
     for i in range(pairs):
         own = [f"o{i}_{j}" for j in range(25)]
