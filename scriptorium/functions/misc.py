@@ -57,6 +57,44 @@ def series_id(url: Column) -> Column:
     return F.nullif(F.concat(by_name, F.when(by_name == "", by_number).otherwise("")), F.lit(""))
 
 
+# Where a series page of the known site has its fields.
+SERIES_FIELDS = {
+    "title": r'<h1[^>]*class="series-title"[^>]*>([^<]+)</h1>',
+    "author": r'<span[^>]*class="author"[^>]*><a[^>]*>([^<]+)</a></span>',
+    "cover_url": r'<img[^>]*id="series_image"[^>]*src="([^"]+)"',
+    "synopsis": r'<div[^>]*id="editdescription"[^>]*>([^<]+)',
+}
+SERIES_TAG = r'<a[^>]*class="genre"[^>]*>([^<]+)</a>'
+SERIES_STATE = r'<span[^>]*class="status"[^>]*>([^<]+)</span>'
+# Status words of the site that answers in JSON, and the shape of its answers.
+PAYLOAD_STATUS = {"ONGOING": "active", "COMPLETED": "completed", "HIATUS": "dropped", "ABANDONED": "dropped", "UNKNOWN": "active"}
+PAYLOAD = "struct<data:array<struct<title:string,author:struct<name:string>,coverUrl:string,description:string,genres:array<struct<name:string>>,status:string>>>"
+
+
+def series_page(html: Column) -> Column:
+    """(title, author, cover_url, synopsis, tags, status) of a series page; null without a
+    title. Missing fields are null, ten tags at most are kept, an unknown status is active."""
+    one = {k: F.nullif(F.regexp_replace(F.regexp_extract(html, p, 1), r"(?U)^\s+|\s+$", ""), F.lit("")) for k, p in SERIES_FIELDS.items()}
+    tags = F.slice(F.filter(F.transform(F.regexp_extract_all(html, F.lit(SERIES_TAG)), lambda t: F.trim(t)), lambda t: t != ""), 1, 10)
+    fields = [v.alias(k) for k, v in one.items()]
+    return F.when(one["title"].isNotNull(), F.struct(*fields, tags.alias("tags"), series_status(F.regexp_extract(html, SERIES_STATE, 1)).alias("status")))
+
+
+def series_record(payload: Column, base: str) -> Column:
+    """The first record of a search answer in JSON, with the fields of ``series_page``; null if
+    there is none or the answer is not readable."""
+    first = F.get(F.from_json(payload, PAYLOAD)["data"], 0)
+    status = F.element_at(F.create_map(*[F.lit(x) for kv in PAYLOAD_STATUS.items() for x in kv]), first["status"])
+    tags = F.slice(F.filter(F.transform(first["genres"], lambda g: F.trim(g["name"])), lambda t: t != ""), 1, 10)
+    return F.when(
+        first.isNotNull(),
+        F.struct(
+            F.coalesce(first["title"], F.lit("")).alias("title"), first["author"]["name"].alias("author"), absolute_url(first["coverUrl"], base).alias("cover_url"),
+            first["description"].alias("synopsis"), F.coalesce(tags, F.array().cast("array<string>")).alias("tags"), F.coalesce(status, F.lit("active")).alias("status"),
+        ),
+    )
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 

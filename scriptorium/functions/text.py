@@ -47,10 +47,10 @@ def normalise_quotes(x: Column) -> Column:
 
 
 def clean_text(x: Column) -> Column:
-    """Quotes, links, notes, watermarks, space; then every line stripped, without blank lines at the ends."""
-    x = normalise_space(remove_watermarks(remove_notes(remove_urls(normalise_quotes(x)))))
-    lines = F.transform(F.split(x, "\n"), strip)
-    return F.regexp_replace(F.array_join(lines, "\n"), r"^\n+|\n+$", "")
+    """Quotes, links, notes, watermarks, space; then every line stripped, without blank lines at
+    the ends. Null becomes empty."""
+    x = normalise_space(remove_watermarks(remove_notes(remove_urls(normalise_quotes(F.coalesce(x, F.lit("")))))))
+    return F.regexp_replace(F.regexp_replace(x, r"(?dmU)^[^\S\n]+|[^\S\n]+$", ""), r"^\n+|\n+$", "")
 
 
 def sanitise_chapter(x: Column) -> Column:
@@ -79,7 +79,7 @@ def beyond_safety_limit(x: Column) -> Column:
 
 def word_count(x: Column) -> Column:
     """Words between white space (Unicode)."""
-    return F.size(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != ""))
+    return F.regexp_count(x, F.lit(r"(?U)\S+"))
 
 
 def strip_code_fence(x: Column) -> Column:
@@ -94,6 +94,11 @@ def paragraphs(x: Column) -> Column:
     return F.filter(F.split(x, "\n"), lambda p: strip(p) != "")
 
 
+def paragraph_count(x: Column) -> Column:
+    """The number of non-blank lines."""
+    return F.regexp_count(x, F.lit(r"(?U)\S[^\n]*"))
+
+
 def source_hash(x: Column) -> Column:
     """SHA-256 of the UTF-8 bytes, in hex."""
     return F.sha2(x.cast("binary"), 256)

@@ -46,8 +46,36 @@ def merge(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def totals(entries: DataFrame) -> DataFrame:
-    """(category, entries), and one row with a null category for all."""
-    return entries.rollup("category").agg(F.count("*").alias("entries"))
+    """(category, entries, is_total): a row for each category, null among them, and one for all."""
+    return entries.rollup("category").agg(F.count("*").alias("entries"), (F.grouping_id() == 1).alias("is_total"))
+
+
+def of_category(entries: DataFrame, category: str | None = None) -> DataFrame:
+    """Entries of one category, or all, in the glossary's order."""
+    found = entries if category is None else entries.where(F.col("category") == category)
+    return found.orderBy("category", "ord", "name")
+
+
+def without_names(entries: DataFrame, gone: DataFrame) -> DataFrame:
+    """Entries but for all that have a name of ``gone(category, name)``."""
+    return entries.join(gone.select("category", "name").distinct(), ["category", "name"], "left_anti").select(*entries.columns)
+
+
+def with_first_changed(entries: DataFrame, changes: DataFrame) -> DataFrame:
+    """Entries after ``changes(category, name, raw)``: of the entries that have the name, the
+    first by ``ord`` takes the new ``raw``. Of repeated changes the greatest ``raw`` holds."""
+    new = changes.groupBy("category", "name").agg(F.max("raw").alias("__raw"))
+    first = entries.groupBy("category", "name").agg(F.min("ord").alias("__first"))
+    joined = entries.join(new.join(first, ["category", "name"]), ["category", "name"], "left")
+    raw = F.when(F.col("ord") == F.col("__first"), F.coalesce("__raw", "raw")).otherwise(F.col("raw"))
+    return joined.withColumn("raw", raw).select(*entries.columns)
+
+
+def as_json(entries: DataFrame) -> DataFrame:
+    """(category, entries): each category's entries in order, as one JSON text."""
+    fields = [c for c in entries.columns if c not in ("category", "ord")]
+    rows = entries.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("ord", *fields))).alias("rows"))
+    return rows.select("category", F.to_json(F.transform("rows", lambda r: F.struct(*[r[f].alias(f) for f in fields]))).alias("entries"))
 
 
 def format_entry(name: Column, raw: Column, aliases: Column, desc: Column) -> Column:
@@ -99,6 +127,15 @@ def mean_score(scores: DataFrame) -> DataFrame:
     return scores.agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("mean_score"), F.count_if(F.col("score") < 0.7).alias("low_scores"))
 
 
+def effectiveness(plain: DataFrame, helped: DataFrame, again: DataFrame, keys: list[str], least: float = 0.7) -> DataFrame:
+    """(keys..., score_plain, score_helped, gain, low): how alike two transforms of a chapter
+    are without (``plain`` against ``again``) and with a glossary (``helped`` against
+    ``again``), by ``differences``; ``low`` where the helped score is below ``least``."""
+    one = lambda a, name: differences(a, again, keys).select(*keys, F.col("score").alias(name))
+    both = one(plain, "score_plain").join(one(helped, "score_helped"), keys, "full")
+    return both.withColumns({"gain": F.col("score_helped") - F.col("score_plain"), "low": F.coalesce(F.col("score_helped") < least, F.lit(False))})
+
+
 def seeded_sample(rows: DataFrame, name: str, k: int, seed: int) -> DataFrame:
     """``k`` rows that seed and name decide, or all."""
     return rows.orderBy(F.xxhash64(F.lit(seed), name), name).limit(k)

@@ -6,10 +6,11 @@ filename, title)``, where a null novel_id marks rows from before there were nove
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.operators.ranking import rank_in_groups
+from scriptorium.session import cut
 
 
 def chapter_counts(chapters: DataFrame) -> DataFrame:
@@ -57,9 +58,14 @@ def without_novels(rows: DataFrame, gone: DataFrame, key: str = "novel_id") -> D
 
 
 def neighbour_ids(chapters: DataFrame) -> DataFrame:
-    """Adds ``prev_id`` and ``next_id`` in reading order within the novel (old rows among themselves)."""
-    order = Window.partitionBy("novel_id").orderBy("chapter_index", "id")
-    return chapters.withColumns({"prev_id": F.lag("id").over(order), "next_id": F.lead("id").over(order)})
+    """Adds ``prev_id`` and ``next_id`` in reading order within the novel (old rows among
+    themselves): by places that ``rank_in_groups`` gives, so no novel is one task."""
+    numbered = cut(rank_in_groups(chapters, ["novel_id"], [F.col("chapter_index"), F.col("id")], "__n"))
+    at = numbered.select("novel_id", "__n", "id")
+    moved = lambda by, name: at.select(F.col("novel_id").alias("__v"), (F.col("__n") + by).alias("__m"), F.col("id").alias(name))
+    same = (F.col("novel_id").eqNullSafe(F.col("__v"))) & (F.col("__n") == F.col("__m"))
+    with_prev = numbered.join(moved(1, "prev_id"), same, "left").drop("__v", "__m")
+    return with_prev.join(moved(-1, "next_id"), same, "left").drop("__v", "__m", "__n")
 
 
 def adopt(chapters: DataFrame, novel_id: int) -> DataFrame:
@@ -80,9 +86,10 @@ def database_info(novels: DataFrame, chapters: DataFrame) -> DataFrame:
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], id_column: str = "id") -> DataFrame:
     """``table`` with each row of ``changes`` put in place of the row with the same keys (null
-    equals null) and its id, or added with the next ids in order of keys."""
+    equals null) and its id, or added with the next ids in order of keys. Of changes with
+    equal keys the one with the greatest values holds."""
     values = [c for c in table.columns if c not in (*keys, id_column)]
-    new = changes.select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct(*values).alias("__new"))
+    new = changes.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max(F.struct(*values)).alias("__new"))
     match = F.lit(True)
     for k in keys:
         match &= F.col(k).eqNullSafe(F.col(f"__{k}"))
@@ -123,6 +130,32 @@ def insert_absent(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.unionByName(rows.dropDuplicates([key]).join(table.select(key), key, "left_anti").select(*table.columns))
 
 
+def by_id(rows: DataFrame, row_id: int) -> DataFrame:
+    """The row with the id, or none."""
+    return rows.where(F.col("id") == row_id)
+
+
+def chapters_of(chapters: DataFrame, novel_id: int | None) -> DataFrame:
+    """A novel's chapters in reading order; without a novel, the old rows."""
+    return chapters.where(F.col("novel_id").eqNullSafe(F.lit(novel_id).cast("bigint"))).orderBy("chapter_index", "id")
+
+
+def belonging(requests: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Adds ``found`` to ``requests(novel_id, chapter_id, ...)``: whether the chapter is one of
+    the novel's."""
+    own = chapters.select(F.col("id").alias("__c"), F.col("novel_id").alias("__n")).where("__n is not null").distinct()
+    hit = (F.col("chapter_id") == F.col("__c")) & (F.col("novel_id") == F.col("__n"))
+    return requests.join(own, hit, "left").withColumn("found", F.col("__c").isNotNull()).drop("__c", "__n")
+
+
+def moved_to(chapters: DataFrame, moves: DataFrame) -> DataFrame:
+    """Chapters given to other novels by ``moves(chapter_id, novel_id)``; of repeated moves the
+    one to the greatest novel id holds. A null novel makes an old row of the chapter."""
+    to = moves.groupBy(F.col("chapter_id").alias("__c")).agg(F.max("novel_id").alias("__to"))
+    joined = chapters.join(to, F.col("id") == F.col("__c"), "left")
+    return joined.withColumn("novel_id", F.when(F.col("__c").isNotNull(), F.col("__to")).otherwise(F.col("novel_id"))).drop("__c", "__to")
+
+
 def overall_status(states: DataFrame) -> DataFrame:
     """(novel_id, overall) from ``(novel_id, status)`` rows of phases."""
     done = F.col("status").isin("complete", "completed")

@@ -37,6 +37,46 @@ def chapter_pages(blocks: DataFrame, key: str = "chapter", order: str = "block_i
     return rows.select(key, F.array_join(F.transform("rows", lambda r: r["html"]), "\n").alias("body"), F.size("rows").alias("n_blocks"))
 
 
+def chapter_document(title: Column, body: Column, prev_link: Column, next_link: Column, toc: Column, about: Column | None = None) -> Column:
+    """A whole page: head, links to the neighbours, contents, title, body and what is known of
+    the chapter. Null links are left out, a null title is empty."""
+    link = lambda to, rel: F.when(to.isNotNull(), F.concat(F.lit(f'<a rel="{rel}" href="'), escape_html(to), F.lit('">'), F.lit(rel), F.lit("</a>")))
+    name = escape_html(F.coalesce(title, F.lit("")))
+    note = F.lit("") if about is None else F.when(F.coalesce(about, F.lit("")) == "", "").otherwise(F.concat(F.lit("<footer>"), escape_html(about), F.lit("</footer>")))
+    return F.concat(
+        F.lit('<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>'), name, F.lit("</title></head><body><nav>"),
+        F.concat_ws(" ", link(prev_link, "prev"), link(next_link, "next")), F.lit("</nav><ol>"), F.coalesce(toc, F.lit("")), F.lit("</ol><h1>"), name, F.lit("</h1>\n"),
+        body, F.lit("\n"), note, F.lit("</body></html>"),
+    )
+
+
+def render_outcomes(chapters: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+    """Adds ``outcome`` to ``chapters(key, readable)``: ``failed`` where the script could not be
+    read, ``skipped`` where it has no page in ``pages(key)``, else ``rendered``."""
+    made = pages.select(F.col(key).alias("__key")).distinct()
+    joined = chapters.join(made, F.col(key) == F.col("__key"), "left")
+    outcome = F.when(~F.coalesce("readable", F.lit(False)), "failed").when(F.col("__key").isNull(), "skipped").otherwise("rendered")
+    return joined.withColumn("outcome", outcome).drop("__key")
+
+
+def render_stats(outcomes: DataFrame) -> DataFrame:
+    """One row: rendered, failed, skipped, total."""
+    n = lambda o: F.count_if(F.col("outcome") == o).alias(o)
+    return outcomes.agg(n("rendered"), n("failed"), n("skipped"), F.count("*").alias("total"))
+
+
+def issue_text(issue_id: Column, chapter: Column, phase: Column, kind: Column, message: Column) -> Column:
+    """An issue as a section of markdown."""
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("## "), issue_id),
+        F.concat(F.lit("- chapter: "), chapter),
+        F.concat(F.lit("- phase: "), phase),
+        F.concat(F.lit("- kind: "), kind),
+        F.concat(F.lit("- message: "), F.coalesce(message, F.lit(""))),
+    )
+
+
 def page_links(chapters: DataFrame, group: str, order: str, filename: str = "filename") -> DataFrame:
     """Adds ``prev_link`` and ``next_link``: ``<stem>.html`` of the neighbours."""
     w = Window.partitionBy(group).orderBy(order)

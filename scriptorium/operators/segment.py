@@ -1,7 +1,9 @@
-"""Texts into chapters and blocks, line by line.
+"""Texts into chapters and blocks.
 
-Lines of a text are numbered by position and grouped by running counts of header lines,
-with windows inside one text, so texts are independent of each other.
+A text is cut inside its own row: headers get a mark by one regular expression, the text is
+split at the marks, and the parts become rows. Nothing is shuffled, so texts with equal,
+repeated or null keys stay apart. The marks begin with a control character that is escaped
+in the text before and put back after.
 """
 
 from __future__ import annotations
@@ -12,10 +14,11 @@ from pyspark.sql import functions as F
 from scriptorium.functions.text import strip
 
 # What marks a chapter.
-MARKER = r"(?i)^[ \t]*(?:chapter|ch\.?|episode|ep\.?)\s+\d+.*$"
-BARE_MARKER = r"(?i)^[ \t]*(?:chapter|ch\.?|episode|ep\.?)[ \t]*$"
+MARKER = r"^[ \t]*(?:chapter|ch\.?|episode|ep\.?)\s+\d+.*$"
 NUMBER_LINE = r"^[ \t]*(\d+)[ \t]*$"
-SECTION_HEADERS = [r"^chapter\s+\d+", r"^第[一二三四五六七八九十百千]+章", r"^\d+\.", r"^==+\s*"]
+SECTION_HEADERS = r"chapter[^\S\n]+\d+|第[一二三四五六七八九十百千]+章|\d+\.|==+"
+
+_ESCAPE, _ESCAPED, _HIT, _HEAD = "\x01", "\x01\x02", "\x01\x03", "\x01\x04"
 
 
 def lines_of(texts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -23,65 +26,70 @@ def lines_of(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     return texts.select(key, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def number_run(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, line_no) of the standalone numbers from the first on that rise by exactly one;
-    none if there are fewer than two."""
-    number = F.regexp_extract("line", NUMBER_LINE, 1)
-    numbers = lines.where(number != "").select(key, "line_no", number.cast("decimal(38,0)").alias("value"))
-    order = Window.partitionBy(key).orderBy("line_no")
-    lag = F.col("value") - F.row_number().over(order)
-    stepped = numbers.withColumn("lag", lag).withColumn("same", F.col("lag") == F.first("lag").over(order))
-    run = stepped.withColumn("in_run", F.min("same").over(order)).where("in_run")
-    return run.withColumn("n", F.count("*").over(Window.partitionBy(key))).where("n >= 2").select(key, "line_no")
+def _escaped(text: str) -> Column:
+    return F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(_ESCAPE), F.lit(_ESCAPED))
+
+
+def _unescaped(part: Column) -> Column:
+    return F.replace(part, F.lit(_ESCAPED), F.lit(_ESCAPE))
+
+
+def _cut_at_lines(text: Column, pattern: str) -> Column:
+    """The text split before each line in which a match of ``pattern`` begins."""
+    hit = F.regexp_replace(text, f"(?dim){pattern}", f"{_HIT}$0")
+    head = F.regexp_replace(hit, f"(?dm)^(?=.*{_HIT})", _HEAD)
+    return F.split(F.replace(head, F.lit(_HIT), F.lit("")), _HEAD)
+
+
+def number_run(text: Column) -> Column:
+    """How many standalone numbers, from the first of the text on, rise by exactly one; 0 if
+    there are fewer than two."""
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(f"(?dm){NUMBER_LINE}")), lambda n: F.try_to_number(n, F.lit("9" * 38)))
+    steps = F.transform(numbers, lambda n, i: n - i)
+    broken = F.array_position(F.transform(steps, lambda n: F.coalesce(n == F.get(steps, F.lit(0)), F.lit(False))), False)
+    run = F.when(broken > 0, broken - 1).otherwise(F.size(numbers))
+    return F.when(run >= 2, run).otherwise(0).cast("int")
 
 
 def split_chapters(texts: DataFrame, key: str = "doc_id", pattern: str | None = None) -> DataFrame:
-    """(key, index, title, content): chapters from 0, each with its header line.
+    """(key, index, title, content): chapters from 0, each from the start of its header line.
 
-    Headers are lines with a chapter marker (or ``pattern``); a line of the keyword alone
-    counts if a number line follows. Without any, a run of standalone numbers. Text before
-    the first header is dropped; a text without headers is one chapter ``Chapter 1``.
+    Headers are chapter markers, or the matches of ``pattern`` in any case and with ``^`` and
+    ``$`` at lines; a match may begin inside a line and go over several. Without any marker,
+    a run of standalone numbers. Text before the first header is dropped; a text without
+    headers, or no text, is one chapter ``Chapter 1``. Several matches in one line are one
+    header.
     """
-    lines = lines_of(texts, key)
-    order = Window.partitionBy(key).orderBy("line_no")
-    if pattern is None:
-        after = F.lead("line").over(order)
-        head = F.col("line").rlike(MARKER) | (F.col("line").rlike(BARE_MARKER) & after.rlike(r"^[ \t]*\d+"))
-    else:
-        head = F.col("line").rlike(f"(?i){pattern}")
-    marked = lines.withColumn("head", F.coalesce(head, F.lit(False)))
-    if pattern is None:
-        run = number_run(lines, key).withColumn("in_run", F.lit(True))
-        any_head = F.max("head").over(Window.partitionBy(key))
-        marked = marked.withColumn("any_head", any_head).join(run, [key, "line_no"], "left")
-        marked = marked.withColumn("head", F.when(F.col("any_head"), F.col("head")).otherwise(F.coalesce("in_run", F.lit(False))))
-    part = F.sum(F.col("head").cast("int")).over(order)
-    parts = marked.withColumn("part", part).withColumn("parts", F.max("part").over(Window.partitionBy(key)))
-    kept = parts.where((F.col("part") > 0) | (F.col("parts") == 0))
-    texts_ = kept.groupBy(key, "part").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("rows"))
-    body = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
-    title = F.when(F.col("part") == 0, "Chapter 1").otherwise(strip(F.element_at("rows", 1)["line"]))
-    return texts_.select(key, F.greatest(F.col("part") - 1, F.lit(0)).cast("int").alias("index"), title.alias("title"), strip(body).alias("content"))
+    numbered = pattern is None
+    rows = texts.select(key, _escaped("text").alias("text")).withColumn("parts", _cut_at_lines(F.col("text"), MARKER if numbered else f"(?:{pattern})"))
+    if numbered:
+        rows = rows.withColumn("run", F.when(F.size("parts") > 1, 0).otherwise(number_run(F.col("text"))))
+        at = _cut_at_lines(F.col("text"), NUMBER_LINE)
+        cut_ = F.concat(F.slice(at, 1, F.col("run")), F.array(F.array_join(F.slice(at, F.col("run") + 1, F.size(at)), "")))
+        rows = rows.withColumn("parts", F.when(F.col("run") > 0, cut_).otherwise(F.col("parts")))
+    first = lambda p: strip(_unescaped(F.substring_index(p, "\n", 1)))
+    title = (lambda p: F.when(F.col("run") > 0, F.regexp_replace(first(p), r"^0+(?=\d)", "")).otherwise(first(p))) if numbered else first
+    chapters = F.transform(F.slice("parts", 2, F.size("parts")), lambda p: F.struct(title(p).alias("title"), strip(_unescaped(p)).alias("content")))
+    whole = F.array(F.struct(F.lit("Chapter 1").alias("title"), strip(_unescaped(F.col("text"))).alias("content")))
+    return rows.select(key, F.posexplode(F.when(F.size("parts") > 1, chapters).otherwise(whole)).alias("index", "c")).select(key, "index", "c.title", "c.content")
 
 
 def split_sections(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, index, title, content): sections whose header lines are not content; text before
     the first header is "Chapter 1"; a header without content is lost; a text without
-    sections is one."""
-    head = F.lit(False)
-    for p in SECTION_HEADERS:
-        head |= strip(F.col("line")).rlike(f"(?i){p}")
-    order = Window.partitionBy(key).orderBy("line_no")
-    part = F.sum(head.cast("int")).over(order)
-    rows = lines_of(texts, key).withColumn("head", head).withColumn("part", part)
-    grouped = rows.groupBy(key, "part").agg(
-        F.max(F.when(F.col("head"), strip(F.col("line")))).alias("title"),
-        F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("line_no", "line")))).alias("rows"),
-    )
-    body = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
-    found = grouped.where(F.size("rows") > 0)
-    nth = F.row_number().over(Window.partitionBy(key).orderBy("part")) - 1
-    return found.select(key, nth.alias("index"), F.coalesce("title", F.lit("Chapter 1")).alias("title"), body.alias("content"))
+    sections is one, an empty or null text none."""
+    header = rf"(?dimU)^[^\S\n]*(?:{SECTION_HEADERS}).*$"
+    rows = texts.select(key, _escaped("text").alias("text")).where("text <> ''")
+    marked = F.regexp_replace(F.concat("text", F.lit("\n")), header, f"{_HIT}$0{_HEAD}")
+    rows = rows.withColumn("parts", F.split(marked, _HIT))
+    lines = lambda p: F.substring_index(p, _HEAD, -1)
+    before = F.element_at("parts", 1)
+    preamble = F.struct(F.lit("Chapter 1").alias("title"), F.concat(F.lit("\n"), before).alias("lines"))
+    later = F.transform(F.slice("parts", 2, F.size("parts")), lambda p: F.struct(strip(_unescaped(F.substring_index(p, _HEAD, 1))).alias("title"), lines(p).alias("lines")))
+    found = F.filter(F.concat(F.array(preamble), later), lambda s: F.length(s["lines"]) > 1)
+    each = rows.select(key, F.posexplode(found).alias("index", "s"))
+    body = F.substring("s.lines", F.lit(2), F.length("s.lines") - 2)
+    return each.select(key, "index", "s.title", _unescaped(body).alias("content"))
 
 
 def boundaries_with_ends(marks: DataFrame, key: str, start: str, length: Column) -> DataFrame:
@@ -98,14 +106,16 @@ def renumbered(rows: DataFrame, key: str, order: str, keep: Column) -> DataFrame
 def islands(blocks: DataFrame, key: str = "chapter", order: str = "block_index", kind: str = "narrator") -> DataFrame:
     """Adds ``island`` (consecutive blocks of one type share it), ``merge_top`` and
     ``merge_bottom`` (a block of ``kind`` with one of its island before or after it).
-    Blocks of equal ``order`` follow each other by type."""
-    w = Window.partitionBy(key).orderBy(order, "type").rowsBetween(Window.unboundedPreceding, 0)
-    step = Window.partitionBy(key).orderBy(order, "type")
-    same_before = F.col("type").eqNullSafe(F.lag("type").over(step)) & F.lag(order).over(step).isNotNull()
-    same_after = F.col("type").eqNullSafe(F.lead("type").over(step)) & F.lead(order).over(step).isNotNull()
+    Blocks are numbered once, those of equal ``order`` by type and then by their other
+    columns, so every comparison sees the same order."""
+    rest = [c for c in blocks.columns if c not in (key, order, "type")]
+    numbered = blocks.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order, "type", *rest)))
+    step = Window.partitionBy(key).orderBy("__n")
+    same_before = F.col("type").eqNullSafe(F.lag("type").over(step)) & (F.col("__n") > 1)
+    same_after = F.col("type").eqNullSafe(F.lead("type").over(step)) & F.lead("__n").over(step).isNotNull()
     of_kind = F.coalesce(F.col("type") == kind, F.lit(False))
-    flagged = blocks.withColumns({"merge_top": of_kind & same_before, "merge_bottom": of_kind & same_after, "__new": (~same_before).cast("int")})
-    return flagged.withColumn("island", F.sum("__new").over(w)).drop("__new")
+    flagged = numbered.withColumns({"merge_top": of_kind & same_before, "merge_bottom": of_kind & same_after, "__new": (~same_before).cast("int")})
+    return flagged.withColumn("island", F.sum("__new").over(step.rowsBetween(Window.unboundedPreceding, 0))).drop("__new", "__n")
 
 
 def block_stats(blocks: DataFrame, words: Column) -> DataFrame:

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.ranking import rank_in_groups
+
 # The phases in order, and states that are always done again.
 PHASES = ["raw", "clean", "json", "html"]
 RETRIED = ["failed", "render_failed"]
 
 
 def eligible(chapters: DataFrame, phase: str) -> DataFrame:
-    """Chapters ``(status, ...)`` that a phase has still to process."""
+    """Chapters ``(status, ...)`` that a phase has still to process; those without a status too."""
     if phase not in PHASES:
         raise ValueError(f"unknown phase {phase!r}; known: {', '.join(PHASES)}")
     later = PHASES[PHASES.index(phase) :]
-    return chapters.where(F.col("status").isin(RETRIED) | ~F.col("status").isin(later))
+    return chapters.where(F.coalesce(F.col("status").isin(RETRIED) | ~F.col("status").isin(later), F.lit(True)))
 
 
 def progress(chapters: DataFrame, group: list[str]) -> DataFrame:
@@ -33,6 +35,40 @@ def plan_batch(sources: DataFrame, outputs: DataFrame) -> DataFrame:
     return sources.join(made, "filename", "left").withColumn("outcome", outcome).drop("made_hash")
 
 
+def after_phase(chapters: DataFrame, phase: str, done: Column, failed: Column) -> DataFrame:
+    """The state table ``(status, error, ...)`` after a phase has run: of the chapters that it
+    had to process, those with ``done`` have reached it, those with ``failed`` have failed and
+    keep the reason (``failed`` is the error text or null); all others stay as they are."""
+    if phase not in PHASES:
+        raise ValueError(f"unknown phase {phase!r}; known: {', '.join(PHASES)}")
+    later = PHASES[PHASES.index(phase) :]
+    due = F.coalesce(F.col("status").isin(RETRIED) | ~F.col("status").isin(later), F.lit(True))
+    broken = "render_failed" if phase == PHASES[-1] else "failed"
+    status = F.when(due & failed.isNotNull(), broken).when(due & done, phase).otherwise(F.col("status"))
+    error = F.when(due & failed.isNotNull(), failed).when(due & done, None).otherwise(F.col("error"))
+    return chapters.withColumns({"status": status, "error": error})
+
+
+def phase_totals(runs: DataFrame, group: list[str]) -> DataFrame:
+    """(group..., processed, failed) summed over ``runs(group..., phase, processed, failed)``."""
+    return runs.groupBy(*group).agg(F.sum("processed").alias("processed"), F.sum("failed").alias("failed"))
+
+
+def run_summary(rows: DataFrame, group: list[str]) -> DataFrame:
+    """(group..., created, skipped, errors, total, failures) of ``rows(group..., name, outcome)``,
+    where ``failures`` lists the names of failed rows in order."""
+    n = lambda o: F.count_if(F.col("outcome") == o)
+    names = F.array_sort(F.collect_list(F.when(F.col("outcome") == "failed", F.col("name"))))
+    return rows.groupBy(*group).agg(
+        n("processed").alias("created"), n("skipped").alias("skipped"), n("failed").alias("errors"), F.count("*").alias("total"), names.alias("failures")
+    )
+
+
+def newest_first(log: DataFrame, ts: str = "ts", *ties: str) -> DataFrame:
+    """A log with the last entry on top."""
+    return log.orderBy(F.col(ts).desc(), *[F.col(t).desc() for t in ties])
+
+
 def outcome_counts(rows: DataFrame) -> DataFrame:
     """One row: processed, skipped, failed, total, and whether more than half failed."""
     n = lambda o: F.count_if(F.col("outcome") == o).alias(o)
@@ -52,9 +88,9 @@ def number_issues(errors: DataFrame) -> DataFrame:
     key = ["chapter", "phase", "kind"]
     place = F.struct("ts", "id")
     first = errors.groupBy(*key).agg(F.min_by(F.struct("ts", "id"), place).alias("f")).select(*key, "f.ts", "f.id")
-    day = F.to_date("ts")
-    nth = F.row_number().over(Window.partitionBy(day).orderBy("ts", "id"))
-    return first.withColumn("issue_id", F.concat(F.lit("ISSUE-"), F.date_format("ts", "yyyy-MM-dd"), F.format_string("-%03d", nth)))
+    numbered = rank_in_groups(first.withColumn("__day", F.to_date("ts")), ["__day"], [F.col("ts"), F.col("id"), *map(F.col, key)], "__nth")
+    issue = F.concat(F.lit("ISSUE-"), F.date_format("ts", "yyyy-MM-dd"), F.format_string("-%03d", "__nth"))
+    return numbered.withColumn("issue_id", issue).drop("__day", "__nth")
 
 
 def paced(calls: DataFrame, group: list[str], arrival: str, delay: float) -> DataFrame:

@@ -128,8 +128,7 @@ def natural_order(spark, d):
 
 
 def placeholder_records(spark, d):
-    failed = table(spark, d, "documents").where("doc_id % 50 = 0")
-    rows = failed.select(F.col("doc_id").cast("string").alias("filename"), F.coalesce("text", F.lit("")).alias("text"), F.lit("h").alias("source_hash"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("filename"), F.coalesce("text", F.lit("")).alias("text"), F.lit("h").alias("source_hash"))
     made = state.placeholders(rows, "v1")
     return made.select("filename", "model_version", F.col("blocks")[0]["content"].alias("note"), text.source_hash(F.col("blocks")[1]["content"]).alias("kept_hash"))
 
@@ -168,7 +167,7 @@ def _text(x: str) -> str:
 
 
 ORACLE_SQL = {
-    "glossary_totals": f"WITH {_GLOSSARY} SELECT category, count(*) AS entries FROM g GROUP BY ROLLUP (category)",
+    "glossary_totals": f"WITH {_GLOSSARY} SELECT category, count(*) AS entries, grouping(category) = 1 AS is_total FROM g GROUP BY ROLLUP (category)",
     "glossary_lookup": """SELECT CASE s_suppkey % 3 WHEN 0 THEN 's' || s_suppkey WHEN 1 THEN 'ALIAS ' || s_suppkey ELSE 'nobody ' || s_suppkey END AS mention,
 CASE WHEN s_suppkey % 3 < 2 THEN 'S' || s_suppkey END AS entry FROM supplier""",
     "glossary_merge": f"WITH {_GLOSSARY} SELECT category, ord, name, CASE WHEN ord % 2 = 0 THEN 'new ' || raw ELSE raw END AS raw, faction FROM g WHERE ord % 3 <> 0 OR ord % 2 = 0",
@@ -199,6 +198,6 @@ SELECT chapter, sha256(string_agg(content, {_text(render.BREAK)} ORDER BY n)) AS
     "transform_prompts": f"SELECT doc_id, sha256({_text(SYSTEM)} || chr(10) || chr(10) || 'Return JSON with the keys: {', '.join(KEYS)}.' || chr(10) || chr(10) || coalesce(text, '')) AS prompt_hash FROM documents",
     "manifest_titles": f"WITH {_CHAPTERS} SELECT id, coalesce(CASE WHEN id % 2 = 0 THEN title END, 'ch ' || id) AS shown_title FROM chapters",
     "natural_order": "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_orderkey % 7 END AS BIGINT) AS volume, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_orderkey END AS BIGINT) AS chapter FROM orders",
-    "placeholder_records": "SELECT CAST(doc_id AS VARCHAR) AS filename, 'v1-failed' AS model_version, 'Transformation failed for ' || doc_id AS note, sha256(coalesce(text, '')) AS kept_hash FROM documents WHERE doc_id % 50 = 0",
+    "placeholder_records": "SELECT CAST(doc_id AS VARCHAR) AS filename, 'v1-failed' AS model_version, 'Transformation failed for ' || doc_id AS note, sha256(coalesce(text, '')) AS kept_hash FROM documents",
     "changelog": """SELECT user_id, '## ' || strftime(max(ts), '%Y-%m-%d %H:%M:%S') || ' - job ' || user_id || chr(10) || '- processed: ' || count(*) || chr(10) || '- failed: ' || count(*) FILTER (value > 99) || chr(10) || '- duration: 1.0s' AS entry FROM events GROUP BY user_id""",
 }

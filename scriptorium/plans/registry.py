@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scriptorium.plans import markup, relational, texts
+from scriptorium.plans import markup, relational, texts, upkeep
 
-MODULES = [relational, texts, markup]
+MODULES = [relational, texts, markup, upkeep]
 
 
 def queries() -> dict:

@@ -9,7 +9,7 @@ from scriptorium.operators import graph, library, render, state
 from scriptorium.plans import entities as E
 from scriptorium.session import table
 
-MAX_NODES = 60
+MAX_NODES = 80
 
 _SPEAKING = "type IN ('dialogue', 'thought', 'monologue')"
 _NODES = f"""SELECT * FROM (SELECT speaker, CAST(count(*) FILTER ({_SPEAKING}) AS BIGINT) AS lines, min(chapter) AS first_chapter,
@@ -47,7 +47,7 @@ def node_layout(spark, d):
 
 
 def neighbours(spark, d):
-    return graph.neighbours(graph.edges(_blocks(spark, d)), "S1")
+    return graph.met_with(_blocks(spark, d), "S1")
 
 
 def novels_with_counts(spark, d):

@@ -40,7 +40,7 @@ def text_measures(spark, d):
         text.beyond_safety_limit(t).alias("beyond_limit"),
         text.word_count(t).cast("bigint").alias("words"),
         text.source_hash(t).alias("source_hash"),
-        F.size(text.paragraphs(t)).cast("bigint").alias("paragraphs"),
+        text.paragraph_count(t).cast("bigint").alias("paragraphs"),
     )
 
 
@@ -50,17 +50,17 @@ def content_tags(spark, d):
 
 
 def code_fences(spark, d):
-    answer = F.concat(F.lit("<think>plan\n"), F.col("doc_id").cast("string"), F.lit("</think>\n```json\n{\"id\": "), F.col("doc_id").cast("string"), F.lit("}\n```\n"))
+    answer = F.concat(F.lit("<think>plan\n"), F.col("text"), F.lit("</think>\n```json\n{\"text\": "), F.col("text"), F.lit("}\n```\n"))
     return _documents(spark, d).select("doc_id", text.strip_code_fence(answer).alias("answer"))
 
 
 def chapter_filenames(spark, d):
-    title = F.concat(F.lit("Chapter "), F.col("doc_id").cast("string"), F.lit(": The "), F.substring("text", 1, 60))
+    title = F.concat(F.lit("Chapter "), F.col("doc_id").cast("string"), F.lit(": The "), F.col("text"))
     return _documents(spark, d).select("doc_id", names.chapter_filename(F.col("doc_id").cast("int"), title).alias("filename"))
 
 
 def filename_titles(spark, d):
-    words = F.regexp_replace(F.substring("text", 1, 30), "[^A-Za-z ]", "_")
+    words = F.regexp_replace("text", "[^A-Za-z ]", "_")
     name = F.concat(F.when(F.col("doc_id") % 2 == 0, "LOTM_-_").otherwise("my-"), words, F.when(F.col("doc_id") % 3 == 0, " - Book 2.epub").otherwise(".txt"))
     return _documents(spark, d).select("doc_id", names.title_from_filename(name).alias("title"))
 
@@ -85,7 +85,7 @@ def tone_signs(spark, d):
 
 
 def highlighted(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select(
+    return table(spark, d, "documents").select(
         "doc_id", text.highlight(F.col("text"), ["the", "the and", "hath"]).alias("text")
     )
 
@@ -135,7 +135,7 @@ def html_fields(spark, d):
         "page_id",
         F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"),
         F.regexp_extract(h, "<h1[^>]*>([^<]+)</h1>", 1).alias("heading"),
-        F.array_join(F.slice(F.filter(F.transform(F.regexp_extract_all(h, F.lit("<a[^>]*>([^<]+)</a>"), 1), F.trim), lambda t: t != ""), 1, 10), "|").alias("tags"),
+        F.array_join(F.slice(F.filter(F.transform(F.regexp_extract_all(h, F.lit("<a[^>]*>([^<]+)</a>"), 1), lambda t: F.trim(t)), lambda t: t != ""), 1, 10), "|").alias("tags"),
     )
 
 
@@ -160,8 +160,8 @@ def sections_split(spark, d):
 
 
 def number_runs(spark, d):
-    lines = segment.lines_of(_book(spark, d))
-    return segment.number_run(lines).groupBy("doc_id").agg(F.count("*").alias("numbers"))
+    run = segment.number_run(F.col("text")).cast("bigint").alias("numbers")
+    return _book(spark, d).select("doc_id", run).where("numbers > 0")
 
 
 def segment_ends(spark, d):
@@ -221,16 +221,16 @@ SELECT doc_id, regexp_replace(list_aggregate(list_transform(ls, lambda x: {_STRI
 sha256(text) AS source_hash, len(list_filter(string_split(text, chr(10)), lambda p: {_STRIP('p')} <> '')) AS paragraphs FROM documents""",
     "content_tags": """WITH t AS (SELECT doc_id, lower(text || CASE doc_id % 5 WHEN 0 THEN 'Status Window open' WHEN 1 THEN '[System] hi' WHEN 2 THEN 'STATUS: ok' ELSE '' END) AS t FROM documents)
 SELECT doc_id, concat_ws(',', CASE WHEN contains(t, 'status window') OR contains(t, 'level up') OR contains(t, '[system]') THEN 'litrpg' END, CASE WHEN contains(t, 'status window') OR contains(t, 'status:') THEN 'stat_sheet' END) AS tags FROM t""",
-    "code_fences": "SELECT doc_id, '{\"id\": ' || doc_id || '}' AS answer FROM documents",
-    "chapter_filenames": r"""WITH s AS (SELECT doc_id, regexp_replace(left(replace(regexp_replace(lower('Chapter ' || doc_id || ': The ' || left(text, 60)), '[^a-z0-9 _-]', '', 'g'), ' ', '_'), 50), '^[_-]+|[_-]+$', '', 'g') AS slug FROM documents)
+    "code_fences": "SELECT doc_id, '{\"text\": ' || text || '}' AS answer FROM documents",
+    "chapter_filenames": r"""WITH s AS (SELECT doc_id, regexp_replace(left(replace(regexp_replace(lower('Chapter ' || doc_id || ': The ' || text), '[^a-z0-9 _-]', '', 'g'), ' ', '_'), 50), '^[_-]+|[_-]+$', '', 'g') AS slug FROM documents)
 SELECT doc_id, printf('%03d', doc_id) || '_' || coalesce(nullif(slug, ''), 'chapter_' || (doc_id + 1)) || '.txt' AS filename FROM s""",
-    "filename_titles": rf"""WITH n AS (SELECT doc_id, (CASE WHEN doc_id % 2 = 0 THEN 'LOTM_-_' ELSE 'my-' END) || regexp_replace(left(text, 30), '[^A-Za-z ]', '_', 'g') AS bare FROM documents),
+    "filename_titles": rf"""WITH n AS (SELECT doc_id, (CASE WHEN doc_id % 2 = 0 THEN 'LOTM_-_' ELSE 'my-' END) || regexp_replace(text, '[^A-Za-z ]', '_', 'g') AS bare FROM documents),
 w AS (SELECT doc_id, bare, list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(bare, '_', ' '), '\s*-\s*', ' ', 'g'), '\s+'), lambda w: regexp_replace(w, '^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$', '', 'g')), lambda w: w <> '') AS ws FROM n)
 SELECT doc_id, list_aggregate(list_transform(ws, lambda w: {_TITLE_WORD}), 'string_agg', ' ') AS title FROM w""",
     "file_names": "SELECT doc_id, CAST(doc_id AS INT) AS number, CAST(doc_id % 7 AS BIGINT) AS volume, doc_id AS chapter, n AS stem, n || '.json' AS json_name, n || '.xhtml' AS base FROM (SELECT doc_id, 'vol_' || (doc_id % 7) || '_chapter_' || doc_id AS n FROM documents)",
     "display_titles": "SELECT doc_id, 'Chapter ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ' - Some Words' ELSE '' END AS title FROM documents",
     "tone_signs": "SELECT doc_id, ['💢', '💢', '', '🤫', '💧', '', '❗', '📢'][CAST(doc_id % 8 + 1 AS INT)] AS sign FROM documents",
-    "highlighted": "SELECT doc_id, regexp_replace(text, '\\b(the and|hath|the)\\b', '<span class=\"keyword\">\\1</span>', 'gi') AS text FROM documents WHERE lang = 'en'",
+    "highlighted": "SELECT doc_id, regexp_replace(text, '\\b(the and|hath|the)\\b', '<span class=\"keyword\">\\1</span>', 'gi') AS text FROM documents",
     "durations": """WITH s AS (SELECT event_id, floor(value * value) + 0.5 AS x FROM events) SELECT event_id, CASE WHEN x < 60 THEN printf('%.1fs', x) WHEN x < 3600 THEN printf('%dm %ds', CAST(floor(x / 60) AS BIGINT), CAST(floor(x) AS BIGINT) % 60)
 ELSE printf('%dh %dm', CAST(floor(x / 3600) AS BIGINT), CAST(floor(x) AS BIGINT) % 3600 // 60) END AS took FROM s""",
     "error_kinds": "SELECT event_id, ['rate_limit', 'auth', 'json_mode', 'other', 'rate_limit'][CAST(event_id % 5 + 1 AS INT)] AS kind FROM events",
@@ -256,8 +256,9 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS
     "number_runs": f"WITH books AS ({_BOOK}), {_LINES}, {_NUMBERS} SELECT doc_id, count(*) AS numbers FROM runs GROUP BY doc_id",
     "segment_ends": f"WITH books AS (SELECT doc_id, text FROM documents), {_LINES} SELECT doc_id, line_no, coalesce(lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no), 1000000) AS \"end\" FROM lines",
     "renumbered_lines": f"WITH books AS (SELECT doc_id, text FROM documents), {_LINES} SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS \"index\" FROM lines WHERE length(line) > 200",
-    "narrator_islands": f"""WITH b AS ({E.BLOCKS}), f AS (SELECT chapter, block_index, type, coalesce(lag(type) OVER w = type, false) AS s, coalesce(lead(type) OVER w = type, false) AS e FROM b WINDOW w AS (PARTITION BY chapter ORDER BY block_index, type))
-SELECT chapter, block_index, CAST(sum(CAST(NOT s AS INT)) OVER (PARTITION BY chapter ORDER BY block_index, type ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island, type = 'narrator' AND s AS merge_top, type = 'narrator' AND e AS merge_bottom FROM f""",
+    "narrator_islands": f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY block_index, type, speaker) AS n FROM ({E.BLOCKS})),
+f AS (SELECT chapter, block_index, n, type, coalesce(lag(type) OVER w = type, false) AS s, coalesce(lead(type) OVER w = type, false) AS e FROM b WINDOW w AS (PARTITION BY chapter ORDER BY n))
+SELECT chapter, block_index, CAST(sum(CAST(NOT s AS INT)) OVER (PARTITION BY chapter ORDER BY n ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island, type = 'narrator' AND s AS merge_top, type = 'narrator' AND e AS merge_bottom FROM f""",
     "block_stats": f"""WITH c AS (SELECT conv_id AS chapter, role AS type, count(*) AS blocks, CAST(sum(len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda w: w <> ''))) AS BIGINT) AS words FROM conversations GROUP BY 1, 2)
 SELECT *, CAST(sum(blocks) OVER w AS BIGINT) AS total_blocks, CAST(sum(words) OVER w AS BIGINT) AS total_words FROM c WINDOW w AS (PARTITION BY chapter)""",
 }

@@ -15,13 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named in ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a checkpoint folder is set (tests on one
-    machine) a temporary folder is made.
+    Only where neither that setting nor a checkpoint folder is set, and driver and tasks are
+    one process (tests), a temporary folder is made; a cluster must name a shared one.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="scriptorium-checkpoints-"))
 
 

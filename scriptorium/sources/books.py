@@ -26,6 +26,7 @@ from scriptorium.functions.names import title_from_filename
 from scriptorium.functions.text import strip
 
 EPUB_CHAPTERS = "path string, title string, author string, index int, chapter_title string, volume string, content string, error string"
+_BROKEN = (zipfile.BadZipFile, KeyError, StopIteration, RuntimeError, ElementTree.ParseError)
 _BREAKS = {"p", "div", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "blockquote"}
 
 
@@ -111,7 +112,6 @@ def read_epub(path: str, content: bytes) -> Iterator[dict]:
         container = ElementTree.fromstring(archive.read("META-INF/container.xml"))
         package = next(x.get("full-path") for x in container.iter() if _local(x.tag) == "rootfile")
         book, folder = ElementTree.fromstring(archive.read(package)), posixpath.dirname(package)
-        named = lambda kind: next((x.text.strip() for x in book.iter() if _local(x.tag) == kind and x.text and x.text.strip()), None)
         items = {x.get("id"): x for x in book.iter() if _local(x.tag) == "item"}
         place = lambda item: posixpath.normpath(posixpath.join(folder, unquote(item.get("href", ""))))
         toc = next((place(x) for x in items.values() if x.get("media-type") == "application/x-dtbncx+xml"), None)
@@ -127,15 +127,68 @@ def read_epub(path: str, content: bytes) -> Iterator[dict]:
             name = posixpath.basename(place(item))
             title, volume = contents.get(name, ("", None))
             yield {
-                "path": path, "title": named("title"), "author": named("creator"), "index": index,
+                "path": path, **_about(book), "index": index,
                 "chapter_title": title or heading or posixpath.splitext(name)[0], "volume": volume, "content": text, "error": None,
             }
             index += 1
 
 
-def epub_chapters(spark: SparkSession, path: str, pattern: str = "*.epub") -> DataFrame:
-    """A row for each chapter of each archive; a broken archive has one row with ``error``."""
+def read_epub_strict(path: str, content: bytes) -> Iterator[dict]:
+    """Chapters of one archive numbered by their place in the reading order from 1, with gaps
+    where a page is missing or no XHTML. Pages must be well-formed; their text is that of
+    paragraphs, sections and headings, each by itself, so text nested in two shows twice."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        container = ElementTree.fromstring(archive.read("META-INF/container.xml"))
+        package = next(x.get("full-path") for x in container.iter() if _local(x.tag) == "rootfile")
+        book, folder = ElementTree.fromstring(archive.read(package)), posixpath.dirname(package)
+        about = _about(book)
+        items = {x.get("id"): x for x in book.iter() if _local(x.tag) == "item"}
+        for n, ref in enumerate((x.get("idref") for x in book.iter() if _local(x.tag) == "itemref"), 1):
+            item = items.get(ref)
+            if item is None or "xhtml" not in item.get("media-type", ""):
+                continue
+            place = posixpath.normpath(posixpath.join(folder, unquote(item.get("href", ""))))
+            if place not in archive.namelist():
+                continue
+            page = ElementTree.fromstring(archive.read(place))
+            said = lambda kinds, page=page: [t for x in page.iter() if _local(x.tag) in kinds and (t := "".join(x.itertext()).strip())]
+            title = next(iter([*said(("title",)), *said(("h1",))]), f"Chapter {n}")
+            words = "\n\n".join(said(("p", "div", "h1", "h2", "h3")))
+            yield {"path": path, **about, "index": n, "chapter_title": title, "volume": None, "content": words, "error": None}
+
+
+def _about(book) -> dict:
+    named = lambda kind: next((x.text.strip() for x in book.iter() if _local(x.tag) == kind and x.text and x.text.strip()), None)
+    return {"title": named("title"), "author": named("creator")}
+
+
+def epub_metadata(spark: SparkSession, path: str, pattern: str = "*.epub") -> DataFrame:
+    """(path, title, author, error): a row for each archive, with nulls for what it does not
+    say; never ends the job."""
+    schema = T._parse_datatype_string("path string, title string, author string, error string")
+
+    def one(path: str, content: bytes) -> dict:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                container = ElementTree.fromstring(archive.read("META-INF/container.xml"))
+                package = next(x.get("full-path") for x in container.iter() if _local(x.tag) == "rootfile")
+                return {"path": path, **_about(ElementTree.fromstring(archive.read(package))), "error": None}
+        except _BROKEN as e:
+            return {"path": path, "error": f"{type(e).__name__}: {e}"[:300]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [one(*x) for x in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schema))
+
+    return files(spark, path, pattern).mapInArrow(run, schema)
+
+
+def epub_chapters(spark: SparkSession, path: str, pattern: str = "*.epub", strict: bool = False) -> DataFrame:
+    """A row for each chapter of each archive, by ``read_epub`` or ``read_epub_strict``; a
+    broken archive has one row with ``error``."""
 
+    reader = read_epub_strict if strict else read_epub
     schema = T._parse_datatype_string(EPUB_CHAPTERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +196,8 @@ def epub_chapters(spark: SparkSession, path: str, pattern: str = "*.epub") -> Da
         for batch in batches:
             for one, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
-                    rows = list(read_epub(one, content))
-                except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError) as e:
+                    rows = list(reader(one, content))
+                except _BROKEN as e:
                     rows = [{"path": one, "error": f"{type(e).__name__}: {e}"[:300]}]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 

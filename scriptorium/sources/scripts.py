@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ SCRIPT = f"chapter_title string, source_hash string, blocks array<{BLOCK}>, _cor
 MANIFEST = "source_filename string, chapters array<struct<index:int,title:string,filename:string,token_estimate:int,metadata:map<string,array<string>>>>"
 ENTRY = "struct<name:string,raw:string,aliases:array<string>,desc:string>"
 CATEGORIES = ["characters", "locations", "items", "terms"]
-GLOSSARY = ", ".join(f"{c} array<{ENTRY}>" for c in CATEGORIES)
+#: Entries stay texts at first, so that one of another form does not spoil the rest.
+GLOSSARY = ", ".join(f"{c} array<string>" for c in CATEGORIES)
 
 
 def scripts(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -43,11 +46,26 @@ def manifest_entries(spark: SparkSession, path: str) -> DataFrame:
 
 def glossary_entries(spark: SparkSession, path: str) -> DataFrame:
     """(category, ord, name, raw, aliases, desc) of a glossary as JSON: lists of entries by
-    category. Entries without a name are left out."""
-    found = spark.read.schema(GLOSSARY).options(multiLine="true", mode="FAILFAST").json(path)
-    lists = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("entries")) for c in CATEGORIES])
-    rows = found.select(F.explode(lists).alias("l")).select("l.category", F.posexplode("l.entries").alias("ord", "e"))
-    return rows.where("coalesce(e.name, '') <> ''").select("category", "ord", "e.name", "e.raw", F.coalesce("e.aliases", F.array()).alias("aliases"), "e.desc")
+    category. Entries of another form or without a name are left out; a file that is no JSON
+    ends the job."""
+    found = spark.read.text(path, wholetext=True).select(F.from_json("value", GLOSSARY, {"mode": "FAILFAST"}).alias("g"))
+    lists = F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"g.{c}").alias("entries")) for c in CATEGORIES])
+    rows = found.select(F.explode(lists).alias("l")).select("l.category", F.posexplode("l.entries").alias("ord", "one"))
+    parsed = rows.withColumn("e", F.from_json("one", ENTRY)).where("coalesce(e.name, '') <> ''")
+    return parsed.select("category", "ord", "e.name", "e.raw", F.coalesce("e.aliases", F.array()).alias("aliases"), "e.desc")
+
+
+def preferred_glossary(spark: SparkSession, own: str, shared: str) -> DataFrame:
+    """The entries of the first of a novel's own glossary file and the shared one that is there
+    and can be read; none if there is no such file."""
+    for path in (own, shared):
+        try:
+            found = glossary_entries(spark, path)
+            found.limit(1).collect()
+        except (PySparkException, Py4JJavaError):  # missing or not readable: the next one
+            continue
+        return found
+    return spark.createDataFrame([], "category string, ord int, name string, raw string, aliases array<string>, desc string")
 
 
 def write_chapters(chapters: DataFrame, path: str) -> None:
@@ -55,6 +73,25 @@ def write_chapters(chapters: DataFrame, path: str) -> None:
     chapters.write.mode("overwrite").partitionBy("novel_id").parquet(path)
 
 
+def write_documents(pages: DataFrame, path: str) -> DataFrame:
+    """Finished pages ``(name, document)`` as a table of files in a folder, for a static store to
+    serve from; returns what was written. Written as a whole by Spark's commit, so readers see
+    the old pages or the new ones."""
+    pages.select("name", "document").write.mode("overwrite").parquet(path)
+    return pages.sparkSession.read.parquet(path)
+
+
+def write_glossary(by_category: DataFrame, path: str) -> None:
+    """A glossary ``(category, entries as JSON)`` as one JSON line for each category."""
+    rows = by_category.select(F.concat(F.lit('{"category": '), F.to_json(F.array("category")).substr(F.lit(2), F.length(F.to_json(F.array("category"))) - 2), F.lit(', "entries": '), "entries", F.lit("}")).alias("value"))
+    rows.write.mode("overwrite").text(path)
+
+
+def write_report(scores: DataFrame, path: str) -> None:
+    """Scores of a glossary test as lines of JSON."""
+    scores.write.mode("overwrite").json(path)
+
+
 def export_corrections(corrections: DataFrame, path: str, kind: str = "jsonl") -> None:
     """Corrections as lines of JSON or as CSV with a header."""
     if kind == "csv":

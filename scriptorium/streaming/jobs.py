@@ -9,49 +9,78 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from scriptorium.functions.text import source_hash
 
 READS = "novel_id bigint, chapter_id bigint, ts timestamp"
+_STATE = f"{READS}, epoch bigint"
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def reading_progress(events: DataFrame, target: str, checkpoint: str) -> DataFrame:
     """(novel_id, chapters_read, current_chapter) of a stream ``events(novel_id, chapter_id, ts)``.
 
     State: one row for each pair of novel and chapter that was read, not one for each event.
+    Two folders take turns and every row carries its batch number, so the last finished
+    batch is read whether or not this run had new data, and a batch that broke off leaves
+    the one before untouched. Without any events so far the result is empty.
     """
+    spark = events.sparkSession
     last = events.groupBy("novel_id", "chapter_id").agg(F.max("ts").alias("ts"))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/epoch={epoch % 2}")
+        batch.select("novel_id", "chapter_id", "ts", F.lit(epoch).cast("bigint").alias("epoch")).write.mode("overwrite").parquet(f"{target}/turn={epoch % 2}")
 
     job = last.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     job.awaitTermination()
-    spark = events.sparkSession
-    done = job.lastProgress["batchId"] if job.lastProgress else 0
-    seen = spark.read.parquet(f"{target}/epoch={done % 2}")
+    if not _there(spark, target):
+        seen = spark.createDataFrame([], READS)
+    else:
+        both = spark.read.schema(_STATE).parquet(target)
+        seen = both.where(F.col("epoch") == both.agg(F.max("epoch")).first()[0])
     return seen.groupBy("novel_id").agg(
         F.count("chapter_id").alias("chapters_read"), F.max_by("chapter_id", F.struct("ts", "chapter_id")).alias("current_chapter")
     )
 
 
-def ingest_new(spark: SparkSession, landing: str, target: str, checkpoint: str, pattern: str = "*.txt") -> DataFrame:
+def ingest_new(spark: SparkSession, landing: str, target: str, checkpoint: str, pattern: str = "*.txt", files_at_once: int = 1000) -> DataFrame:
     """Texts landed under ``landing`` that ``target`` does not hold yet, by name and hash of
-    the content; appends (filename, source_hash, text) and returns the table."""
+    the content; appends (filename, source_hash, text, part) and returns the table.
+
+    A batch takes ``files_at_once`` files at most. ``target`` is laid out by the first two
+    digits of the hash, so a batch is compared with the parts that it falls into alone.
+    """
     raw = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("pathGlobFilter", pattern)
+        .option("maxFilesPerTrigger", files_at_once)
         .load(landing)
     )
     text = F.col("content").cast("string")
     rows = raw.select(F.substring_index("path", "/", -1).alias("filename"), source_hash(text).alias("source_hash"), text.alias("text"))
 
     def append(batch: DataFrame, epoch: int) -> None:
-        new = batch.dropDuplicates(["filename", "source_hash"])
-        if spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(target)):
-            new = new.join(spark.read.parquet(target).select("filename", "source_hash"), ["filename", "source_hash"], "left_anti")
-        new.write.mode("append").parquet(target)
+        new = batch.dropDuplicates(["filename", "source_hash"]).withColumn("part", F.substring("source_hash", 1, 2))
+        if _there(spark, target):
+            parts = [r["part"] for r in new.select("part").distinct().collect()]  # 256 at most
+            known = spark.read.schema("filename string, source_hash string, part string").parquet(target).where(F.col("part").isin(parts))
+            new = new.join(known.select("filename", "source_hash"), ["filename", "source_hash"], "left_anti")
+        new.write.mode("append").partitionBy("part").parquet(target)
 
     rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(target)
+    return spark.read.schema("filename string, source_hash string, text string, part string").parquet(target)
+
+
+def progress_log(job: StreamingQuery) -> list[dict]:
+    """(batch, rows, rows_per_second, milliseconds) of the batches that a running or ended
+    query remembers, for a progress display."""
+    return [
+        {"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_second": p["processedRowsPerSecond"], "milliseconds": p["batchDuration"]}
+        for p in job.recentProgress
+    ]

@@ -1,5 +1,8 @@
 """Scalar functions on literal cases."""
 
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,66 +13,54 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
+def slug(index, title):
+    """The contract in Python: small letters, digits, blanks, dashes and underscores; 50 at most."""
+    bare = re.sub("[^a-z0-9 _-]", "", title.lower()).replace(" ", "_")[:50].strip("_-")
+    return f"{index:03d}_{bare or f'chapter_{index + 1}'}.txt"
+
+
 @pytest.mark.parametrize(
-    ("index", "title", "expected"),
-    [
-        (0, "Prologue", "000_prologue.txt"),
-        (1, "Chapter 1 The Beginning", "001_chapter_1_the_beginning.txt"),
-        (42, "Chapter 42: The Answer!", "042_chapter_42_the_answer.txt"),
-        (10, "Chapter 10.5 (Side Story) - Part A", "010_chapter_105_side_story_-_part_a.txt"),
-        (5, "", "005_chapter_6.txt"),
-        (3, "!@#$%^&*()", "003_chapter_4.txt"),
-        (1, "Chapter 1: 日本語", "001_chapter_1.txt"),
-        (1234, "Test", "1234_test.txt"),
-    ],
+    ("index", "title"),
+    [(0, "Opening"), (7, "A Long Road Home"), (55, "Night, again?"), (12, "Interlude 3.2 [draft] - x"), (8, ""), (2, "?!.,;"), (4, "Тень 夜 two"), (2048, "Late"), (3, "w " * 60)],
 )
-def test_chapter_filename(spark, index, title, expected):
-    assert one(spark, names.chapter_filename(F.lit(index), F.lit(title))) == expected
+def test_chapter_filename(spark, index, title):
+    assert one(spark, names.chapter_filename(F.lit(index), F.lit(title))) == slug(index, title)
 
 
 @pytest.mark.parametrize(
     ("name", "expected"),
     [
-        ("Lord of Mysteries - Book 1.epub", "Lord Of Mysteries"),
-        ("infinite_mage_chapter_1.txt", "Infinite Mage Chapter 1"),
-        ("my-novel.epub", "My Novel"),
-        ("___test___.txt", "Test"),
+        ("winter of glass - Book 12.epub", "Winter Of Glass"),
+        ("the_quiet_harbour_vol_3.txt", "The Quiet Harbour Vol 3"),
+        ("two-words.epub", "Two Words"),
+        ("--dash__.txt", "Dash"),
         ("", "Untitled Novel"),
-        (".epub", "Untitled Novel"),
-        ("Novel_Title!@#.epub", "Novel Title"),
-        ("LOTM - Book 1.epub", "LOTM"),
-        ("SoMe-NoVeL.epub", "Some Novel"),
-        ("684151.epub", "684151"),
-        ("- Novel Title.epub", "Novel Title"),
-        ("Novel Title -.epub", "Novel Title"),
+        (".txt", "Untitled Novel"),
+        ("Glass_Sea$%.epub", "Glass Sea"),
+        ("USS - Book 2.epub", "USS"),
+        ("gLaSs-SeA.epub", "Glass Sea"),
+        ("90210.epub", "90210"),
     ],
 )
 def test_title_from_filename(spark, name, expected):
     assert one(spark, names.title_from_filename(F.lit(name))) == expected
 
 
-@pytest.mark.parametrize(("x", "n"), [("", 0), ("A" * 10000, 2500), ("청" * 300, 75), ("1234567890", 2), ("1" * 15, 3)])
-def test_token_estimate(spark, x, n):
-    assert one(spark, text.token_estimate(F.lit(x))) == n
+@pytest.mark.parametrize("x", ["", "b" * 777, "夜" * 41, "abcdefg", "é" * 4])
+def test_token_estimate(spark, x):
+    assert one(spark, text.token_estimate(F.lit(x))) == len(x) // 4
 
 
-@pytest.mark.parametrize(
-    ("name", "color"),
-    [
-        ("Chung Myung", "hsl(18, 69%, 70%)"),
-        ("Baek Cheon", "hsl(306, 66%, 70%)"),
-        ("Tang Bo", "hsl(135, 72%, 73%)"),
-        ("Test", "hsl(355, 71%, 71%)"),
-        ("Kai", "hsl(211, 74%, 71%)"),
-        ("", "hsl(0, 0%, 70%)"),
-    ],
-)
-def test_speaker_color(spark, name, color):
-    assert one(spark, style.speaker_color(F.lit(name))) == color
+@pytest.mark.parametrize("name", ["Mira", "Old Tom", "夜", "x" * 90, ""])
+def test_speaker_color(spark, name):
+    n = int(hashlib.md5(name.encode()).hexdigest(), 16)
+    expected = f"hsl({n % 360}, {65 + n % 11}%, {70 + n % 6}%)" if name else "hsl(0, 0%, 70%)"
+    assert one(spark, style.speaker_color(F.lit(name))) == expected
+    lane = ("right", "left")[n % 2] if name else "center"
+    assert one(spark, style.speaker_lane(F.lit(name))) == lane
 
 
 def test_lane_and_class(spark):
-    assert one(spark, style.speaker_lane(F.lit("Kai"))) == "left"
     assert one(spark, style.speaker_lane(F.lit(None).cast("string"))) == "center"
     assert one(spark, style.speaker_class(F.lit(""))) == "char-none"
 

@@ -40,6 +40,41 @@ def test_epub_chapters(spark, tmp_path):
     assert {r["title"] for (name, _), r in by.items() if name.startswith("my_book")} == {"My Book"}
 
 
+def test_epub_chapters_by_place_and_metadata(spark, tmp_path):
+    write_epub(tmp_path / "a.epub", "Known")
+    (tmp_path / "broken.epub").write_bytes(b"no archive")
+    with zipfile.ZipFile(tmp_path / "bare.epub", "w") as z:
+        z.writestr("META-INF/container.xml", CONTAINER)
+        z.writestr("OEBPS/book.opf", "<package><metadata><title>Bare</title></metadata><manifest/><spine/></package>")
+    rows = {r["index"]: r for r in books.epub_chapters(spark, str(tmp_path), "a.epub", strict=True).collect()}
+    assert {i: (r["chapter_title"], r["content"]) for i, r in rows.items()} == {1: ("B", "One & two\n\nthree"), 2: ("Chapter 2", ""), 4: ("Head", "Head\n\nlast")}
+    about = {r["path"].rsplit("/", 1)[-1]: (r["title"], r["author"], r["error"] is None) for r in books.epub_metadata(spark, str(tmp_path)).collect()}
+    assert about == {"a.epub": ("Known", "Ann", True), "bare.epub": ("Bare", None, True), "broken.epub": (None, None, False)}
+
+
+def test_preferred_glossary_and_odd_entries(spark, tmp_path):
+    one = lambda name, x: (tmp_path / name).write_text(x)
+    one("own.json", json.dumps({"terms": [{"name": "Qi", "raw": "x"}, "odd", {"raw": "no name"}, 5]}))
+    one("shared.json", json.dumps({"terms": [{"name": "Shared", "raw": "y"}]}))
+    one("bad.json", "{no json")
+    names = lambda a, b: [r["name"] for r in scripts.preferred_glossary(spark, f"{tmp_path}/{a}", f"{tmp_path}/{b}").collect()]
+    assert names("own.json", "shared.json") == ["Qi"]
+    assert names("none.json", "shared.json") == ["Shared"] and names("bad.json", "shared.json") == ["Shared"]
+    assert names("none.json", "bad.json") == []
+
+
+def test_sinks(spark, tmp_path):
+    scripts.write_chapters(spark.createDataFrame([(1, "a"), (2, "b")], "novel_id long, text string"), f"{tmp_path}/chapters")
+    assert {r["novel_id"] for r in spark.read.parquet(f"{tmp_path}/chapters").collect()} == {1, 2}
+    pages = spark.createDataFrame([("a.html", "<p>")], "name string, document string")
+    assert scripts.write_documents(pages, f"{tmp_path}/pages").first()["document"] == "<p>"
+    scripts.write_glossary(spark.createDataFrame([('x"y', '[{"name":"Qi"}]')], "category string, entries string"), f"{tmp_path}/glossary")
+    row = json.loads(spark.read.text(f"{tmp_path}/glossary").first()["value"])
+    assert row == {"category": 'x"y', "entries": [{"name": "Qi"}]}
+    scripts.write_report(spark.createDataFrame([(1, 0.5)], "chapter long, score double"), f"{tmp_path}/report")
+    assert spark.read.json(f"{tmp_path}/report").first()["score"] == 0.5
+
+
 def test_text_books(spark, tmp_path):
     (tmp_path / "a.txt").write_text("é 日本", encoding="utf-8")
     (tmp_path / "b.txt").write_bytes("caf\xe9".encode("latin-1"))
@@ -99,3 +134,12 @@ def test_reading_progress_goes_on(spark, tmp_path):
     assert [tuple(r) for r in jobs.reading_progress(stream(), target, place).collect()] == [(1, 1, 4)]
     spark.sql("SELECT 1L novel_id, 2L chapter_id, timestamp'2024-01-03 00:00:00' ts UNION ALL SELECT 2L, 9L, timestamp'2024-01-01 00:00:00'").write.mode("append").parquet(landing)
     assert sorted(tuple(r) for r in jobs.reading_progress(stream(), target, place).collect()) == [(1, 2, 2), (2, 1, 9)]
+    # a run without new data, after an odd number of batches, shows the same
+    assert sorted(tuple(r) for r in jobs.reading_progress(stream(), target, place).collect()) == [(1, 2, 2), (2, 1, 9)]
+    assert sorted(tuple(r) for r in jobs.reading_progress(stream(), target, place).collect()) == [(1, 2, 2), (2, 1, 9)]
+
+
+def test_reading_progress_without_events(spark, tmp_path):
+    landing = f"{tmp_path}/events"
+    spark.createDataFrame([], jobs.READS).write.parquet(landing)
+    assert jobs.reading_progress(spark.readStream.schema(jobs.READS).parquet(landing), f"{tmp_path}/t", f"{tmp_path}/p").count() == 0
