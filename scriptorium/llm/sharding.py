@@ -1,11 +1,15 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-The rows stand in ``source_parts`` source partitions (a hash of the key, so a lost
-executor deals the same rows again). For a uniform shuffle, the numbers of rows that go
-from each source partition to each shard follow a multivariate hypergeometric law. The
-driver draws that matrix from the partition sizes alone (source_parts x n_shards
-integers; both are parameters), each source partition is permuted locally and cut by its
-row of the matrix, the rows are exchanged, and every shard is permuted again.
+Every row gets a number, and the kept columns are written with it once, so a lost executor
+deals the same rows again. The rows stand in ``source_parts`` source partitions. For a
+uniform shuffle, the numbers of rows that go from each source partition to each shard
+follow a multivariate hypergeometric law. The driver draws that matrix from the partition
+sizes alone (source_parts x n_shards integers; both are parameters), each source partition
+is permuted locally and cut by its row of the matrix, the rows are exchanged, and every
+shard is permuted again; a large shard is permuted by ranges of its keys in many tasks.
+
+Source partition and both permutations are keyed hashes of all kept columns and the row's
+number, so rows that repeat an id, or are equal altogether, are dealt as freely as others.
 
 Law ``rows``: shard sizes differ by one row at most.
 
@@ -23,7 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.session import table
+from scriptorium.operators.ranking import rank_in_groups
+from scriptorium.session import cut, table
 
 ROW_OVERHEAD = 16
 #: numpy draws exactly below this population; above it the ratio of uniforms is used.
@@ -80,27 +85,19 @@ def communication_matrix(counts: list[int], n_shards: int, seed: int) -> np.ndar
 def assign(
     rows: DataFrame,
     n_shards: int,
-    key: Column,
     keep: list[Column],
     seed: int = 7,
     rows_per_part: int = 200_000,
     min_parts: int = 64,
     max_parts: int = 65_536,
 ) -> DataFrame:
-    """``keep`` columns of every row with its ``shard`` and gapless ``slot``.
-
-    ``key`` orders rows through keyed hashes; rows with equal keys and equal kept
-    columns are interchangeable. Only ``keep`` is exchanged, twice.
-    """
+    """``keep`` columns of every row with its ``shard`` and gapless ``slot``."""
     spark = rows.sparkSession
-    total = rows.count()
+    numbered = cut(rows.select(F.struct(*keep).alias("__row")).withColumn("__number", F.monotonically_increasing_id()))
+    total = numbered.count()
     n_parts = min(max_parts, max(min_parts, -(-total // rows_per_part)))
-    dealt = rows.select(
-        F.pmod(F.xxhash64(F.lit(seed), key), F.lit(n_parts)).cast("int").alias("__part"),
-        F.xxhash64(F.lit(seed + 1), key).alias("__first"),
-        F.xxhash64(F.lit(seed + 2), key).alias("__second"),
-        F.struct(*keep).alias("__row"),
-    )
+    mixed = lambda n: F.xxhash64(F.lit(seed + n), "__number", "__row")
+    dealt = numbered.select(F.pmod(mixed(0), F.lit(n_parts)).cast("int").alias("__part"), mixed(1).alias("__first"), mixed(2).alias("__second"), "__number", "__row")
     counts = {r["__part"]: r["count"] for r in dealt.groupBy("__part").count().collect()}  # n_parts rows at most
     sizes = [counts.get(i, 0) for i in range(n_parts)]
     ends = communication_matrix(sizes, n_shards, seed).cumsum(axis=1)
@@ -108,12 +105,12 @@ def assign(
         [(i, e.tolist()) for i, e in enumerate(ends) if sizes[i]],
         T.StructType([T.StructField("__part", T.IntegerType()), T.StructField("__ends", T.ArrayType(T.LongType()))]),
     )
-    local = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy("__first", "__second", "__row")))
-    sent = local.join(cuts, "__part").select(
-        F.size(F.filter("__ends", lambda e: e < F.col("__rank"))).alias("shard"), "__second", "__row"
+    local = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy("__first", "__number")))
+    sent = local.join(F.broadcast(cuts), "__part").select(  # n_parts rows of n_shards numbers
+        F.size(F.filter("__ends", lambda e: e < F.col("__rank"))).alias("shard"), "__second", "__number", "__row"
     )
-    slot = F.row_number().over(Window.partitionBy("shard").orderBy("__second", "__row")) - 1
-    return sent.withColumn("slot", slot.cast("long")).select("__row.*", "shard", "slot")
+    placed = rank_in_groups(sent, ["shard"], [F.col("__second"), F.col("__number")], "__slot")
+    return placed.select("__row.*", "shard", (F.col("__slot") - 1).cast("long").alias("slot"))
 
 
 def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +122,7 @@ def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length("body") + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32("body").alias("text_crc32"),
     )
-    shards = assign(sized, 40, F.col("doc_id"), [F.col("doc_id"), F.col("size"), F.col("text_crc32")])
+    shards = assign(sized, 40, [F.col("doc_id"), F.col("size"), F.col("text_crc32")])
     return shards.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
