@@ -5,9 +5,12 @@ AU_BYTES become elementary packets with a presentation time (90 kHz), cut into 1
 packets with continuity counters. Every RANDOM_EVERY-th unit is a random-access point: it
 carries the program tables before it and a clock reference in its adaptation field.
 
-``demux`` finds the video's packet id through the program tables, checks sync bytes, table
-checksums and continuity counters, reassembles the elementary packets, and gives payload,
-times and random-access points. Counter gaps and broken tables are counted, not raised.
+``demux`` finds the packets (also after junk or lost bytes), then a program's first stream
+through the program tables (of one or more packets), checks table checksums and continuity
+counters, reassembles the elementary packets, and gives payload, times and random-access
+points. A packet may be sent twice in a row and is taken once; a counter may jump where the
+stream says so. Other counter gaps, broken packets or tables and units whose length is not
+the declared one are counted, not raised; what a unit has beyond its length is cut off.
 
 Defined cases: null text is the empty text, which still fills one block; equal payloads
 give equal streams; texts of any length are stored whole; an empty table gives an empty
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -131,70 +135,119 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _read_section(packet: np.ndarray) -> bytes | None:
-    """The section that starts in a packet; None if it fails its checksum."""
-    at = 4 + (1 + int(packet[4]) if packet[3] & 0x20 else 0)
-    at += 1 + int(packet[at])
-    length = (int(packet[at + 1]) & 15) << 8 | int(packet[at + 2])
-    section = packet[at : at + 3 + length].tobytes()
-    return section if len(section) == 3 + length and crc32_mpeg(section) == 0 else None
+def _aligned(stream: bytes) -> tuple[np.ndarray, int]:
+    """The packets of a stream, and how many stretches before, between or after them are none.
+    A packet starts with the sync byte and is followed by the end or another one, if need be
+    after one packet whose sync byte is broken."""
+    raw = np.frombuffer(stream, dtype=np.uint8)
+    whole = raw[: len(raw) // PACKET * PACKET].reshape(-1, PACKET)
+    if len(raw) == whole.size and (whole[:, 0] == SYNC).all():
+        return whole, 0
+    synced = lambda at: at >= len(raw) or raw[at] == SYNC
+    found, broken, at = [], 0, 0
+    while at + PACKET <= len(raw):
+        if raw[at] == SYNC and (synced(at + PACKET) or synced(at + 2 * PACKET)):
+            found.append(at)
+            at += PACKET
+            continue
+        broken += 1
+        if at + PACKET < len(raw) and synced(at + PACKET) and synced(at + 2 * PACKET):
+            at += PACKET
+            continue
+        at = stream.find(SYNC, at + 1)
+        while 0 <= at and at + PACKET <= len(raw) and not synced(at + PACKET):
+            at = stream.find(SYNC, at + 1)
+        if at < 0:
+            at = len(raw)
+    broken += at < len(raw)
+    return raw[np.array(found, dtype=np.int64)[:, None] + np.arange(PACKET)], broken
+
+
+def _payload_of(packet: np.ndarray) -> bytes:
+    return packet[4 + (1 + int(packet[4]) if packet[3] & 0x20 else 0) :].tobytes()
+
 
+def _sections(packets: np.ndarray, own: np.ndarray, starts: np.ndarray) -> Iterator[bytes | None]:
+    """The tables that start in the packets ``own``, each from as many of these as it needs; None
+    for one that is cut short or fails its checksum."""
+    for n, k in enumerate(own.tolist()):
+        if not starts[k]:
+            continue
+        body = _payload_of(packets[k])
+        body, more = body[1 + body[0] :] if body else b"", n + 1
+        while len(body) < 3 + ((body[1] & 15) << 8 | body[2] if len(body) > 2 else 0) and more < len(own) and not starts[own[more]]:
+            body += _payload_of(packets[own[more]])
+            more += 1
+        length = 3 + ((body[1] & 15) << 8 | body[2]) if len(body) > 2 else 0
+        yield _checked(body[:length]) if length and len(body) >= length else None
+
+
+_known_sections: dict[bytes, bool] = {}
 
-def _stream_pid(packets: np.ndarray, pids: np.ndarray, starts: np.ndarray) -> tuple[int | None, int]:
-    """Packet id of the first program's first stream, and the number of broken tables before it."""
+
+def _checked(section: bytes) -> bytes | None:
+    """The section if its checksum holds; the few tables that streams repeat are remembered."""
+    if section not in _known_sections:
+        if len(_known_sections) > 1000:
+            _known_sections.clear()
+        _known_sections[section] = crc32_mpeg(section) == 0
+    return section if _known_sections[section] else None
+
+
+def _stream_pid(packets: np.ndarray, pids: np.ndarray, starts: np.ndarray, program: int | None) -> tuple[int | None, int]:
+    """Packet id of the first stream of a program (default: the first one), and the number of
+    broken tables before it."""
     broken = 0
-    for k in np.flatnonzero((pids == 0) & starts):
-        if (pat := _checked(packets[k])) is None:
+    for pat in _sections(packets, np.flatnonzero(pids == 0), starts):
+        if pat is None:
             broken += 1
             continue
-        pmt_pid = (pat[10] & 0x1F) << 8 | pat[11]
-        for j in np.flatnonzero((pids == pmt_pid) & starts):
-            if (pmt := _checked(packets[j])) is None:
+        listed = [(pat[i] << 8 | pat[i + 1], (pat[i + 2] & 0x1F) << 8 | pat[i + 3]) for i in range(8, len(pat) - 7, 4)]
+        pmt_pid = next((pid for number, pid in listed if number and program in (None, number)), None)
+        for pmt in _sections(packets, np.flatnonzero(pids == pmt_pid), starts) if pmt_pid is not None else ():
+            if pmt is None:
                 broken += 1
                 continue
             at = 12 + ((pmt[10] & 15) << 8 | pmt[11])
-            return (pmt[at + 1] & 0x1F) << 8 | pmt[at + 2], broken
+            if at + 5 <= len(pmt) - 4:
+                return (pmt[at + 1] & 0x1F) << 8 | pmt[at + 2], broken
         break
     return None, broken
 
 
-_known_sections: dict[bytes, bytes | None] = {}
-
-
-def _checked(packet: np.ndarray) -> bytes | None:
-    """_read_section, remembering the few tables that streams repeat."""
-    body = packet[3:].tobytes()[1:] + bytes([packet[3] & 0x20])
-    if body not in _known_sections:
-        if len(_known_sections) > 1000:
-            _known_sections.clear()
-        _known_sections[body] = _read_section(packet)
-    return _known_sections[body]
-
-
-def demux(stream: bytes) -> dict:
-    """Payload, presentation times, random-access points (packet number, time) and error counts."""
-    packets = np.frombuffer(stream, dtype=np.uint8)[: len(stream) // PACKET * PACKET].reshape(-1, PACKET)
-    good = packets[packets[:, 0] == SYNC]
+def demux(stream: bytes, program: int | None = None) -> dict:
+    """Payload, presentation times, random-access points (packet number, time), the units
+    whose length is not the declared one, and error counts."""
+    good, lost = _aligned(stream)
     pids = (good[:, 1].astype(np.int32) & 0x1F) << 8 | good[:, 2]
     starts = (good[:, 1] & 0x40) != 0
-    pid, broken = _stream_pid(good, pids, starts)
+    pid, broken = _stream_pid(good, pids, starts, program)
     where = np.flatnonzero((pids == pid) & ((good[:, 3] & 0x10) != 0)) if pid is not None else np.zeros(0, dtype=np.int64)
+    step = np.diff((good[where, 3] & 15).astype(np.int16)) % 16
+    twice = np.flatnonzero(step == 0) + 1
+    twice = twice[(good[where[twice]] == good[where[twice - 1]]).all(1)]
+    twice = twice[~np.isin(twice - 1, twice)]  # a third one is no legal copy
+    where = np.delete(where, twice)
     own = good[where]
-    counters = own[:, 3] & 15
-    gaps = int(np.count_nonzero((np.diff(counters.astype(np.int16)) - 1) % 16))
     adapted = (own[:, 3] & 0x20) != 0
-    begin = np.where(adapted, 5 + own[:, 4].astype(np.int32), 4)
-    random_access = adapted & (own[:, 4] > 0) & ((own[:, 5] & 0x40) != 0)
-    mask = np.arange(PACKET)[None, :] >= begin[:, None]
-    body = own[mask]
-    offsets = np.concatenate([[0], np.cumsum(np.clip(PACKET - begin, 0, None))])
+    fields = np.where(adapted & (own[:, 4] > 0), own[:, 5], 0)
+    step = np.diff((own[:, 3] & 15).astype(np.int16)) % 16
+    gaps = int(np.count_nonzero((step != 1) & ((fields[1:] & 0x80) == 0)))
+    begin = np.minimum(np.where(adapted, 5 + own[:, 4].astype(np.int32), 4), PACKET)
+    random_access = (fields & 0x40) != 0
+    body = own[np.arange(PACKET)[None, :] >= begin[:, None]]
+    offsets = np.concatenate([[0], np.cumsum(PACKET - begin)])
     heads = np.flatnonzero(starts[where])
-    parts, times, points = [], [], []
+    parts, times, points, odd = [], [], [], []
     for n, h in enumerate(heads):
         pes = body[offsets[h] : offsets[heads[n + 1]] if n + 1 < len(heads) else offsets[-1]]
         if len(pes) < 14 or pes[0] or pes[1] or pes[2] != 1:
             broken += 1
             continue
+        declared = 6 + (int(pes[4]) << 8 | int(pes[5]))
+        if declared > 6 and len(pes) != declared:
+            odd.append(len(times))
+            pes = pes[:declared]
         times.append(_pts_of(pes[9:14]) if pes[7] & 0x80 else -1)
         parts.append(pes[9 + int(pes[8]) :].tobytes())
         if random_access[h]:
@@ -203,9 +256,11 @@ def demux(stream: bytes) -> dict:
         "payload": b"".join(parts),
         "times": times,
         "points": points,
+        "odd_units": odd,
         "gaps": gaps,
-        "broken": broken + len(packets) - len(good),
-        "packets": len(packets),
+        "twice": len(twice),
+        "broken": broken + lost,
+        "packets": len(good),
     }
 
 
@@ -243,7 +298,7 @@ def read(media: DataFrame) -> DataFrame:
             moves = int(np.abs(np.diff(samples.astype(np.int16))).sum(dtype=np.int64)) * 1000 // max(1, len(samples) - 1)
             last = max(f["times"], default=-1)
             feature.append(
-                f"packets={f['packets']};units={len(f['times'])};random={len(f['points'])};last_pts={last};gaps={f['gaps']};broken={f['broken']};mean={mean};moves={moves}"
+                f"packets={f['packets']};units={len(f['times'])};random={len(f['points'])};last_pts={last};gaps={f['gaps']};twice={f['twice']};odd={len(f['odd_units'])};broken={f['broken']};mean={mean};moves={moves}"
             )
         return {
             "doc_id": batch.column("doc_id"),
