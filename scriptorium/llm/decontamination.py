@@ -4,10 +4,12 @@ Every training text is cut into overlapping passages, and every passage is a que
 item's BM25 score is divided by the score of the item's own text, so a passage that holds
 all of an item scores 1 or more, and one threshold serves items of any length. Postings
 are kept in blocks of BLOCK_ITEMS items with each term's highest impact in the block.
-For a passage, terms are taken in order of their highest impact anywhere; those behind the
-point where the rest cannot reach the threshold any more open no block (the WAND bound).
-An opened block is scored exactly only if the sum of its block maxima over the passage's
-terms reaches the threshold. No item that reaches the threshold is lost.
+For a passage, terms are taken in order of their highest impact anywhere; those before the
+pivot, whose highest impacts together stay below the threshold, are never walked. The
+blocks of the terms from the pivot on are left at once if what these terms reach there and
+all that the others could add stay below the threshold. For the blocks that remain the
+others are looked up, and a block is scored exactly only if its block maxima over the
+passage's terms reach the threshold. No item that reaches the threshold is lost.
 
 Retrieved items are verified on the whole text: an item's question (up to the last ``?``;
 without one, all but its last sentence) and its answer (the rest) must each share at least
@@ -19,8 +21,10 @@ are found there; the higher share counts. A part of one word, of which a change
 nothing, needs nothing beside a longer one. Only items of one part of fewer than five words
 must be held as they are.
 
-The index is made of slices of up to SLICE_WORDS words, which bounds what is broadcast at
-once; further slices take further passes. Scores use the statistics of their slice.
+Document frequencies, the number of items and their mean length are counted by Spark over
+the whole benchmark, so scores do not depend on how the index is cut. It is cut by a hash of
+the items into slices of about SLICE_WORDS words, which bounds what the driver and each task
+hold; each further slice is a further pass, and its index is dropped before the next one.
 
 Defined cases: null and empty texts have no passages; null and blank items are no items;
 items of equal text are found together; repeated rows are judged alike; without items or
@@ -32,7 +36,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +47,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm.arrow import fresh_name, map_arrow, texts, with_column_of_text
-from scriptorium.session import table
+from scriptorium.session import cut, table
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.5, 0.5, 5
 BLOCK_ITEMS = 4
 MIN_STRIDE = 64
-SLICE_WORDS = 2_000_000
-#: Cells of the table of block bounds that a task fills at once.
-CELLS = 200_000
+SLICE_WORDS = 1_000_000
+#: Passages that a task compares at once.
+PASSAGES = 2000
+#: Rows that may be broadcast to flag documents; beyond, they are joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
 SPACES = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
@@ -110,13 +118,13 @@ class Index:
     sizes: list[int]
     vocabulary: dict[bytes, int]
     #: postings, by term: item and impact
-    post_at: np.ndarray
     post_item: np.ndarray
     post_impact: np.ndarray
-    #: blocks, by term: block and highest impact in it
+    #: blocks, by term: term and block as one number, highest impact, first posting (and an end)
     block_at: np.ndarray
-    block_id: np.ndarray
+    block_key: np.ndarray
     block_max: np.ndarray
+    block_post: np.ndarray
     term_max: np.ndarray
     stride: int
 
@@ -125,8 +133,18 @@ class Index:
         return -(-len(self.items) // BLOCK_ITEMS)
 
 
-def build_index(items: list[tuple[int, str]]) -> Index | None:
-    """The index of (id, text) items, without blank ones."""
+@dataclass
+class Statistics:
+    """Of a whole benchmark: items, their mean length, and of the words at hand in how many items each is."""
+
+    n_items: int
+    mean_length: float
+    frequency: dict[bytes, int]
+
+
+def build_index(items: list[tuple[int, str]], of_all: Statistics | None = None) -> Index | None:
+    """The index of (id, text) items, without blank ones, with the statistics of the whole
+    benchmark (default: of these items)."""
     bags = [(i, t, Counter(words_of(t.encode()))) for i, t in items]
     bags = [x for x in bags if x[2]]
     if not bags:
@@ -135,16 +153,19 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
     entries = [(vocabulary.setdefault(w, len(vocabulary)), n, tf) for n, (_, _, bag) in enumerate(bags) for w, tf in bag.items()]
     term, item, tf = (np.array(c) for c in zip(*entries, strict=True))
     lengths = np.array([sum(b.values()) for _, _, b in bags], dtype=float)
-    df = np.bincount(term, minlength=len(vocabulary))
-    idf = np.log1p((len(bags) - df + 0.5) / (df + 0.5))
-    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / lengths.mean()))
+    if of_all is None:
+        df, n_items, mean = np.bincount(term, minlength=len(vocabulary)), len(bags), lengths.mean()
+    else:
+        df, n_items, mean = np.array([of_all.frequency[w] for w in vocabulary]), of_all.n_items, of_all.mean_length
+    idf = np.log1p((n_items - df + 0.5) / (df + 0.5))
+    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean))
     impact = impact / np.bincount(item, impact)[item]
     order = np.lexsort((item, term))
     term, item, impact = term[order], item[order], impact[order]
-    post_at = np.searchsorted(term, np.arange(len(vocabulary) + 1))
-    pair = term * (1 << 32) + item // BLOCK_ITEMS
+    pair = term * -(-len(bags) // BLOCK_ITEMS) + item // BLOCK_ITEMS
     start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
     block_max, block_term = np.maximum.reduceat(impact, start), term[start]
+    block_at = np.searchsorted(block_term, np.arange(len(vocabulary) + 1))
     parts = [judged_parts(t) for _, t, _ in bags]
     return Index(
         [i for i, _, _ in bags],
@@ -153,13 +174,13 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
         [tuple(shingles(p, steady_width(p)) for p in pair) for pair in parts],
         lengths.astype(int).tolist(),
         vocabulary,
-        post_at,
         item,
         impact,
-        np.searchsorted(block_term, np.arange(len(vocabulary) + 1)),
-        item[start] // BLOCK_ITEMS,
+        block_at,
+        pair[start],
         block_max,
-        np.maximum.reduceat(impact, post_at[:-1]),
+        np.r_[start, len(item)],
+        np.maximum.reduceat(block_max, block_at[:-1]),
         max(MIN_STRIDE, int(lengths.max())),
     )
 
@@ -173,31 +194,27 @@ def _spread(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def retrieve(index: Index, passage: np.ndarray, term: np.ndarray, n_passages: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(passage, item, score) with score >= threshold, for distinct sorted (passage, term) pairs."""
-    eps = 1e-9
-    # WAND: order each passage's terms by highest impact, lowest first; those whose running sum
-    # stays below the threshold cannot make an item on their own.
+    eps, n_blocks = 1e-9, index.n_blocks
     order = np.lexsort((index.term_max[term], passage))
     passage, term = passage[order], term[order]
+    starts = np.searchsorted(passage, np.arange(n_passages + 1))
     running = np.cumsum(index.term_max[term])
-    first = np.searchsorted(passage, passage)
-    running -= np.where(first > 0, running[first - 1], 0)
-    opening = running >= threshold - eps
-    owner, place = _spread(index.block_at, term)
-    cell = passage[owner] * index.n_blocks + index.block_id[place]
-    bound = np.bincount(cell, index.block_max[place], minlength=n_passages * index.n_blocks)
-    opened = np.zeros(len(bound), dtype=bool)
-    opened[cell[opening[owner]]] = True
-    alive = opened & (bound >= threshold - eps)
-    keep = np.flatnonzero(np.bincount(passage, minlength=n_passages)[passage] > 0) if alive.any() else np.zeros(0, dtype=np.int64)
-    live = np.zeros(n_passages, dtype=bool)
-    live[np.flatnonzero(alive) // index.n_blocks] = True
-    keep = keep[live[passage[keep]]]
-    owner, place = _spread(index.post_at, term[keep])
-    p, item = passage[keep][owner], index.post_item[place]
-    inside = alive[p * index.n_blocks + item // BLOCK_ITEMS]
-    p, item, impact = p[inside], item[inside], index.post_impact[place][inside]
-    key, back = np.unique(p * len(index.items) + item, return_inverse=True)
-    score = np.bincount(back, impact, minlength=len(key))
+    running -= np.r_[0.0, running][starts[passage]]
+    essential = running >= threshold - eps  # from the pivot on
+    others = np.bincount(passage[~essential], index.term_max[term[~essential]], minlength=n_passages)
+    owner, place = _spread(index.block_at, term[essential])
+    cell, back = np.unique(passage[essential][owner] * n_blocks + index.block_key[place] % n_blocks, return_inverse=True)
+    cell = cell[np.bincount(back, index.block_max[place], minlength=len(cell)) + others[cell // n_blocks] >= threshold - eps]
+    owner, place = _spread(starts, cell // n_blocks)  # every term of a block's passage
+    wanted = term[place] * n_blocks + cell[owner] % n_blocks
+    entry = np.minimum(np.searchsorted(index.block_key, wanted), len(index.block_key) - 1)
+    held = index.block_key[entry] == wanted
+    owner, entry = owner[held], entry[held]
+    alive = np.bincount(owner, index.block_max[entry], minlength=len(cell)) >= threshold - eps
+    owner, entry = owner[alive[owner]], entry[alive[owner]]
+    of, post = _spread(index.block_post, entry)
+    key, back = np.unique(cell[owner][of] // n_blocks * len(index.items) + index.post_item[post], return_inverse=True)
+    score = np.bincount(back, index.post_impact[post], minlength=len(key))
     good = score >= threshold - eps
     return key[good] // len(index.items), key[good] % len(index.items), score[good]
 
@@ -257,7 +274,7 @@ def find(index: Index, docs: list[bytes], threshold: float = THRESHOLD, overlap:
     at = 0
     while at < len(docs):
         begin, spans = at, []
-        while at < len(docs) and (at == begin or len(spans) * index.n_blocks < CELLS):
+        while at < len(docs) and (at == begin or len(spans) < PASSAGES):
             spans += [(at, s) for s in range(0, max(1, len(words[at]) - index.stride), index.stride)] if words[at] else []
             at += 1
         flat = [w for d in range(begin, at) for w in words[d]]
@@ -266,8 +283,8 @@ def find(index: Index, docs: list[bytes], threshold: float = THRESHOLD, overlap:
         offset = np.cumsum(lengths) - lengths
         if not spans:
             continue
-        for lot in range(0, len(spans), max(1, CELLS // index.n_blocks)):
-            out += _find_lot(index, spans[lot : lot + max(1, CELLS // index.n_blocks)], begin, offset, lengths, ids, words, threshold, overlap)
+        for lot in range(0, len(spans), PASSAGES):
+            out += _find_lot(index, spans[lot : lot + PASSAGES], begin, offset, lengths, ids, words, threshold, overlap)
     best: dict[tuple[int, int], tuple] = {}
     for row in out:
         if row[:2] not in best or row[2] > best[row[:2]][2]:
@@ -300,30 +317,39 @@ def _find_lot(index, spans, begin, offset, lengths, ids, words, threshold, overl
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
-def _slices(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """Items (id, text) in slices of up to SLICE_WORDS words; one slice at a time is on the driver's side of a pass."""
-    slices, size = [[]], 0
-    for r in benchmark.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        n = len(r["text"].split())
-        if slices[-1] and size + n > SLICE_WORDS:
-            slices.append([])
-            size = 0
-        slices[-1].append((r["item_id"], r["text"]))
-        size += n
-    return slices
+def indexes(benchmark: DataFrame) -> Iterator[tuple[int, Index]]:
+    """(number of slices, index) of each slice of ``benchmark(item_id, text)``, one after the other."""
+
+    def step(batch: pa.RecordBatch) -> dict:
+        return {"item_id": batch.column("item_id"), "text": batch.column("text"), "words": [words_of(t) for t in texts(batch)]}
+
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
+    bags = cut(map_arrow(items, "item_id long, text string, words array<binary>", step).where("size(words) > 0"))
+    n_items, mean, size = bags.agg(F.count("*"), F.avg(F.size("words")), F.sum(F.size("words"))).first()
+    if not n_items:
+        return
+    n = -(-size // SLICE_WORDS)
+    placed = bags.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    each = placed.select("slice", F.explode(F.array_distinct("words")).alias("word"))
+    frequency = cut(each.groupBy("word").count()) if n > 1 else each.groupBy("word").count()
+    for at in range(n):
+        own = placed.where(F.col("slice") == at).select("item_id", "text").orderBy("item_id", "text").collect()
+        known = frequency if n == 1 else frequency.join(each.where(F.col("slice") == at).select("word").distinct(), "word")
+        words = {bytes(r["word"]): r["count"] for r in known.collect()}
+        yield n, build_index([(r["item_id"], r["text"]) for r in own], Statistics(n_items, mean, words))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): which of
     ``documents(doc_id, text)`` hold which of ``benchmark(item_id, text)``."""
-    spark = documents.sparkSession
-    result = spark.createDataFrame([], SCHEMA)
-    rows = documents.select(F.col("doc_id").cast("long"), "text")
-    for items in _slices(benchmark):
-        index = build_index(items)
-        if index is not None:
-            result = result.unionAll(_pass(rows, spark.sparkContext.broadcast(index), threshold, overlap))
-    return result
+    rows, found = documents.select(F.col("doc_id").cast("long"), "text"), []
+    for n, index in indexes(benchmark):
+        shared = documents.sparkSession.sparkContext.broadcast(index)
+        one = _pass(rows, shared, threshold, overlap)
+        found.append(one if n == 1 else cut(one))
+        if n > 1:
+            shared.unpersist()
+    return reduce(DataFrame.unionAll, found, documents.sparkSession.createDataFrame([], SCHEMA))
 
 
 def _pass(rows: DataFrame, shared, threshold: float, overlap: float) -> DataFrame:
@@ -338,14 +364,24 @@ def _pass(rows: DataFrame, shared, threshold: float, overlap: float) -> DataFram
 
 def with_flag(documents: DataFrame, benchmark: DataFrame, name: str, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """``documents(text, ...)`` and ``name``: true where a text holds an item of ``benchmark(item_id, text)``."""
-    spark, flags = documents.sparkSession, []
-    for items in _slices(benchmark):
-        index = build_index(items)
-        if index is not None:
-            flags.append(fresh_name(documents, f"{name}_{len(flags)}"))
-            documents = with_column_of_text(documents, flags[-1], T.BooleanType(), _flags(spark.sparkContext.broadcast(index), threshold, overlap))
-    flag = F.greatest(F.lit(False), F.lit(False), *flags)
-    return documents.withColumn(name, flag).drop(*flags)
+    spark, key, keys = documents.sparkSession, fresh_name(documents, "text_key"), []
+    for n, index in indexes(benchmark):
+        shared = spark.sparkContext.broadcast(index)
+        if n == 1:
+            return with_column_of_text(documents, name, T.BooleanType(), _flags(shared, threshold, overlap))
+        found = with_column_of_text(documents.select("text"), "held", T.BooleanType(), _flags(shared, threshold, overlap))
+        keys.append(cut(found.where("held").select(_text_key().alias(key)).distinct()))
+        shared.unpersist()
+    if not keys:
+        return documents.withColumn(name, F.lit(False))
+    held = cut(reduce(DataFrame.unionAll, keys).distinct().withColumn(name, F.lit(True)))
+    held = F.broadcast(held) if held.count() <= BROADCAST_KEYS else held
+    joined = documents.withColumn(key, _text_key()).join(held, key, "left")
+    return joined.select(*documents.columns, F.coalesce(name, F.lit(False)).alias(name))
+
+
+def _text_key() -> F.Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 
 
 def _flags(shared, threshold: float, overlap: float):
