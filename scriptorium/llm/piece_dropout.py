@@ -6,9 +6,12 @@ variant, word and span, so the same input and seed give the same pieces on any m
 and other seeds or variants give other segmentations. As a skipped candidate does not come
 back, dropping it as it enters the agenda is the same as skipping it when it is due.
 
-No piece of the model holds a space after another character or a newline, so words with
-the spaces before them are segmented apart, and remembered. The words of a text take
-``VARIANTS`` variants in turn, from a start that depends on the text.
+No piece of the model holds a space after another character or a newline beside others
+(``load_vocabulary`` refuses models of which this is not so), so words with the spaces
+before them are segmented apart, and remembered. Which of ``VARIANTS`` variants a word takes
+is a keyed hash of the text and of the word's place in it, so a word that occurs again, in
+the same text or in others, is segmented anew; a word has VARIANTS segmentations at most in
+a whole corpus.
 
 Characters without a piece become byte pieces. Spaces are the model's word mark; a word
 mark that stands in the text itself is written as bytes, so decoding restores every text.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.arrow import map_arrow, texts
 from scriptorium.session import table
 
-DROPOUT, SEED, VARIANTS = 0.1, 20, 4
+DROPOUT, SEED, VARIANTS = 0.1, 20, 16
 LONG = 48
 #: Words that a task remembers at most, over all variants.
 CACHE_WORDS = 600_000
@@ -73,6 +77,9 @@ def load_vocabulary(model_path: str | None = None) -> Vocabulary:
             ids[own] = i
             pieces.append(own.encode())
             order.append((-sp.get_score(i), own))
+    odd = [p for p in ids if " " in p.lstrip(" ") or ("\n" in p and p != "\n")]
+    if odd:
+        raise ValueError(f"the model has pieces over several words, such as {odd[0]!r}")
     ranks = {s: n for n, s in enumerate(sorted({s for s, _ in order}))}
     return Vocabulary(ids, {p: ranks[s] for s, p in order}, byte_ids, pieces)
 
@@ -189,15 +196,16 @@ class Encoder:
             rank[((x ^ x >> np.uint64(32)) & np.uint64(0xFFFFFFFF)) < np.uint64(self.limit)] = NEVER
         return rank
 
-    def _many(self, words: list[str], variant: int) -> list[bytes]:
-        """``packed`` for words of similar length without unknown characters or runs of spaces."""
+    def _many(self, words: list[str], variants: list[int]) -> list[bytes]:
+        """``packed`` for words of similar length without unknown characters or runs of spaces,
+        each in its variant."""
         n, sizes = len(words), np.fromiter(map(len, words), np.int64, len(words))
         width = int(sizes.max())
         column = np.arange(width)
         points = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
         parts = np.full((n, width), -1, dtype=np.int64)
         parts[column[None, :] < sizes[:, None]] = self.of_char[points]
-        key = np.fromiter((self.key(w, variant) for w in words), np.uint64, n)
+        key = np.fromiter(map(self.key, words, variants), np.uint64, n)
         starts = np.tile(np.arange(width + 1), (n, 1))
         due = self._pair_ranks(parts[:, :-1], parts[:, 1:], key[:, None], column[None, :-1], column[None, 1:], column[None, 1:] + 1)
         row, out = np.arange(n), [b""] * n
@@ -232,42 +240,47 @@ class Encoder:
         finish(np.ones(len(row), dtype=bool))
         return out
 
-    def learn(self, words: set[str], variant: int) -> None:
-        """Remembers the segments of words of up to LONG characters."""
-        known = self.known[variant]
+    def learn(self, new: set[tuple[str, int]]) -> None:
+        """Remembers the segments of (word, variant) pairs of words of up to LONG characters."""
         plain, odd = [], []
-        for w in words:
-            (odd if w.startswith("  ") or not self.chars.issuperset(w) else plain).append(w)
-        plain.sort(key=len)
+        for pair in new:
+            (odd if pair[0].startswith("  ") or not self.chars.issuperset(pair[0]) else plain).append(pair)
+        plain.sort(key=lambda pair: len(pair[0]))
         for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            known.update(zip(some, self._many(some, variant), strict=True))
-        for w in odd:
-            known[w] = self.packed(w, variant)
+            words, variants = map(list, zip(*plain[at : at + 4096], strict=True))
+            for w, v, made in zip(words, variants, self._many(words, variants), strict=True):
+                self.known[v][w] = made
+        for w, v in odd:
+            self.known[v][w] = self.packed(w, v)
+
+    def places(self, text: str, n: int) -> list[int]:
+        """The variants of the ``n`` words of a text."""
+        first = np.uint64(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed))
+        x = (first + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((x ^ x >> np.uint64(32)) % np.uint64(self.variants)).astype(np.int64).tolist()
 
     def encode_all(self, docs: list[str]) -> list[bytes]:
         """Ids of each text's pieces, packed little-endian in self.kind."""
-        n, out, at = self.variants, [], 0
+        out, at = [], 0
         while at < len(docs):  # as many texts as the memory for words allows
-            split, new, size = [], [set() for _ in range(n)], 0
-            while at < len(docs) and (not split or size < CACHE_WORDS):
-                text = docs[at]
-                words = WORDS.findall(" " + text) if text else []
-                first = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed) % n
-                for k in range(n):
-                    new[(first + k) % n].update(words[k::n])
-                split.append((first, words))
-                size += len(words)
+            if sum(map(len, self.known)) > CACHE_WORDS:
+                for known in self.known:
+                    known.clear()
+            get, new = [known.get for known in self.known], set()
+            split, size = [], 0
+            while at < len(docs) and size < CACHE_WORDS:
+                words = WORDS.findall(" " + docs[at]) if docs[at] else []
+                at_variant = self.places(docs[at], len(words))
+                parts = [get[v](w) for v, w in zip(at_variant, words, strict=True)]
+                missing = [i for i, p in enumerate(parts) if p is None]
+                new.update((words[i], at_variant[i]) for i in missing if len(words[i]) <= LONG)
+                split.append((parts, [(i, at_variant[i], words[i]) for i in missing]))
+                size += len(missing)
                 at += 1
-            for variant in range(n):
-                if len(self.known[variant]) + len(new[variant]) > CACHE_WORDS // n:
-                    self.known[variant].clear()
-                self.learn({w for w in new[variant] if len(w) <= LONG and w not in self.known[variant]}, variant)
-            for first, words in split:
-                parts: list[bytes] = [b""] * len(words)
-                for k in range(min(n, len(words))):
-                    known = self.known[(first + k) % n]
-                    parts[k::n] = [known.get(w) or self.packed(w, (first + k) % n) for w in words[k::n]]
+            self.learn(new)
+            for parts, missing in split:
+                for i, variant, w in missing:
+                    parts[i] = get[variant](w) or self.packed(w, variant)
                 out.append(b"".join(parts))
         return out
 
@@ -327,14 +340,33 @@ def _broadcast_pieces(df: DataFrame, model_path: str | None):
     return df.sparkSession.sparkContext.broadcast(load_vocabulary(model_path).pieces)
 
 
+def encode_and_check(documents: DataFrame, dropout: float = DROPOUT, seed: int = SEED, model_path: str | None = None) -> DataFrame:
+    """``encode`` with the bytes and crc32 of each text and of what its pieces decode to:
+    (doc_id, n_tokens, tokens, text_bytes, text_crc32, decoded_bytes, decoded_crc32)."""
+    vocabulary = documents.sparkSession.sparkContext.broadcast(load_vocabulary(model_path))  # of fixed size
+    made: list = []
+
+    def step(batch: pa.RecordBatch) -> dict:
+        if not made:
+            made.extend((Encoder(vocabulary.value, dropout, seed), Decoder(vocabulary.value.pieces)))
+        encoder, decoder = made
+        raw = texts(batch)
+        packed = encoder.encode_all([t.decode("utf-8", "surrogatepass") for t in raw])
+        back = [decoder.decode(p) for p in packed]
+        return {
+            "doc_id": batch.column("doc_id"),
+            "n_tokens": [len(p) // encoder.kind.itemsize for p in packed],
+            "tokens": packed,
+            "text_bytes": [len(t) for t in raw],
+            "text_crc32": [zlib.crc32(t) for t in raw],
+            "decoded_bytes": [len(t) for t in back],
+            "decoded_crc32": [zlib.crc32(t) for t in back],
+        }
+
+    schema = "doc_id long, n_tokens long, tokens binary, text_bytes long, text_crc32 long, decoded_bytes long, decoded_crc32 long"
+    return map_arrow(documents.select("doc_id", "text"), schema, step)
+
+
 def op2_merge_dropout_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces, decoded again; text_crc32 is that of the stored text."""
-    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    back = decode(encode(documents))
-    return back.select(
-        "doc_id",
-        "n_tokens",
-        "tokens",
-        F.octet_length("decoded").cast("long").alias("decoded_bytes"),
-        F.crc32("decoded").alias("decoded_crc32"),
-    )
+    return encode_and_check(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"))
