@@ -81,16 +81,31 @@ def with_rules(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return urls.join(best, ["host", "path"], "left").select(*urls.columns, "best.rule", "best.decided")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` steps; those above the root are left out."""
+    steps = F.split(path, "/")
+    last = F.element_at(steps, -1)
+    up = lambda acc: F.when(F.size(acc) > 1, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(acc)
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, s: F.when(s == ".", acc).when(s == "..", up(acc)).otherwise(F.array_append(acc, s)))
+    whole = F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), F.lit("/")).otherwise(""))
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), whole).otherwise(path)
+
+
 def _absolute(base: Column, target: Column) -> Column:
-    """A link's target as seen from its page; null if it has none."""
+    """A link's target as seen from its page; null if it has none. ``&amp;`` stands for ``&``; a
+    target of a query alone keeps the page's path, one of a fragment alone is the page."""
+    target = F.replace(F.trim(target), F.lit("&amp;"), F.lit("&"))
+    page, rest = F.regexp_extract(base, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    path = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
     scheme, root = F.regexp_extract(base, r"(?s)^(.*?):", 1), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*/)", 1)
     return (
-        F.when(F.coalesce(F.trim(target), F.lit("")) == "", None)
+        F.when(F.coalesce(target, F.lit("")) == "", None)
         .when(F.contains(target, F.lit("://")), target)
         .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
-        .when(F.startswith(target, F.lit("/")), F.concat(root, target))
-        .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), target))
+        .when(path == "", F.concat(page, rest))
+        .when(F.startswith(target, F.lit("/")), F.concat(root, _without_dots(path), rest))
+        .otherwise(F.concat(root, _without_dots(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path)), rest))
     )
 
 
