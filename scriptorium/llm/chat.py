@@ -111,9 +111,15 @@ def rank_branches(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     return rank_in_groups(branches, ["tree_id"], [-F.col("path_score"), F.col("leaf_id")], "branch_rank")
 
 
-def format_paths(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+def format_paths(nodes: DataFrame, paths: DataFrame, best: int | None = None) -> DataFrame:
     """(tree_id, leaf_id, branch_rank, path_score, n_turns, formatted, loss_spans), where
-    branches of a tree rank by the sum of their nodes' scores, then by leaf id."""
+    branches of a tree rank by the sum of their nodes' scores, then by leaf id; of the
+    ``best`` branches of each tree, or all. Texts join in for chosen branches alone."""
+    ranks = rank_branches(nodes, paths).select(F.col("tree_id").alias("t"), F.col("leaf_id").alias("l"), "path_score", "branch_rank")
+    same = F.col("tree_id").eqNullSafe(F.col("t")) & F.col("leaf_id").eqNullSafe(F.col("l"))
+    if best is not None:
+        ranks = cut(ranks.where(F.col("branch_rank") <= best))
+        paths = paths.join(ranks, same, "left_semi")
     said = nodes.select(
         F.col("tree_id").alias("t"),
         F.col("node_id").alias("n"),
@@ -136,8 +142,6 @@ def format_paths(nodes: DataFrame, paths: DataFrame) -> DataFrame:
         text.alias("formatted"),
         F.aggregate("turns", first, _span_step)["spans"].alias("loss_spans"),
     )
-    ranks = rank_branches(nodes, paths).select(F.col("tree_id").alias("t"), F.col("leaf_id").alias("l"), "path_score", "branch_rank")
-    same = F.col("tree_id").eqNullSafe(F.col("t")) & F.col("leaf_id").eqNullSafe(F.col("l"))
     return made.join(ranks, same).select("tree_id", "leaf_id", "branch_rank", "path_score", "n_turns", "formatted", "loss_spans")
 
 
