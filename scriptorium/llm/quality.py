@@ -207,12 +207,13 @@ def train(documents: DataFrame, labels: DataFrame, web: DataFrame) -> Model:
 
 
 def with_score(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """``documents(text, ...)`` and the score of each text as ``name``."""
+    """``documents(text, ...)`` and the score of each text as ``name``; a column that has that
+    name already is replaced."""
 
     def step(own: list[bytes]) -> np.ndarray:
         return model.scores(np.array([text_features(t) for t in own]).reshape(-1, N_FEATURES))
 
-    return with_column_of_text(documents, name, T.DoubleType(), step)
+    return with_column_of_text(documents.drop(name), name, T.DoubleType(), step)
 
 
 def held_out(remainder: int, folds: int):

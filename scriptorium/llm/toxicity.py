@@ -314,7 +314,8 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 
 
 def with_score(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """``documents(text, ...)`` and the score of each text as ``name``."""
+    """``documents(text, ...)`` and the score of each text as ``name``; a column that has that
+    name already is replaced."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # LETTERS**3 weights, 2 MB
     scorers: list[Scorer] = []
 
@@ -323,7 +324,7 @@ def with_score(documents: DataFrame, model: Model, name: str = "score") -> DataF
             scorers.append(Scorer(shared.value))
         return scorers[0](own)
 
-    return with_column_of_text(documents, name, T.DoubleType(), step)
+    return with_column_of_text(documents.drop(name), name, T.DoubleType(), step)
 
 
 def held_out(remainder: int, folds: int):
