@@ -6,6 +6,8 @@ written as Parquet and read again. All but the last return the columns of docume
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,34 +17,54 @@ from scriptorium.session import ensure_checkpoint_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below the operator's threshold."""
+    """Documents whose toxicity is below the operator's threshold.
+
+    Null and empty texts are scored like others; repeated rows stay together; an empty table
+    stays empty, and without labels nothing is toxic; other columns of any name are kept.
+    """
     labels, score = table(spark, sf_dir, "labels").select("doc_id", "toxic"), fresh_name(docs, "score")
     scored = toxicity.with_score(docs, toxicity.train(docs, labels), score)
     return scored.where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality reaches the operator's threshold."""
+    """Documents whose quality reaches the operator's threshold.
+
+    Null and empty texts are scored like others; repeated rows stay together; an empty table
+    stays empty; without trusted rows nothing is known to be good and nothing stays; other
+    columns of any name are kept.
+    """
     labels, score = table(spark, sf_dir, "labels").select("doc_id", "quality"), fresh_name(docs, "score")
     scored = quality.with_score(docs, quality.train(docs, labels, docs), score)
     return scored.where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group (five-word shingles, similarity 0.8): the one with the smallest id."""
+    """One document of each group (five-word shingles, similarity 0.8): the one with the smallest id.
+
+    Null, empty and blank texts are in no group and all stay; of repeated rows one stays; a
+    row without id stays only where nothing else is in its group; other columns are kept.
+    """
     return near_dup.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none; repeated rows are judged alike; without items everything
+    stays; other columns of any name are kept.
+    """
     held = fresh_name(docs, "held")
     return decontamination.with_flag(docs, table(spark, sf_dir, "benchmark"), held).where(~F.col(held)).drop(held)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, tokens, lossless) of each document under merge-dropout."""
-    back = piece_dropout.decode(piece_dropout.encode(docs))
-    return back.select("doc_id", "n_tokens", "tokens", F.octet_length("decoded").cast("long").alias("decoded_bytes"), F.crc32("decoded").alias("decoded_crc32"))
+    """(doc_id, n_tokens, tokens, text_bytes, text_crc32, decoded_bytes, decoded_crc32) of each
+    document under merge-dropout; text and decoded agree as the pieces lose nothing.
+
+    Null and empty texts have no pieces; repeated rows are encoded alike.
+    """
+    return piece_dropout.encode_and_check(docs.select(F.col("doc_id").cast("long"), "text"))
 
 
 STAGES = [
@@ -57,14 +79,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written in the shared checkpoint
-    folder and read again."""
+    """All stages over ``documents``; each stage's rows are written in a new folder of the
+    shared checkpoint folder and read again, so runs do not meet."""
     ensure_checkpoint_dir(spark)
-    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/corpus-{uuid.uuid4()}"
     docs = table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
-            docs.write.mode("overwrite").parquet(f"{base}/corpus-stage-{n}")
-            docs = spark.read.parquet(f"{base}/corpus-stage-{n}")
+            docs.write.parquet(f"{base}/stage-{n}")
+            docs = spark.read.parquet(f"{base}/stage-{n}")
     return docs
