@@ -137,23 +137,24 @@ def mux(payload: bytes) -> bytes:
 
 def _aligned(stream: bytes) -> tuple[np.ndarray, int]:
     """The packets of a stream, and how many stretches before, between or after them are none.
-    A packet starts with the sync byte and is followed by the end or another one, if need be
-    after one packet whose sync byte is broken."""
+    A packet starts with the sync byte; the first one, and the first after a stretch, is also
+    followed by the end or another one, if need be after one whose sync byte is broken."""
     raw = np.frombuffer(stream, dtype=np.uint8)
     whole = raw[: len(raw) // PACKET * PACKET].reshape(-1, PACKET)
     if len(raw) == whole.size and (whole[:, 0] == SYNC).all():
         return whole, 0
     synced = lambda at: at >= len(raw) or raw[at] == SYNC
-    found, broken, at = [], 0, 0
+    found, broken, at, locked = [], 0, 0, False
     while at + PACKET <= len(raw):
-        if raw[at] == SYNC and (synced(at + PACKET) or synced(at + 2 * PACKET)):
+        if raw[at] == SYNC and (locked or synced(at + PACKET) or synced(at + 2 * PACKET)):
             found.append(at)
-            at += PACKET
+            at, locked = at + PACKET, True
             continue
         broken += 1
-        if at + PACKET < len(raw) and synced(at + PACKET) and synced(at + 2 * PACKET):
+        if locked and at + PACKET < len(raw) and synced(at + PACKET) and synced(at + 2 * PACKET):
             at += PACKET
             continue
+        locked = False
         at = stream.find(SYNC, at + 1)
         while 0 <= at and at + PACKET <= len(raw) and not synced(at + PACKET):
             at = stream.find(SYNC, at + 1)
