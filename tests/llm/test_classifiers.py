@@ -1,7 +1,9 @@
 """Toxicity and quality: held-out accuracy and odd inputs."""
 
+import itertools
 import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -61,6 +63,70 @@ def test_without_labels_scores_are_low(spark):
     assert toxicity.with_score(docs.limit(0), toxicity.train(docs, none)).count() == 0
 
 
+def test_a_score_column_is_replaced(spark):
+    docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (2, None, "y")], "doc_id long, text string, score string")
+    none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    for found in (toxicity.with_score(docs, toxicity.train(docs, none)), quality.with_score(docs, quality.train(docs, none, docs))):
+        rows = found.collect()
+        assert found.columns == ["doc_id", "text", "score"] and len(rows) == 3
+        assert len({r["score"] for r in rows if r["doc_id"] == 1}) == 1
+
+
+def subsequences(unit):
+    """Weights of all triples of a marked unit that span SPAN characters at most."""
+    codes = [toxicity.BEGIN, *toxicity._codes(np.array([ord(c) for c in unit])).tolist(), toxicity.END_MARK]
+    out = Counter()
+    for i, j, k in itertools.combinations(range(len(codes)), 3):
+        if k - i < toxicity.SPAN:
+            out[codes[i], codes[j], codes[k]] += toxicity.DECAY ** (k - i + 1)
+    return out
+
+
+def test_kernel_and_machine_match_the_direct_sums():
+    """The Gram matrix of subsequences by enumeration, and the folded machine by its sum over landmarks."""
+    units, marks = ["idiot", "idxiot", "fool", "foool", "window"], ["idiot", "fool", "wind"]
+    norm = lambda u: toxicity._norms(np.array([len(u) + 2.0]))[0]
+    direct = np.array([[sum(x * b[t] for t, x in a.items()) / norm(u) / norm(m) for m, b in ((m, subsequences(m)) for m in marks)] for u, a in ((u, subsequences(u)) for u in units)])
+    bags = toxicity.features(marks)
+    space = {t: n for n, t in enumerate(sorted(set().union(*bags)))}
+    rows = np.zeros((len(marks), len(space)))
+    for n, bag in enumerate(bags):
+        rows[n, [space[t] for t in bag]] = list(bag.values())
+    assert np.allclose(toxicity.unit_kernel(units, rows, space), direct)
+    weights = np.array([0.7, -0.2, 0.4])
+    assert np.allclose(toxicity.unit_scores(units, toxicity.fold(bags, weights)), direct @ weights)
+
+
+def test_training_lowers_the_non_negative_risk():
+    """The unbiased risk, held at zero from below, computed directly before and after training."""
+    r = np.random.default_rng(2)
+    n = quality.N_FEATURES
+    pos, neg = r.normal(1, 1, (600, n)), r.normal(-1, 1, (900, n))
+    web = np.vstack([pos[:300], neg])
+    model = quality._train(pos[300:], web, 0.25)
+
+    def risk(output):
+        loss = lambda v, y: np.logaddexp(0, -y * v).mean()
+        p, u = output(pos[300:]), output(web)
+        return 0.25 * loss(p, 1) + max(0.0, loss(u, -1) - 0.25 * loss(p, -1))
+
+    zero = risk(lambda x: np.zeros(len(x)))
+    assert risk(model.output) < 0.2 * zero
+    assert (model.scores(neg) < 0.5).mean() > 0.97 and (model.scores(pos) >= 0.5).mean() > 0.9
+
+
+def test_contract_columns_of_the_queries(spark, tmp_path):
+    rows = [(i, f"you idiot number {i}" if i % 3 == 0 else f"a fine day of walks {i}") for i in range(60)] + [(None, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for query, fold, left, least in ((toxicity.op1_string_kernel_toxicity, 4, 2, 0.3), (quality.op8_positive_unlabelled_quality, 3, 1, 0.5)):
+        got = query(spark, str(tmp_path)).collect()
+        assert len(got) == len(rows)
+        for x in got:
+            assert 0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= least)
+            assert x["held_out"] == (x["doc_id"] is not None and zlib.crc32(str(x["doc_id"]).encode()) % fold == left)
+
+
 def test_long_units_are_read_in_windows():
     """An insult anywhere in a long unit, across any window's edge, lifts it over the same unit without."""
     weights = toxicity.fold(toxicity.features(["idiot"]), np.array([1.0]))

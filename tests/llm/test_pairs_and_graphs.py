@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from scriptorium.llm import components, near_dup, sharding, url_filter
 
 DOCS = "doc_id long, text string, score string"
@@ -164,6 +166,23 @@ def test_url_rules_and_aliases(spark):
     assert {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, url_filter.RULES, moved).collect()}[11] == "block"
 
 
+def test_targets_of_links(spark):
+    base = "https://a.org/x/y.html?p=1#f"
+    cases = {
+        "?q=2&amp;r=3": "https://a.org/x/y.html?q=2&r=3", "#top": "https://a.org/x/y.html#top", "../z/./w": "https://a.org/z/w", "../../..": "https://a.org/",
+        "/a/../b?c=../d": "https://a.org/b?c=../d", "z": "https://a.org/x/z", "//h.net/i": "https://h.net/i", "http://j.com/../k": "http://j.com/../k", " ": None,
+    }
+    rows = spark.createDataFrame([(base, t) for t in cases], "base string, target string")
+    got = {r["target"]: r["to"] for r in rows.select("target", url_filter._absolute(F.col("base"), F.col("target")).alias("to")).collect()}
+    assert got == cases
+
+
+def test_repeated_pages_are_judged_alike(spark):
+    row = (1, "https://other.org/a", '<link rel="canonical" href="https://shop.net/fr/1">', "clash")
+    pages = spark.createDataFrame([row, row, (2, "https://shop.net/fr/1", None, "x")], PAGES)
+    assert sorted((r["page_id"], r["verdict"]) for r in url_filter.judge(pages, url_filter.RULES).collect()) == [(1, "block"), (1, "block"), (2, "block")]
+
+
 def test_communication_matrix_is_exact():
     counts = [100, 0, 37, 1, 62]
     m = sharding.communication_matrix(counts, 7, 3)
@@ -199,3 +218,41 @@ def test_shards(spark, tmp_path):
     assert [tuple(r) for r in sorted(got, key=str)] == [tuple(r) for r in sorted(sharding.op9_hypergeometric_shards(spark, str(tmp_path)).collect(), key=str)]
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert sharding.op9_hypergeometric_shards(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_rows_of_one_id_are_dealt_like_others(spark):
+    rows = spark.range(2000).selectExpr("7L AS doc_id", "id AS size", "id % 3 AS text_crc32")
+    got = sharding.assign(rows, 40, [F.col(c) for c in rows.columns]).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append((r["slot"], r["size"]))
+    assert all(sorted(s for s, _ in x) == list(range(50)) for x in by.values()) and len(by) == 40
+    means = [sum(v for _, v in x) / 50 for x in by.values()]
+    assert np.std(means) < 3 * 577 / 50**0.5 / 2 and min(means) < 1000 < max(means)
+    steps = [b - a for x in by.values() for (_, a), (_, b) in zip(sorted(x), sorted(x)[1:], strict=False)]
+    assert 0.4 < np.mean([s > 0 for s in steps]) < 0.6
+
+
+def test_equal_rows_share_a_shard_as_seldom_as_others(spark):
+    rows = spark.range(4000).selectExpr("id div 2 AS doc_id", "0L AS size", "0L AS text_crc32")
+    shards = defaultdict(list)
+    for r in sharding.assign(rows, 40, [F.col(c) for c in rows.columns]).collect():
+        shards[r["doc_id"]].append(r["shard"])
+    together = sum(a == b for a, b in shards.values()) / 2000
+    assert 0.01 < together < 0.045
+
+
+def test_groups_with_much_in_common_but_few_links(spark):
+    """Copies with very different numbers of changes: many pairs agree in tokens and are no
+    links; what leaves the tasks grows with the sets."""
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(500):
+        w = list(base)
+        for n in range(r.randrange(0, 16)):
+            w[r.randrange(len(w))] = f"n{i}_{n}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, k=2).collect()}
+    assert got == dict(enumerate(naive_components(texts, 2, 80)[0]))

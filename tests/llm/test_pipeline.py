@@ -24,9 +24,27 @@ def test_stages_take_effect(spark):
     assert sum(i in kept for i in clean) > 0.6 * len(clean)
 
 
-def test_stage_columns(spark):
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_stages_take_odd_rows(spark):
     assert [name for name, _ in corpus_pipeline.STAGES][2] == "MinHash near-dedup"
-    docs = spark.createDataFrame([(1, "a b c", "en", "s", 3), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES[2:4]:
-        if os.path.isdir(SF):
-            assert stage(spark, docs, SF).columns == docs.columns
+    row = lambda i, t: (i, t, "en", "s", 3, 0.5, True, "k")
+    rows = [row(1, "a b c"), row(None, None), row(2, ""), row(2, ""), row(3, "word " * 30_000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, held boolean, row_key string"
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        left, none = stage(spark, docs, SF), stage(spark, docs.limit(0), SF)
+        assert none.count() == 0
+        if name == corpus_pipeline.STAGES[-1][0]:
+            got = left.collect()
+            assert len(got) == 5 and all(r["text_crc32"] == r["decoded_crc32"] for r in got)
+        else:
+            assert left.columns == docs.columns
+            assert set(map(tuple, left.collect())) <= set(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_a_second_run_leaves_the_first_alone(spark):
+    first = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    before = sorted(r["doc_id"] for r in first.select("doc_id").collect())
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert sorted(r["doc_id"] for r in first.select("doc_id").collect()) == before

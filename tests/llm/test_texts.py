@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -37,10 +38,43 @@ def test_pieces_round_trip_and_vary(spark):
     assert piece_dropout.encode(frame(spark, ODD).limit(0)).count() == 0
 
 
+def test_a_word_is_segmented_anew_where_it_occurs_again():
+    e = piece_dropout.Encoder(piece_dropout.load_vocabulary(), 0.3)
+    decoder = piece_dropout.Decoder(e.v.pieces)
+    texts = ["considerations " * 200 + str(i) for i in range(20)]
+    packed = e.encode_all(texts)
+    assert [decoder.decode(p).decode() for p in packed] == texts
+    assert len({v for t in texts for v in e.places(t, 200)}) == e.variants > 4
+    assert len({e.packed(" considerations", v) for v in range(e.variants)}) > 8
+
+
+def test_models_with_pieces_over_words_are_refused(monkeypatch):
+    class Odd:
+        def __init__(self, model_file):
+            self.pieces = ["<unk>", "a", "a▁b"]
+
+        get_piece_size = lambda self: 3
+        id_to_piece = lambda self, i: self.pieces[i]
+        is_byte = is_control = is_unused = lambda self, i: False
+        is_unknown = lambda self, i: i == 0
+        get_score = lambda self, i: -float(i)
+
+    monkeypatch.setattr(piece_dropout.sentencepiece, "SentencePieceProcessor", Odd)
+    with pytest.raises(ValueError, match="several words"):
+        piece_dropout.load_vocabulary("odd.model")
+
+
+def test_the_query_shows_that_nothing_is_lost(spark, tmp_path):
+    frame(spark, ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = piece_dropout.op2_merge_dropout_pieces(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["text_crc32"] for r in rows} == {i: zlib.crc32((t or "").encode()) for i, t in enumerate(ODD)}
+    assert all((r["text_crc32"], r["text_bytes"]) == (r["decoded_crc32"], r["decoded_bytes"]) for r in rows)
+
+
 def test_three_ways_of_segmenting_agree():
     e = piece_dropout.Encoder(piece_dropout.load_vocabulary(), 0.2)
     words = {f" w{'ordering'[: i % 8]}{i * 7919}tion" for i in range(300)} | {" " + "therefore" * 5, "x" * 48, " été"}
-    e.learn(set(words), 1)
+    e.learn({(w, 1) for w in words})
     for w in words:
         key = e.key(w, 1)
         assert e._short(w, key) == e._long(w, key)
@@ -73,6 +107,38 @@ def test_edits_by_document(spark):
     assert got[2]["encoded_chars"] == 0
 
 
+def test_counts_of_the_query_and_of_empty_tables(spark, tmp_path):
+    docs = frame(spark, [*ODD, ODD[-1]])
+    docs.unionAll(docs.where("doc_id = 5")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = token_counts.op3_edit_aware_token_counts(spark, str(tmp_path)).collect()
+    encoding = token_counts.load_encoding()
+    texts = dict(enumerate([*ODD, ODD[-1]]))
+    assert len(rows) == len(texts) + 1
+    assert all(r["n_tokens"] == len(encoding.encode_ordinary(texts[r["doc_id"]] or "")) for r in rows)
+    again = [tuple(r) for r in rows if r["doc_id"] == 5]
+    assert len(again) == 2 and again[0] == again[1]
+    edits = spark.createDataFrame([], "doc_id long, seq int, at long, removed long, inserted string")
+    none = token_counts.build_trees(frame(spark, ["a"]).limit(0))
+    assert token_counts.apply_edits(token_counts.with_edits(none, edits)).count() == 0
+
+
+def test_contract_columns_of_streams(spark, tmp_path):
+    frame(spark, ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in media.op6_transport_streams(spark, str(tmp_path)).collect():
+        raw = (ODD[r["doc_id"]] or "").encode()
+        payload = media.padded(raw)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_sha256"]) == (zlib.crc32(payload[-32:]), hashlib.sha256(media.mux(payload)).hexdigest())
+
+
+def test_contract_columns_of_decontamination(spark, tmp_path):
+    items, _ = bench_items()
+    frame(spark, [None, "clean", items[2][1]]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = decontamination.op4_bm25_decontamination(spark, str(tmp_path)).collect()
+    assert [(r["doc_id"], r["item_id"], r["question_overlap"], r["answer_overlap"]) for r in rows] == [(2, 2, 1.0, 1.0)] and abs(rows[0]["score"] - 1) < 1e-6
+
+
 @pytest.mark.parametrize("n", [*range(0, 400, 7), 4591, 4592, 4608, 4609, 20000])
 def test_streams_round_trip(n):
     text = bytes(i * i % 251 for i in range(n))
@@ -91,6 +157,32 @@ def test_streams_report_damage():
     assert media.demux(b"")["payload"] == b"" and media.demux(b"junk" * 100)["payload"] == b""
 
 
+def test_streams_with_copies_junk_and_lost_packets():
+    payload = media.padded(bytes(i % 256 for i in range(30000)))
+    stream = media.mux(payload)
+    at = lambda n: 188 * n
+    twice = media.demux(stream[: at(10)] + stream[at(9) :])
+    assert twice["payload"] == payload and (twice["gaps"], twice["twice"], twice["odd_units"]) == (0, 1, [])
+    junk = media.demux(b"\x47 junk" + stream)
+    assert junk["payload"] == payload and junk["broken"] == 1 and junk["gaps"] == 0
+    inside = media.demux(stream[: at(20)] + b"lost bytes" + stream[at(20) :])
+    assert inside["payload"] == payload and inside["gaps"] == 0
+    lost = media.demux(stream[: at(9)] + stream[at(10) :])
+    assert (lost["gaps"], lost["odd_units"]) == (1, [0]) and len(lost["payload"]) == len(payload) - 184
+    jump = bytearray(stream)
+    for n in range(at(40), len(jump), 188):
+        if jump[n + 1 : n + 3] == bytes([media.ES_PID >> 8 | jump[n + 1] & 0x40, media.ES_PID & 255]):
+            jump[n + 3] = jump[n + 3] & 0xF0 | (jump[n + 3] + 5) & 15
+    assert media.demux(bytes(jump))["gaps"] == 1 and media.demux(bytes(jump))["payload"] == payload
+
+
+def test_media_of_empty_tables_and_repeated_rows(spark):
+    docs = frame(spark, ["a", "a", None])
+    rows = media.read(media.store(docs.unionAll(docs))).collect()
+    assert len(rows) == 6 and len({r["media_sha256"] for r in rows}) == 2
+    assert media.read(media.store(docs.limit(0))).count() == 0
+
+
 def test_media_columns(spark):
     got = {r["doc_id"]: r for r in media.read(media.store(frame(spark, [*ODD, "é" * 3000]))).collect()}
     for i, t in enumerate([*ODD, "é" * 3000]):
@@ -122,6 +214,26 @@ def test_reply_trees(spark):
     assert chat.format_paths(nodes.limit(0), chat.enumerate_paths(nodes.limit(0))).count() == 0
 
 
+def test_the_best_branches_are_chosen(spark):
+    rows = [(1, 1, None, 0.0), (1, 2, 1, 3.0), (1, 3, 1, 5.0), (1, 4, 1, 3.0), (1, 5, 2, None), (2, 1, None, None)]
+    nodes = spark.createDataFrame([(t, n, p, "user", f"t{n}", s, "") for t, n, p, s in rows], TREE)
+    paths = chat.enumerate_paths(nodes)
+    chosen = lambda best: {(r["tree_id"], r["leaf_id"], r["branch_rank"], r["path_score"]) for r in chat.format_paths(nodes, paths, best).collect()}
+    assert chosen(None) == {(1, 3, 1, 5.0), (1, 4, 2, 3.0), (1, 5, 3, 3.0), (2, 1, 1, 0.0)}
+    assert chosen(2) == {(1, 3, 1, 5.0), (1, 4, 2, 3.0), (2, 1, 1, 0.0)} and chosen(1) == {(1, 3, 1, 5.0), (2, 1, 1, 0.0)}
+
+
+def test_conversations_without_id_and_equal_turns(spark, tmp_path):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (5, 0, "user", "x"), (5, 0, "user", "x"), (5, 0, "assistant", None), (5, None, None, "y")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in chat.op7_reply_trees(spark, str(tmp_path)).collect()}
+    digest = lambda turns: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert set(got) == {None, 5, -1} and got[5]["n_turns"] == 4
+    assert got[None]["turns_sha256"] == digest([("user", "a"), ("assistant", "b")])
+    assert got[5]["turns_sha256"] == digest([("", "y"), ("assistant", ""), ("user", "x"), ("user", "x")]) and got[5]["loss_chars"] == 0
+    assert got[-1]["loss_sha256"] == hashlib.sha256(chat.CONTROL_TEXT.encode()).hexdigest()
+
+
 def test_rings_of_replies_are_refused(spark):
     ring = spark.createDataFrame([(1, 1, 2, "user", "a", 0.0, ""), (1, 2, 1, "user", "b", 0.0, "")], TREE)
     with pytest.raises(ValueError, match="ring"):
@@ -144,22 +256,40 @@ def test_retrieval_loses_nothing_above_the_threshold():
         part = items[i % 30][1].split()
         w[len(w) // 2 : len(w) // 2] = part[: r.randrange(len(part) + 1)]
         docs.append(" ".join(w).encode())
+    texts = {98: items[0][1], **dict(items)}
+    bags = {i: Counter(decontamination.words_of(t.encode())) for i, t in texts.items()}
+    df, mean = Counter(w for b in bags.values() for w in b), sum(map(Counter.total, bags.values())) / len(bags)
+
+    def impact(bag, w):
+        idf = np.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5))
+        return idf * bag[w] * 2.2 / (bag[w] + 1.2 * (0.25 + 0.75 * bag.total() / mean))
+
     for threshold in (0.1, 0.3, 0.5):
         got = {(d, i) for d, i, *_ in decontamination.find(index, docs, threshold, 0.0)}
         expected = set()
         for d, doc in enumerate(docs):
             words = decontamination.words_of(doc)
             for s in range(0, max(1, len(words) - index.stride), index.stride):
-                score = np.zeros(len(index.items))
-                for w in set(words[s : s + 2 * index.stride]):
-                    t = index.vocabulary.get(w)
-                    if t is not None:
-                        at = slice(index.post_at[t], index.post_at[t + 1])
-                        score[index.post_item[at]] += index.post_impact[at]
-                expected |= {(d, index.items[i]) for i in np.flatnonzero(score >= threshold - 1e-9)}
+                own = set(words[s : s + 2 * index.stride])
+                for i, bag in bags.items():
+                    if sum(impact(bag, w) for w in bag if w in own) >= threshold * sum(impact(bag, w) for w in bag) - 1e-9:
+                        expected.add((d, i))
         assert got == expected
 
 
+def test_scores_do_not_depend_on_the_slices(spark, monkeypatch):
+    items, word = bench_items()
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, [None, "clean words", *(f"{word()} {t} {word()}" for _, t in items[::3])])
+    found = lambda: sorted(tuple(r) for r in decontamination.contaminated(docs, benchmark).collect())
+    flags = lambda: sorted((r["doc_id"], r["held"]) for r in decontamination.with_flag(docs, benchmark, "held").collect())
+    whole, flagged = found(), flags()
+    monkeypatch.setattr(decontamination, "SLICE_WORDS", 250)
+    assert len(whole) == 10 and sum(x for _, x in flagged) == 10
+    assert [r[:2] for r in found()] == [r[:2] for r in whole] and np.allclose([r[2:] for r in found()], [r[2:] for r in whole])
+    assert flags() == flagged
+
+
 def test_copies_with_one_word_changed_are_found_at_each_place():
     r = random.Random(10)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 8)))
