@@ -197,7 +197,7 @@ def train(documents: DataFrame, labels: DataFrame, web: DataFrame) -> Model:
     """Positives: rows of ``labels(doc_id, quality)`` with quality 1; unlabelled text: ``web(doc_id)``."""
     positive = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1 and doc_id is not null")
     marked = hashed_lot(positive, MAX_POSITIVE, 1).select("doc_id", F.lit(1).alias("is_p"))
-    lot = hashed_lot(web.where("doc_id is not null").select("doc_id"), MAX_UNLABELLED, 2).distinct().select("doc_id", F.lit(1).alias("is_u"))
+    lot = hashed_lot(web.where("doc_id is not null").select("doc_id").distinct(), MAX_UNLABELLED, 2).select("doc_id", F.lit(1).alias("is_u"))
     chosen = marked.join(lot, "doc_id", "full")  # MAX_POSITIVE + MAX_UNLABELLED ids at most
     found = documents.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     rows = features(found.groupBy("doc_id").agg(F.min("text").alias("text"))).join(chosen, "doc_id").orderBy("doc_id").collect()
