@@ -65,7 +65,9 @@ BLOCK, BLOCK_SHINGLES, PIVOTS = 400, 500_000, 8
 #: Columns of the dense products that count common shingles.
 WIDTH = 2048
 #: Ids that may be broadcast to pick documents; beyond, they are joined by a shuffle.
-BROADCAST_KEYS = 2_000_000
+BROADCAST_KEYS = 1_000_000
+#: Rows of tokens or of the like in a partition, where there may be fewer partitions than usual.
+PART_ROWS = 5_000
 CACHE_WORDS = 200_000
 
 
@@ -189,12 +191,13 @@ def _first_nodes(sets: DataFrame, roots: range) -> DataFrame:
 
 
 def _next_nodes(rows: DataFrame) -> DataFrame:
-    """(node, id) one level below ``rows(node, id, tokens)``."""
+    """(node, id, tokens) one level below ``rows(node, id, tokens)``."""
 
     def step(batch: pa.RecordBatch) -> dict:
-        return _node_rows(batch, *branch(batch.column("node").to_numpy().view(np.uint64), _matrix(batch.column("tokens"))))
+        rows, nodes = branch(batch.column("node").to_numpy().view(np.uint64), _matrix(batch.column("tokens")))
+        return _node_rows(batch, rows, nodes) | {"tokens": batch.column("tokens").take(pa.array(rows))}
 
-    return map_arrow(rows.select("node", "id", "tokens"), "node long, id long", step, column="tokens")
+    return map_arrow(rows.select("node", "id", "tokens"), "node long, id long, tokens binary", step, column="tokens")
 
 
 def _least_agreement(percent: int) -> float:
@@ -328,21 +331,29 @@ def nodes_of(sets: DataFrame, roots: range, safe: int = LAST_LEVEL) -> tuple[Dat
     live, rows = None, _first_nodes(sets, roots)
     for level in range(FIRST_LEVEL, LAST_LEVEL + 1):
         sizes = cut(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"))
+        n_large = sizes.where(F.col("size") > BIG).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         shared = cut(rows.join(sizes, "node"))
         small.append(shared.where(F.col("size") <= BIG).select("node", "id"))
-        large = shared.where(F.col("size") > BIG).select("node", "id")
-        if large.isEmpty():
+        if not n_large:
             break
-        with_tokens = large.join(sets, "id")
-        held = cut(_dense(with_tokens, level))
-        dense = dense.unionAll(large.join(held, "node", "left_semi"))
-        going = with_tokens.join(held, "node", "left_anti")
+        large = shared.where(F.col("size") > BIG)
+        large = large if level > FIRST_LEVEL else large.join(sets, "id")
+        large = _packed(cut(large.select("node", "id", "tokens")), n_large)
+        held = cut(_packed(_dense(large, level), n_large // BIG))
+        dense = dense.unionAll(large.select("node", "id").join(held, "node", "left_semi"))
+        going = large.join(held, "node", "left_anti")
         if level == safe:
-            live = cut(going.select("id").distinct())
-        rows = cut(_next_nodes(going))
+            live = cut(_packed(going.select("id").distinct(), n_large))
+        rows = cut(_packed(_next_nodes(going), n_large))
     return reduce(DataFrame.unionAll, small), dense, live, level
 
 
+def _packed(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, about ``n`` of them, in as few partitions as PART_ROWS allows. To be used on
+    what is written, or is made of ``n`` rows alone, as it holds for the steps before too."""
+    return rows.coalesce(1 + n // PART_ROWS)
+
+
 def _fresh(ids: DataFrame, keys: DataFrame, documents: DataFrame, k: int, seed: int) -> DataFrame:
     """(id, tokens) of the sets ``ids(id)`` with other minwise tokens."""
 
@@ -350,7 +361,7 @@ def _fresh(ids: DataFrame, keys: DataFrame, documents: DataFrame, k: int, seed:
         sets = [shingle_hashes(t, k) for t in texts(batch)]
         return {"id": batch.column("id"), "tokens": [t.tobytes() for t in minwise_tokens(sets, seed)] if sets else []}
 
-    return map_arrow(_chosen(ids, keys, documents), "id long, tokens binary", step).dropDuplicates(["id"])
+    return map_arrow(_chosen(keys.join(ids, "id", "left_semi").select("row_key", "id"), documents), "id long, tokens binary", step).dropDuplicates(["id"])
 
 
 def agreeing(sets: DataFrame, keys: DataFrame, documents: DataFrame, k: int, percent: int, trees: int) -> DataFrame:
@@ -358,9 +369,10 @@ def agreeing(sets: DataFrame, keys: DataFrame, documents: DataFrame, k: int, per
     rounds of ``trees`` trees as MISS asks for."""
 
     def edges(small: DataFrame, dense: DataFrame, own: DataFrame) -> DataFrame:
-        least = cut(dense.groupBy("node").agg(F.min("id").alias("v")))
+        dense = cut(dense)
+        least = cut(_packed(dense.groupBy("node").agg(F.min("id").alias("v")), dense.count() // BIG))
         held = dense.join(least, "node").where("id > v").select(F.col("id").alias("u"), "v")
-        return cut(_stars(small.join(own, "id").select("node", "id", "tokens"), percent).unionAll(held).distinct())
+        return _stars(small.join(own, "id").select("node", "id", "tokens"), percent).unionAll(held)
 
     safe = safe_level(trees, percent)
     small, dense, live, level = nodes_of(sets, range(trees), safe)
@@ -369,18 +381,27 @@ def agreeing(sets: DataFrame, keys: DataFrame, documents: DataFrame, k: int, per
         live = sets.select("id")
     miss, turn = missed(level, trees, percent), 1
     while live is not None and miss > MISS / 2 and not live.isEmpty():
-        again = cut(_fresh(live, keys, documents, k, turn + 1))
+        again = cut(_packed(_fresh(live, keys, documents, k, turn + 1), live.count()))
         small, dense, _, level = nodes_of(again, range(turn * trees, (turn + 1) * trees))
         found = found.unionAll(edges(small, dense, again))
         miss, turn = miss * missed(level, trees, percent), turn + 1
     return found
 
 
-def _chosen(ids: DataFrame, keys: DataFrame, documents: DataFrame) -> DataFrame:
-    """(id, text) of one document, or equal ones, for each of ``ids(id)``; ``keys(id, row_key)``
-    names it."""
-    wanted = _sized(keys.join(ids, "id", "left_semi").select("id", "row_key"))
-    return documents.select("text", _row_key().alias("row_key")).join(wanted, "row_key").select("id", "text")
+def _chosen(wanted: DataFrame, documents: DataFrame) -> DataFrame:
+    """``wanted(row_key, ...)`` with the text of the documents of that row key."""
+    return documents.select("text", _row_key().alias("row_key")).join(_sized(wanted), "row_key").drop("row_key")
+
+
+def _hashed(members: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """(id, part, hashes): the full sets of ``members(id, part, row_key, n_rows)``, once each.
+    Only a set of several rows may have repeated documents."""
+
+    def full(batch: pa.RecordBatch) -> dict:
+        return {"id": batch.column("id"), "part": batch.column("part"), "hashes": [shingle_hashes(t, k).tobytes() for t in texts(batch)]}
+
+    made = lambda some: map_arrow(_chosen(some.select("row_key", "id", "part"), documents), "id long, part long, hashes binary", full)
+    return made(members.where("n_rows = 1")).unionAll(made(members.where("n_rows > 1")).dropDuplicates(["id"]))
 
 
 def common_shingles(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
@@ -434,25 +455,25 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
             edges = edges[:, edges[0] != edges[1]]
             yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["u", "v"])
 
-    return rows.select("block", "id", "label", "outside", "hashes").repartition("block").sortWithinPartitions("block").mapInArrow(run, "u long, v long")
+    kept = rows.select("block", "id", "label", "outside", "hashes")
+    return kept.repartition("block").sortWithinPartitions("block").mapInArrow(run, "u long, v long")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Rows (block, id, label, outside) that send the sets ``members(part, id, blocks)`` to
-    their group, or to one of its blocks and the group's pivots to all of them."""
+    """Rows (block, id, label, outside) that send the sets ``members(part, id, blocks)`` of split
+    groups to one of their group's blocks, and the group's pivots to all of them."""
     block = lambda i: F.xxhash64("part", i)
-    zero = F.lit(0).cast("bigint")
     own = members.select(block(F.pmod(F.xxhash64("id"), "blocks")).alias("block"), "id")
     least = [F.min_by("id", F.xxhash64(F.lit(seed), "id")) for seed in range(PIVOTS)]
-    pivots = members.where("blocks > 1").groupBy("part", "blocks").agg(F.array_distinct(F.array(*least)).alias("pivots"))
-    every = pivots.select("part", "pivots", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("i")).select(block(F.col("i")).alias("block"), F.explode("pivots").alias("id"))
+    pivots = members.groupBy("part", "blocks").agg(F.array_distinct(F.array(*least)).alias("pivots"))
+    every = pivots.select("part", "pivots", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("i")).select(block(F.col("i")).alias("block"), F.explode("pivots").alias("id"))
     return own.unionAll(every).distinct().withColumns({"label": F.col("id"), "outside": F.lit(True)})
 
 
 def _outside(members: DataFrame, found: DataFrame) -> DataFrame:
     """Rows (block, id, label, outside) of blocks in which whatever is outside the largest
     component of a split group ``members(part, id, blocks)`` meets all of the group."""
-    named = cut(members.where("blocks > 1").join(found, members["id"] == found["node"], "left").select("part", "id", "blocks", F.coalesce("component", "id").alias("label")))
+    named = cut(members.join(found, members["id"] == found["node"], "left").select("part", "id", "blocks", F.coalesce("component", "id").alias("label")))
     largest = named.groupBy("part", "label").count().groupBy("part").agg(F.max_by("label", F.struct("count", "label")).alias("core"), F.sum("count").alias("n"), F.max("count").alias("in_core"))
     known = named.join(cut(largest.where("in_core < n")), "part").withColumn("outside", F.col("label") != F.col("core"))
     chunks = F.ceil(F.col("blocks") * (F.col("n") - F.col("in_core")) / F.col("n"))
@@ -464,24 +485,25 @@ def _outside(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def linked_sets(sets: DataFrame, documents: DataFrame, k: int, percent: int, trees: int = TREES) -> DataFrame:
-    """(node, component) of every set of ``sets(id, tokens, row_key, n_shingles)`` that is
-    linked with another one."""
+    """(node, component) of every set of ``sets(id, tokens, row_key, n_shingles, n_rows)`` that
+    is linked with another one."""
     keys = sets.select("id", "row_key")
-    groups = cut(connected_components(agreeing(sets.select("id", "tokens"), keys, documents, k, percent, trees)))
-    placed = groups.select(F.col("node").alias("id"), F.col("component").alias("part")).join(sets.select("id", "n_shingles"), "id")
+    groups = connected_components(agreeing(sets.select("id", "tokens"), keys, documents, k, percent, trees))
+    groups = cut(groups)
+    n = groups.count()
+    placed = _packed(cut(groups.withColumnsRenamed({"node": "id", "component": "part"}).join(sets.select("id", "n_shingles", "row_key", "n_rows"), "id")), n)
     most = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES))
-    members = cut(placed.join(cut(placed.groupBy("part").agg(most.alias("blocks"))), "part").select("part", "id", "blocks"))
-
-    def full(batch: pa.RecordBatch) -> dict:
-        return {"id": batch.column("id"), "hashes": [shingle_hashes(t, k).tobytes() for t in texts(batch)]}
-
-    whole = cut(map_arrow(_chosen(members.select("id"), keys, documents), "id long, hashes binary", full).dropDuplicates(["id"]))
-    links = cut(_links(_blocks(members).join(whole, "id"), percent))
-    found = connected_components(links)
-    far = cut(_outside(members, found))
-    if far.isEmpty():
+    large = cut(_packed(placed.groupBy("part").agg(most.alias("blocks")).where("blocks > 1"), n))  # few: BLOCK sets or BLOCK_SHINGLES shingles each
+    whole = _hashed(placed.join(large, "part", "left_anti"), documents, k)
+    found = _packed(cut(_links(whole.select(F.col("part").alias("block"), "id", F.col("id").alias("label"), F.lit(True).alias("outside"), "hashes"), percent)), n)
+    found = found.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(found.select("v", "v").distinct())
+    if large.isEmpty():
         return found
-    return connected_components(links.unionAll(cut(_links(far.join(whole, "id"), percent))))
+    split = cut(_packed(placed.join(large, "part"), n))
+    members, sets_of = split.select("part", "id", "blocks"), _packed(cut(_hashed(split, documents, k).drop("part")), split.count())
+    links = cut(_links(_blocks(members).join(sets_of, "id"), percent))
+    more = _links(_outside(members, connected_components(links)).join(sets_of, "id"), percent)
+    return found.unionAll(connected_components(links.unionAll(more)))
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
@@ -491,9 +513,10 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, trees:
     rows = cut(with_sets(documents, k))
     full = rows.where("set_id is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("least")
-    sets = full.groupBy("set_id").agg(F.first("tokens").alias("tokens"), F.first("n_shingles").alias("n_shingles"), first)
+    sets = full.groupBy("set_id").agg(F.first("tokens").alias("tokens"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n_rows"), first)
     sets = cut(sets.withColumn("id", F.monotonically_increasing_id()))  # fixed by the checkpoint
-    found = cut(linked_sets(sets.select("id", "tokens", "n_shingles", "least.row_key"), documents, k, percent, trees))
+    sets = _packed(sets, sets.count())
+    found = cut(linked_sets(sets.select("id", "tokens", "n_shingles", "n_rows", "least.row_key"), documents, k, percent, trees))
     joined = sets.join(found, sets["id"] == found["node"]).select("id", "component", "least")
     least = cut(joined.groupBy("component").agg(F.min("least").alias("of_all")))
     named = cut(found.join(least, "component").select("node", "of_all"))
