@@ -52,6 +52,7 @@ def absolute_url(url: Column, base: str) -> Column:
 
 def series_id(url: Column) -> Column:
     """The identifier in a link to a series page of the two known sites, or null."""
+    # The two patterns.
     by_name = F.regexp_extract(url, r"novelupdates\.com/series/([^/]+)/", 1)
     by_number = F.regexp_extract(url, r"royalroad\.com/fiction/(\d+)", 1)
     return F.nullif(F.concat(by_name, F.when(by_name == "", by_number).otherwise("")), F.lit(""))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from scriptorium.functions.text import strip
 
 UNTITLED = "Untitled Novel"
+# The patterns of this module (extensions, "- Book N", "_chapter_N", "Chapter N",
+# the characters of a slug and its 50) decide results.
 
 
 def basename(path: Column) -> Column:
