@@ -8,7 +8,7 @@ For a passage, terms are taken in order of their highest impact anywhere; those
 pivot, whose highest impacts together stay below the threshold, are never walked. The
 blocks of the terms from the pivot on are left at once if what these terms reach there and
 all that the others could add stay below the threshold. For the blocks that remain the
-others are looked up, and a block is scored exactly only if its block maxima over the
+others are walked or, if that is less, looked up, and a block is scored exactly only if its block maxima over the
 passage's terms reach the threshold. No item that reaches the threshold is lost.
 
 Retrieved items are verified on the whole text: an item's question (up to the last ``?``;
@@ -54,8 +54,8 @@ THRESHOLD, OVERLAP, SHINGLE = 0.5, 0.5, 5
 BLOCK_ITEMS = 4
 MIN_STRIDE = 64
 SLICE_WORDS = 1_000_000
-#: Passages that a task compares at once.
-PASSAGES = 2000
+#: Cells of the table of passages and blocks that a task fills at once.
+CELLS = 200_000
 #: Rows that may be broadcast to flag documents; beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 SPACES = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
@@ -203,15 +203,31 @@ def retrieve(index: Index, passage: np.ndarray, term: np.ndarray, n_passages: in
     essential = running >= threshold - eps  # from the pivot on
     others = np.bincount(passage[~essential], index.term_max[term[~essential]], minlength=n_passages)
     owner, place = _spread(index.block_at, term[essential])
-    cell, back = np.unique(passage[essential][owner] * n_blocks + index.block_key[place] % n_blocks, return_inverse=True)
-    cell = cell[np.bincount(back, index.block_max[place], minlength=len(cell)) + others[cell // n_blocks] >= threshold - eps]
-    owner, place = _spread(starts, cell // n_blocks)  # every term of a block's passage
-    wanted = term[place] * n_blocks + cell[owner] % n_blocks
-    entry = np.minimum(np.searchsorted(index.block_key, wanted), len(index.block_key) - 1)
-    held = index.block_key[entry] == wanted
-    owner, entry = owner[held], entry[held]
-    alive = np.bincount(owner, index.block_max[entry], minlength=len(cell)) >= threshold - eps
-    owner, entry = owner[alive[owner]], entry[alive[owner]]
+    cells = n_passages * n_blocks
+    bound = np.bincount(passage[essential][owner] * n_blocks + index.block_key[place] % n_blocks, index.block_max[place], minlength=cells)
+    cell = np.flatnonzero((bound > 0) & (bound + np.repeat(others, n_blocks) >= threshold - eps))
+
+    def held(cell: np.ndarray, terms: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell number, entry) of the terms of each cell's passage that its block holds."""
+        owner, place = _spread(starts, cell // n_blocks)
+        wanted = terms[place] * n_blocks + cell[owner] % n_blocks
+        entry = np.minimum(np.searchsorted(index.block_key, wanted), len(index.block_key) - 1)
+        hit = index.block_key[entry] == wanted
+        return owner[hit], entry[hit]
+
+    seen = np.zeros(n_passages, dtype=bool)
+    seen[cell // n_blocks] = True
+    rest = ~essential & seen[passage]
+    rest_term, rest_starts = term[rest], np.searchsorted(passage[rest], np.arange(n_passages + 1))
+    walked = (index.block_at[rest_term + 1] - index.block_at[rest_term]).sum()
+    if walked > np.diff(rest_starts)[cell // n_blocks].sum():  # looking up is less than walking
+        owner, entry = held(cell, rest_term, rest_starts)
+        bound += np.bincount(cell[owner], index.block_max[entry], minlength=cells)
+    else:
+        owner, place = _spread(index.block_at, rest_term)
+        bound += np.bincount(passage[rest][owner] * n_blocks + index.block_key[place] % n_blocks, index.block_max[place], minlength=cells)
+    cell = cell[bound[cell] >= threshold - eps]
+    owner, entry = held(cell, term, starts)
     of, post = _spread(index.block_post, entry)
     key, back = np.unique(cell[owner][of] // n_blocks * len(index.items) + index.post_item[post], return_inverse=True)
     score = np.bincount(back, index.post_impact[post], minlength=len(key))
@@ -274,7 +290,7 @@ def find(index: Index, docs: list[bytes], threshold: float = THRESHOLD, overlap:
     at = 0
     while at < len(docs):
         begin, spans = at, []
-        while at < len(docs) and (at == begin or len(spans) < PASSAGES):
+        while at < len(docs) and (at == begin or len(spans) * index.n_blocks < CELLS):
             spans += [(at, s) for s in range(0, max(1, len(words[at]) - index.stride), index.stride)] if words[at] else []
             at += 1
         flat = [w for d in range(begin, at) for w in words[d]]
@@ -283,8 +299,9 @@ def find(index: Index, docs: list[bytes], threshold: float = THRESHOLD, overlap:
         offset = np.cumsum(lengths) - lengths
         if not spans:
             continue
-        for lot in range(0, len(spans), PASSAGES):
-            out += _find_lot(index, spans[lot : lot + PASSAGES], begin, offset, lengths, ids, words, threshold, overlap)
+        lots = max(1, CELLS // index.n_blocks)
+        for lot in range(0, len(spans), lots):
+            out += _find_lot(index, spans[lot : lot + lots], begin, offset, lengths, ids, words, threshold, overlap)
     best: dict[tuple[int, int], tuple] = {}
     for row in out:
         if row[:2] not in best or row[2] > best[row[:2]][2]:
