@@ -39,7 +39,7 @@ def test_pieces_round_trip_and_vary(spark):
 
 
 def test_a_word_is_segmented_anew_where_it_occurs_again():
-    e = piece_dropout.Encoder(piece_dropout.load_vocabulary(), 0.3)
+    e = piece_dropout.Encoder(piece_dropout.load_vocabulary(), 0.3, variants=16)
     decoder = piece_dropout.Decoder(e.v.pieces)
     texts = ["considerations " * 200 + str(i) for i in range(20)]
     packed = e.encode_all(texts)
