@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Rows are handed to and from Python in pieces of about so many bytes of text.
 PIECE_BYTES = 2 << 20
 #: Rows of an Arrow batch at most, as texts may be long.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

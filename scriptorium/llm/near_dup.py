@@ -68,7 +68,7 @@ WIDTH = 2048
 BROADCAST_KEYS = 1_000_000
 #: Rows of tokens or of the like in a partition, where there may be fewer partitions than usual.
 PART_ROWS = 5_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 
 class _Words(dict):

@@ -44,7 +44,7 @@ LANDMARKS = 160
 DECAY, SPAN, WINDOW = 0.7, 6, 24
 ROUNDS = 4
 #: Units whose score a task remembers at most.
-CACHE_UNITS = 150_000
+CACHE_UNITS = 75_000
 
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 SPELLED = re.compile(rb"(?<!\S)[a-z](?: [a-z]){2,}(?!\S)")
