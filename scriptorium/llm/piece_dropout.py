@@ -40,10 +40,10 @@ from pyspark.sql import functions as F
 from scriptorium.llm.arrow import map_arrow, texts
 from scriptorium.session import table
 
-DROPOUT, SEED, VARIANTS = 0.1, 20, 8
+DROPOUT, SEED, VARIANTS = 0.1, 20, 6
 LONG = 48
 #: Words that a task remembers at most, over all variants.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 450_000
 WORDS = re.compile(r"\n| *[^ \n]+| +")
 MARK = "▁"
 NEVER = 1 << 60
