@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import chat, decontamination, media, near_dup, piece_dropout, quality, sharding, token_counts, toxicity, url_filter
+from scriptorium.llm import chat, decontamination, divergence, fill_in_middle, media, near_dup, piece_dropout, quality, sharding, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_string_kernel_toxicity": toxicity.op1_string_kernel_toxicity,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_positive_unlabelled_quality": quality.op8_positive_unlabelled_quality,
     "op9_hypergeometric_shards": sharding.op9_hypergeometric_shards,
     "op10_redirect_equivalence": url_filter.op10_redirect_equivalence,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
     "op5_chosen_path_near_dup": near_dup.ORACLE_SQL,
     "op7_reply_trees": chat.ORACLE_SQL,
     "op10_redirect_equivalence": url_filter.ORACLE_SQL,
+    "op11_source_divergence": divergence.ORACLE_SQL,
+    "op13_fill_in_middle": fill_in_middle.ORACLE_SQL,
 }
