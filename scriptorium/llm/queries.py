@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import chat, decontamination, divergence, fill_in_middle, media, near_dup, piece_dropout, quality, sharding, token_counts, toxicity, url_filter
+from scriptorium.llm import chat, decontamination, divergence, exact_search, fill_in_middle, media, near_dup, piece_dropout, quality, sharding, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_string_kernel_toxicity": toxicity.op1_string_kernel_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_hypergeometric_shards": sharding.op9_hypergeometric_shards,
     "op10_redirect_equivalence": url_filter.op10_redirect_equivalence,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_exact_top_k": exact_search.op12_exact_top_k,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op7_reply_trees": chat.ORACLE_SQL,
     "op10_redirect_equivalence": url_filter.ORACLE_SQL,
     "op11_source_divergence": divergence.ORACLE_SQL,
+    "op12_exact_top_k": exact_search.ORACLE_SQL,
     "op13_fill_in_middle": fill_in_middle.ORACLE_SQL,
 }
