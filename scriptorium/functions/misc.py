@@ -104,15 +104,19 @@ def backoff_seconds(attempt: Column, cap: int) -> Column:
     return F.least(F.pow(F.lit(2.0), attempt), F.lit(float(cap)))
 
 
+# What a provider's error message holds, by kind; the first kind that fits counts.
+ERROR_WORDS = {
+    "json_mode": ["response_format"],
+    "auth": ["401", "invalid_api_key", "unauthorized"],
+    "rate_limit": ["429", "rate limit", "rate_limit", "quota"],
+}
+
+
 def error_kind(message: Column) -> Column:
+    """``json_mode``, ``auth``, ``rate_limit`` or ``other``; a null message is ``other``."""
     low = F.lower(message)
-    has = lambda *words: low.rlike("|".join(words))
-    return (
-        F.when(has("429", "rate limit", "quota", "resource_exhausted"), "rate_limit")
-        .when(has("401", "403", "api key", "unauthorized", "permission"), "auth")
-        .when(has("json mode", "response_format", "json_object"), "json_mode")
-        .otherwise("other")
-    )
+    kinds = [F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), kind) for kind, words in ERROR_WORDS.items()]
+    return F.coalesce(*kinds, F.lit("other"))
 
 
 def lock_fields(content: Column) -> Column:

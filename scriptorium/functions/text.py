@@ -83,10 +83,11 @@ def word_count(x: Column) -> Column:
 
 
 def strip_code_fence(x: Column) -> Column:
-    """A model's answer without a thinking part and without a fence (``json`` or none) around it."""
+    """A model's answer without a thinking part and without a fence around it. The whole line of
+    an opening fence goes, whatever language it names; without a second line, only its marks."""
     x = strip(F.regexp_replace(x, r"(?is)<think>.*?</think>", ""))
-    x = F.regexp_replace(x, r"(?i)^```(?:json)?", "")
-    return strip(F.regexp_replace(x, r"```$", ""))
+    x = F.regexp_replace(x, r"^```(?:[^\n]*\n)?", "")
+    return strip(F.regexp_replace(x, r"```\z", ""))
 
 
 def paragraphs(x: Column) -> Column:

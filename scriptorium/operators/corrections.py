@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.scan import placed
+
 
 def with_context(blocks: DataFrame, key: str = "chapter", order: str = "block_index") -> DataFrame:
-    """Adds ``context_json``: the blocks before and after as JSON."""
-    w = Window.partitionBy(key).orderBy(order)
-    one = F.struct(*[c for c in blocks.columns if c != key])
-    return blocks.withColumn("context_json", F.to_json(F.struct(F.lag(one).over(w).alias("preceding"), F.lead(one).over(w).alias("following"))))
+    """Adds ``context_json``: the blocks before and after as JSON; blocks of equal ``order`` come
+    by their other columns."""
+    own = [c for c in blocks.columns if c != key]
+    ordered = placed(blocks, [key], [F.col(order), *[F.col(c) for c in own if c != order]])
+    near = ordered.with_neighbours(F.struct(*own), "__preceding", "__following")
+    context = F.to_json(F.struct(F.col("__preceding").alias("preceding"), F.col("__following").alias("following")))
+    return near.with_columns({"context_json": context}).result().drop("__preceding", "__following")
 
 
 def apply_corrections(blocks: DataFrame, corrections: DataFrame) -> DataFrame:

@@ -115,11 +115,15 @@ def section(fitting: DataFrame, group: list[str]) -> DataFrame:
 
 
 def differences(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
-    """Of two transforms' blocks by position (up to the shorter one): (keys..., issues, blocks, score)."""
-    a = first.select(*keys, "block_index", F.col("speaker").alias("speaker_a"), F.col("content").alias("content_a"))
-    b = second.select(*keys, "block_index", F.col("speaker").alias("speaker_b"), F.col("content").alias("content_b"))
+    """(keys..., issues, blocks, score) of two transforms: positions that both have differ in
+    speaker (an empty one is none), in content, or in both; the score divides by the blocks
+    of ``second``, the transform that is judged, also where ``first`` is shorter."""
+    side = lambda df, n: df.select(*keys, "block_index", F.nullif("speaker", F.lit("")).alias(f"speaker_{n}"), F.col("content").alias(f"content_{n}"), F.lit(1).alias(f"has_{n}"))
     off = lambda c: (~F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b"))).cast("long")
-    both = a.join(b, [*keys, "block_index"]).groupBy(*keys).agg(F.sum(off("speaker") + off("content")).alias("issues"), F.count("*").alias("blocks"))
+    paired = F.col("has_a").isNotNull() & F.col("has_b").isNotNull()
+    both = side(first, "a").join(side(second, "b"), [*keys, "block_index"], "full").groupBy(*keys).agg(
+        F.sum(F.when(paired, off("speaker") + off("content")).otherwise(0)).alias("issues"), F.count("has_b").alias("blocks")
+    )
     return both.withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("issues") / F.greatest("blocks", F.lit(1))))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.operators.ranking import rank_in_groups
-from scriptorium.session import cut
+from scriptorium.operators.scan import placed
 
 
 def chapter_counts(chapters: DataFrame) -> DataFrame:
@@ -59,13 +59,9 @@ def without_novels(rows: DataFrame, gone: DataFrame, key: str = "novel_id") -> D
 
 def neighbour_ids(chapters: DataFrame) -> DataFrame:
     """Adds ``prev_id`` and ``next_id`` in reading order within the novel (old rows among
-    themselves): by places that ``rank_in_groups`` gives, so no novel is one task."""
-    numbered = cut(rank_in_groups(chapters, ["novel_id"], [F.col("chapter_index"), F.col("id")], "__n"))
-    at = numbered.select("novel_id", "__n", "id")
-    moved = lambda by, name: at.select(F.col("novel_id").alias("__v"), (F.col("__n") + by).alias("__m"), F.col("id").alias(name))
-    same = (F.col("novel_id").eqNullSafe(F.col("__v"))) & (F.col("__n") == F.col("__m"))
-    with_prev = numbered.join(moved(1, "prev_id"), same, "left").drop("__v", "__m")
-    return with_prev.join(moved(-1, "next_id"), same, "left").drop("__v", "__m", "__n")
+    themselves); no novel is one task."""
+    ordered = placed(chapters, ["novel_id"], [F.col("chapter_index"), F.col("id")])
+    return ordered.with_neighbours(F.col("id"), "prev_id", "next_id").result()
 
 
 def adopt(chapters: DataFrame, novel_id: int) -> DataFrame:
@@ -157,8 +153,8 @@ def moved_to(chapters: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def overall_status(states: DataFrame) -> DataFrame:
-    """(novel_id, overall) from ``(novel_id, status)`` rows of phases."""
-    done = F.col("status").isin("complete", "completed")
+    """(novel_id, overall) from ``(novel_id, status)`` rows of phases; no phase has a status: not started."""
+    done = F.coalesce(F.col("status") == "completed", F.lit(False))
     return states.groupBy("novel_id").agg(
         F.when(F.count("status") == 0, "not_started")
         .when(F.bool_and(done), "completed")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import style
 from scriptorium.functions.names import humanise, stem
+from scriptorium.operators.scan import placed
 
 BREAK = "\n\n--- CHAPTER BREAK ---\n\n"
 
@@ -78,10 +79,10 @@ def issue_text(issue_id: Column, chapter: Column, phase: Column, kind: Column, m
 
 
 def page_links(chapters: DataFrame, group: str, order: str, filename: str = "filename") -> DataFrame:
-    """Adds ``prev_link`` and ``next_link``: ``<stem>.html`` of the neighbours."""
-    w = Window.partitionBy(group).orderBy(order)
-    link = F.concat(stem(F.col(filename)), F.lit(".html"))
-    return chapters.withColumn("__link", link).withColumns({"prev_link": F.lag("__link").over(w), "next_link": F.lead("__link").over(w)}).drop("__link")
+    """Adds ``prev_link`` and ``next_link``: ``<stem>.html`` of the neighbours; chapters of equal
+    ``order`` come by file name."""
+    ordered = placed(chapters, [group], [F.col(order), F.col(filename)])
+    return ordered.with_neighbours(F.concat(stem(F.col(filename)), F.lit(".html")), "prev_link", "next_link").result()
 
 
 def titles_from_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:

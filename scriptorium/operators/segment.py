@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import strip
+from scriptorium.operators.ranking import rank_in_groups
+from scriptorium.operators.scan import placed
 
 # What marks a chapter.
 MARKER = r"^[ \t]*(?:chapter|ch\.?|episode|ep\.?)\s+\d+.*$"
@@ -94,28 +96,26 @@ def split_sections(texts: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def boundaries_with_ends(marks: DataFrame, key: str, start: str, length: Column) -> DataFrame:
     """Adds ``end`` to boundaries: the next one's start, or the text's length."""
-    order = Window.partitionBy(key).orderBy(start)
-    return marks.withColumn("end", F.coalesce(F.lead(start).over(order), length))
+    return placed(marks, [key], [F.col(start)]).with_neighbours(F.col(start), None, "__next").with_columns({"end": F.coalesce(F.col("__next"), length)}).result().drop("__next")
 
 
 def renumbered(rows: DataFrame, key: str, order: str, keep: Column) -> DataFrame:
     """Rows that pass ``keep``, with ``index`` from 0 without gaps."""
-    return rows.where(keep).withColumn("index", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
+    kept = rank_in_groups(rows.where(keep), [key], [F.col(order)], "__nth")
+    return kept.withColumn("index", (F.col("__nth") - 1).cast("int")).drop("__nth")
 
 
 def islands(blocks: DataFrame, key: str = "chapter", order: str = "block_index", kind: str = "narrator") -> DataFrame:
     """Adds ``island`` (consecutive blocks of one type share it), ``merge_top`` and
     ``merge_bottom`` (a block of ``kind`` with one of its island before or after it).
-    Blocks are numbered once, those of equal ``order`` by type and then by their other
-    columns, so every comparison sees the same order."""
+    Blocks of equal ``order`` come by type and then by their other columns."""
     rest = [c for c in blocks.columns if c not in (key, order, "type")]
-    numbered = blocks.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order, "type", *rest)))
-    step = Window.partitionBy(key).orderBy("__n")
-    same_before = F.col("type").eqNullSafe(F.lag("type").over(step)) & (F.col("__n") > 1)
-    same_after = F.col("type").eqNullSafe(F.lead("type").over(step)) & F.lead("__n").over(step).isNotNull()
+    ordered = placed(blocks, [key], [F.col(c) for c in (order, "type", *rest)])
+    near = ordered.with_neighbours(F.struct("type"), "__prev", "__next")  # a struct, as a type may be null
+    same = lambda c: F.coalesce(F.col(c).isNotNull() & F.col("type").eqNullSafe(F.col(c)["type"]), F.lit(False))
     of_kind = F.coalesce(F.col("type") == kind, F.lit(False))
-    flagged = numbered.withColumns({"merge_top": of_kind & same_before, "merge_bottom": of_kind & same_after, "__new": (~same_before).cast("int")})
-    return flagged.withColumn("island", F.sum("__new").over(step.rowsBetween(Window.unboundedPreceding, 0))).drop("__new", "__n")
+    flagged = near.with_columns({"merge_top": of_kind & same("__prev"), "merge_bottom": of_kind & same("__next"), "__new": (~same("__prev")).cast("long")})
+    return flagged.with_running_sum(F.col("__new"), "island").result().drop("__prev", "__next", "__new")
 
 
 def block_stats(blocks: DataFrame, words: Column) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.operators.ranking import rank_in_groups
+from scriptorium.operators.scan import placed
 
 # The phases in order, and states that are always done again.
 PHASES = ["raw", "clean", "json", "html"]
@@ -93,12 +94,12 @@ def number_issues(errors: DataFrame) -> DataFrame:
     return numbered.withColumn("issue_id", issue).drop("__day", "__nth")
 
 
-def paced(calls: DataFrame, group: list[str], arrival: str, delay: float) -> DataFrame:
-    """Adds ``start``: calls in order of arrival, each ``delay`` after the one before at least."""
-    order = Window.partitionBy(*group).orderBy(arrival, "id")
-    nth = F.row_number().over(order)
-    early = calls.withColumn("__slack", F.col(arrival) - nth * delay).withColumn("__n", nth)
-    return early.withColumn("start", F.max("__slack").over(order) + F.col("__n") * delay).drop("__slack", "__n")
+def paced(calls: DataFrame, group: list[str], arrival: str, delay: float, duration: str | None = None) -> DataFrame:
+    """Adds ``start``: calls in order of arrival, each ``delay`` after the end of the one before
+    at least; a call ends ``duration`` (a column; none is 0) after its start."""
+    took = F.coalesce(F.col(duration), F.lit(0)) if duration else F.lit(0)
+    ordered = placed(calls, group, [F.col(arrival), F.col("id")])
+    return ordered.with_chain(F.col(arrival), took + F.lit(delay), "start").result()
 
 
 def placeholders(failed: DataFrame, version: str) -> DataFrame:

@@ -43,9 +43,13 @@ def glossary_budget(spark, d):
 
 
 def transform_differences(spark, d):
-    first = _turns(spark, d)
-    other = F.when((F.col("chapter") + F.col("block_index")) % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
-    return glossary.differences(first, first.withColumn("content", other), ["chapter"]).withColumn("score", F.round("score", 6))
+    """Transforms of unequal length, with empty and missing speakers, other speakers and other texts."""
+    turns, place = _turns(spark, d), F.col("chapter") + F.col("block_index")
+    first = turns.where("chapter % 4 <> 0 or block_index < 3").withColumn("speaker", F.when(F.col("block_index") % 3 == 0, "").otherwise(F.col("speaker")))
+    speaker = F.when(F.col("block_index") % 3 == 0, None).when(place % 7 == 0, "other").otherwise(F.col("speaker"))
+    content = F.when(place % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    second = turns.where("chapter % 5 <> 0 or block_index < 2").withColumns({"speaker": speaker, "content": content})
+    return glossary.differences(first, second, ["chapter"]).withColumn("score", F.round("score", 6))
 
 
 def transform_mean_score(spark, d):
@@ -151,8 +155,14 @@ QUERIES = {
 _TURNS = "t AS (SELECT conv_id AS chapter, turn AS block_index, role AS speaker, coalesce(text, '') AS content FROM conversations)"
 _GLOSSARY = f"g AS ({E.GLOSSARY})"
 _CHAPTERS = f"chapters AS ({E.CHAPTERS})"
-_DIFFERENCES = f"""WITH {_TURNS} SELECT chapter, CAST(count(*) FILTER ((chapter + block_index) % 5 = 0) AS BIGINT) AS issues, count(*) AS blocks,
- round(1 - count(*) FILTER ((chapter + block_index) % 5 = 0) / count(*), 6) AS score FROM t GROUP BY chapter"""
+_DIFFERENCES = f"""WITH {_TURNS},
+ a AS (SELECT chapter, block_index, CASE WHEN block_index % 3 = 0 THEN '' ELSE speaker END AS speaker, content FROM t WHERE chapter % 4 <> 0 OR block_index < 3),
+ b AS (SELECT chapter, block_index, CASE WHEN block_index % 3 = 0 THEN NULL WHEN (chapter + block_index) % 7 = 0 THEN 'other' ELSE speaker END AS speaker,
+  content || CASE WHEN (chapter + block_index) % 5 = 0 THEN '!' ELSE '' END AS content FROM t WHERE chapter % 5 <> 0 OR block_index < 2),
+ z AS (SELECT chapter, sum(CAST(nullif(a.speaker, '') IS DISTINCT FROM nullif(b.speaker, '') AS INT) + CAST(a.content <> b.content AS INT)) AS issues FROM a JOIN b USING (chapter, block_index) GROUP BY chapter),
+ n AS (SELECT chapter, count(*) AS blocks FROM b GROUP BY chapter), c AS (SELECT DISTINCT chapter FROM (SELECT chapter FROM a UNION ALL SELECT chapter FROM b))
+ SELECT chapter, CAST(coalesce(issues, 0) AS BIGINT) AS issues, CAST(coalesce(blocks, 0) AS BIGINT) AS blocks,
+ round(greatest(0.0, 1 - coalesce(issues, 0) / CAST(greatest(coalesce(blocks, 0), 1) AS DOUBLE)), 6) AS score FROM c LEFT JOIN z USING (chapter) LEFT JOIN n USING (chapter)"""
 _NL = "chr(10)"
 
 

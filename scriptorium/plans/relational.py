@@ -186,8 +186,10 @@ def issue_numbers(spark, d):
 
 
 def paced_calls(spark, d):
-    calls = _states(spark, d).select("novel_id", F.col("event_id").alias("id"), F.unix_timestamp("ts").alias("arrival"))
-    return state.paced(calls, ["novel_id"], "arrival", 3600).select("id", F.col("start").cast("bigint").alias("start"))
+    """Calls of each user, an hour after the end of the one before; some take days, some have no duration."""
+    took = F.when(F.col("event_id") % 11 != 0, F.floor("value") * 3600)
+    calls = _states(spark, d).select("novel_id", F.col("event_id").alias("id"), F.unix_timestamp("ts").alias("arrival"), took.alias("took"))
+    return state.paced(calls, ["novel_id"], "arrival", 3600, "took").select("id", F.col("start").cast("bigint").alias("start"))
 
 
 def reading_progress(spark, d):
@@ -276,7 +278,7 @@ ORACLE_SQL = {
 SELECT id, novel_id, phase, CASE WHEN id <= 10 THEN 'new ' || status ELSE status END AS status FROM s
 UNION ALL SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY r_regionkey), CAST(r_regionkey + 100 AS BIGINT), 'phase9', r_name FROM region""",
     "overall_status": f"""WITH s AS (SELECT user_id || '-' || event_type || '-' || (hour(ts) % 4) AS novel_id, {_WORD} AS status FROM events)
-SELECT novel_id, CASE WHEN bool_and(status IN ('complete', 'completed')) THEN 'completed' WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'running') THEN 'running' ELSE 'in_progress' END AS overall FROM s GROUP BY novel_id""",
+SELECT novel_id, CASE WHEN bool_and(status = 'completed') THEN 'completed' WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'running') THEN 'running' ELSE 'in_progress' END AS overall FROM s GROUP BY novel_id""",
     "phase_eligible": f"SELECT user_id AS novel_id, count(*) AS todo FROM events WHERE {_JOB} NOT IN ('json', 'html') GROUP BY 1",
     "job_progress": f"SELECT user_id AS novel_id, count(*) AS total, count(*) FILTER ({_JOB} IN ('html', 'failed', 'render_failed')) AS completed, count(*) FILTER ({_JOB} IN ('html', 'failed', 'render_failed')) * 100.0 / count(*) AS percentage FROM events GROUP BY 1",
     "incremental_plan": "SELECT CAST(doc_id AS VARCHAR) AS filename, CASE WHEN doc_id % 50 = 0 THEN 'failed' WHEN doc_id % 4 <> 0 AND doc_id % 3 <> 0 THEN 'skipped' ELSE 'processed' END AS outcome FROM documents",
@@ -285,8 +287,11 @@ SELECT count(*) FILTER (o = 'processed') AS processed, count(*) FILTER (o = 'ski
     "latest_state": "SELECT user_id AS novel_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "issue_numbers": """WITH f AS (SELECT user_id AS chapter, event_type AS kind, event_id AS id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1)
 SELECT chapter, kind, id, printf('ISSUE-%s-%03d', strftime(ts, '%Y-%m-%d'), row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, id)) AS issue_id FROM f""",
-    "paced_calls": """WITH c AS (SELECT user_id, event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events)
-SELECT id, CAST(max(t - n * 3600) OVER (PARTITION BY user_id ORDER BY t, id) + n * 3600 AS BIGINT) AS start FROM c""",
+    "paced_calls": """WITH RECURSIVE c AS (SELECT user_id, event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS t, CASE WHEN event_id % 11 <> 0 THEN CAST(floor(value) AS BIGINT) * 3600 ELSE 0 END AS took,
+row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
+r AS (SELECT user_id, id, n, t AS start, t + took AS "end" FROM c WHERE n = 1
+UNION ALL SELECT c.user_id, c.id, c.n, greatest(c.t, r."end" + 3600), greatest(c.t, r."end" + 3600) + c.took FROM r JOIN c ON c.user_id = r.user_id AND c.n = r.n + 1)
+SELECT id, CAST(start AS BIGINT) AS start FROM r""",
     "reading_progress": """SELECT user_id AS novel_id, count(DISTINCT CAST(floor(value) AS BIGINT)) AS chapters_read, arg_max(CAST(floor(value) AS BIGINT), {'t': ts, 'c': CAST(floor(value) AS BIGINT)}) AS current_chapter,
 CAST(floor(100.0 * count(DISTINCT CAST(floor(value) AS BIGINT)) / 120 + 0.5) AS BIGINT) AS percent FROM events GROUP BY 1""",
     "speaker_styles": f"SELECT speaker, {_COLOR} AS color, CASE side WHEN 0 THEN 'right' ELSE 'left' END AS lane, 'char-' || substr(regexp_replace(md5(speaker), '^0+', ''), 1, 16) AS css_class FROM ({_COLORS})",

@@ -50,7 +50,15 @@ def content_tags(spark, d):
 
 
 def code_fences(spark, d):
-    answer = F.concat(F.lit("<think>plan\n"), F.col("text"), F.lit("</think>\n```json\n{\"text\": "), F.col("text"), F.lit("}\n```\n"))
+    """Answers in a fence with json, another language or none, on one line, and with an end alone."""
+    t, nth = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id") % 5
+    answer = (
+        F.when(nth == 0, F.concat(F.lit("<think>plan\n"), t, F.lit("</think>\n```json\n{\"text\": "), t, F.lit("}\n```\n")))
+        .when(nth == 1, F.concat(F.lit("```python x\n"), t, F.lit("\n```")))
+        .when(nth == 2, F.concat(F.lit("```"), t, F.lit("```  ")))
+        .when(nth == 3, F.concat(F.lit("\t"), t, F.lit("\n```\n")))
+        .otherwise(F.concat(F.lit("``` \n"), t, F.lit(" ``` end")))
+    )
     return _documents(spark, d).select("doc_id", text.strip_code_fence(answer).alias("answer"))
 
 
@@ -95,9 +103,16 @@ def durations(spark, d):
     return table(spark, d, "events").select("event_id", misc.duration(F.floor(seconds) + 0.5).alias("took"))
 
 
+_ERRORS = [
+    "Error code: 401", "INVALID_API_KEY", "unauthorized: bad key", "HTTP 429", "Rate Limit hit", "rate_limit_exceeded", "quota used up",
+    "Invalid response_format, code 401", "401 after 429", "permission denied (403)", "",
+]
+
+
 def error_kinds(spark, d):
-    words = F.array(*map(F.lit, ["HTTP 429 Too Many", "API key invalid", "no response_format", "boom", "Quota reached"]))
-    return table(spark, d, "events").select("event_id", misc.error_kind(F.element_at(words, (F.col("event_id") % 5 + 1).cast("int"))).alias("kind"))
+    """Whole texts as error messages, most with a provider's words after them."""
+    said = F.element_at(F.array(*map(F.lit, _ERRORS)), (F.col("doc_id") % len(_ERRORS) + 1).cast("int"))
+    return _documents(spark, d).select("doc_id", misc.error_kind(F.concat(F.coalesce("text", F.lit("")), said)).alias("kind"))
 
 
 def backoff(spark, d):
@@ -221,7 +236,12 @@ SELECT doc_id, regexp_replace(list_aggregate(list_transform(ls, lambda x: {_STRI
 sha256(text) AS source_hash, len(list_filter(string_split(text, chr(10)), lambda p: {_STRIP('p')} <> '')) AS paragraphs FROM documents""",
     "content_tags": """WITH t AS (SELECT doc_id, lower(text || CASE doc_id % 5 WHEN 0 THEN 'Status Window open' WHEN 1 THEN '[System] hi' WHEN 2 THEN 'STATUS: ok' ELSE '' END) AS t FROM documents)
 SELECT doc_id, concat_ws(',', CASE WHEN contains(t, 'status window') OR contains(t, 'level up') OR contains(t, '[system]') THEN 'litrpg' END, CASE WHEN contains(t, 'status window') OR contains(t, 'status:') THEN 'stat_sheet' END) AS tags FROM t""",
-    "code_fences": "SELECT doc_id, '{\"text\": ' || text || '}' AS answer FROM documents",
+    "code_fences": rf"""WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '<think>plan' || chr(10) || t || '</think>' || chr(10) || '```json' || chr(10) || '{{"text": ' || t || '}}' || chr(10) || '```' || chr(10)
+WHEN 1 THEN '```python x' || chr(10) || t || chr(10) || '```' WHEN 2 THEN '```' || t || '```  ' WHEN 3 THEN chr(9) || t || chr(10) || '```' || chr(10) ELSE '``` ' || chr(10) || t || ' ``` end' END AS x FROM a),
+c AS (SELECT doc_id, {_STRIP("regexp_replace(x, '<think>.*?</think>', '', 'gis')")} AS x FROM b),
+d AS (SELECT doc_id, CASE WHEN NOT starts_with(x, '```') THEN x WHEN contains(x, chr(10)) THEN substr(x, position(chr(10) IN x) + 1) ELSE substr(x, 4) END AS x FROM c)
+SELECT doc_id, {_STRIP("CASE WHEN ends_with(x, '```') THEN left(x, length(x) - 3) ELSE x END")} AS answer FROM d""",
     "chapter_filenames": r"""WITH s AS (SELECT doc_id, regexp_replace(left(replace(regexp_replace(lower('Chapter ' || doc_id || ': The ' || text), '[^a-z0-9 _-]', '', 'g'), ' ', '_'), 50), '^[_-]+|[_-]+$', '', 'g') AS slug FROM documents)
 SELECT doc_id, printf('%03d', doc_id) || '_' || coalesce(nullif(slug, ''), 'chapter_' || (doc_id + 1)) || '.txt' AS filename FROM s""",
     "filename_titles": rf"""WITH n AS (SELECT doc_id, (CASE WHEN doc_id % 2 = 0 THEN 'LOTM_-_' ELSE 'my-' END) || regexp_replace(text, '[^A-Za-z ]', '_', 'g') AS bare FROM documents),
@@ -233,7 +253,9 @@ SELECT doc_id, list_aggregate(list_transform(ws, lambda w: {_TITLE_WORD}), 'stri
     "highlighted": "SELECT doc_id, regexp_replace(text, '\\b(the and|hath|the)\\b', '<span class=\"keyword\">\\1</span>', 'gi') AS text FROM documents",
     "durations": """WITH s AS (SELECT event_id, floor(value * value) + 0.5 AS x FROM events) SELECT event_id, CASE WHEN x < 60 THEN printf('%.1fs', x) WHEN x < 3600 THEN printf('%dm %ds', CAST(floor(x / 60) AS BIGINT), CAST(floor(x) AS BIGINT) % 60)
 ELSE printf('%dh %dm', CAST(floor(x / 3600) AS BIGINT), CAST(floor(x) AS BIGINT) % 3600 // 60) END AS took FROM s""",
-    "error_kinds": "SELECT event_id, ['rate_limit', 'auth', 'json_mode', 'other', 'rate_limit'][CAST(event_id % 5 + 1 AS INT)] AS kind FROM events",
+    "error_kinds": f"""WITH m AS (SELECT doc_id, lower(coalesce(text, '') || {_ERRORS}[CAST(doc_id % {len(_ERRORS)} + 1 AS INT)]) AS m FROM documents)
+SELECT doc_id, CASE WHEN contains(m, 'response_format') THEN 'json_mode' WHEN contains(m, '401') OR contains(m, 'invalid_api_key') OR contains(m, 'unauthorized') THEN 'auth'
+WHEN contains(m, '429') OR contains(m, 'rate limit') OR contains(m, 'rate_limit') OR contains(m, 'quota') THEN 'rate_limit' ELSE 'other' END AS kind FROM m""",
     "backoff": "SELECT event_id, least(pow(2.0, event_id % 8), 10.0) AS wait, CAST(greatest(2, least(5, event_id % 8)) AS DOUBLE) AS clamped FROM events",
     "tags_cleaned": "SELECT p_partkey, p_brand || '|' || trim(p_type) || '|X' AS tags FROM part",
     "tags_parsed": "SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_tags FROM part",

@@ -13,7 +13,7 @@ BLOCK = "struct<type:string,content:string,text:string,speaker:string,tone:strin
 SCRIPT = f"chapter_title string, source_hash string, blocks array<{BLOCK}>, _corrupt_record string"
 MANIFEST = "source_filename string, chapters array<struct<index:int,title:string,filename:string,token_estimate:int,metadata:map<string,array<string>>>>"
 ENTRY = "struct<name:string,raw:string,aliases:array<string>,desc:string>"
-CATEGORIES = ["characters", "locations", "items", "terms"]
+CATEGORIES = ["characters", "factions", "locations", "terms"]
 #: Entries stay texts at first, so that one of another form does not spoil the rest.
 GLOSSARY = ", ".join(f"{c} array<string>" for c in CATEGORIES)
 
