@@ -85,9 +85,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
-    """(lang, source, term, count, docs); each group has a row with a null term besides."""
+    """(lang, source, term, count, docs); each group has a row with a null term besides.
+
+    Tasks have added up their counts in Python, so rows are dealt by their keys as they are;
+    a second sum before the shuffle would only cost time.
+    """
     plain = documents.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return plain.mapInArrow(_count, COUNTS).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    dealt = plain.mapInArrow(_count, COUNTS).repartition("lang", "source", "term")
+    return dealt.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
 def price(count: Column, total: Column, kept: Column) -> Column:
@@ -101,10 +106,14 @@ def price(count: Column, total: Column, kept: Column) -> Column:
 
 
 def _priced(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings of kept terms and groups, both with their prices."""
-    known = counts.where("term is not null")
-    kept = known.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("lang_count")).where(F.col("docs") >= MIN_DOCS).drop("docs")
-    postings = cut(known.drop("docs").join(kept, ["lang", "term"]))
+    """Postings of kept terms and groups, both with their prices.
+
+    Most terms are rare: only those kept are written, with one row for each group besides.
+    """
+    kept = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("lang_count"))
+    kept = kept.where(F.col("docs") >= MIN_DOCS).drop("docs")
+    counts = cut(counts.drop("docs").join(kept, ["lang", "term"], "left").where("lang_count is not null or term is null"))
+    postings = counts.where("term is not null")
     totals = postings.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     of_lang = postings.groupBy("lang", "term").agg(F.max("lang_count").alias("c")).groupBy("lang").agg(F.count("*").alias("kept"), F.sum("c").alias("lang_total"))
     groups = counts.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(of_lang, "lang", "left").na.fill(0)
@@ -161,7 +170,7 @@ def pair_distances(postings: DataFrame, groups: DataFrame) -> DataFrame:
 
 def audit(documents: DataFrame) -> DataFrame:
     """(lang, source, part, item, value, rank) of ``documents(text, lang, source)``."""
-    postings, groups = _priced(cut(term_counts(documents)))
+    postings, groups = _priced(term_counts(documents))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order))
     pairs = ranked(pair_distances(postings, groups)).withColumn("part", F.lit("pair"))
