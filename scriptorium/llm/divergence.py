@@ -85,14 +85,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
-    """(lang, source, term, count, docs); each group has a row with a null term besides.
-
-    Tasks have added up their counts in Python, so rows are dealt by their keys as they are;
-    a second sum before the shuffle would only cost time.
-    """
+    """(lang, source, term, count, docs); each group has a row with a null term besides."""
     plain = documents.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    dealt = plain.mapInArrow(_count, COUNTS).repartition("lang", "source", "term")
-    return dealt.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    return plain.mapInArrow(_count, COUNTS).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
 def price(count: Column, total: Column, kept: Column) -> Column:
@@ -110,9 +105,9 @@ def _priced(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Most terms are rare: only those kept are written, with one row for each group besides.
     """
-    kept = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("lang_count"))
-    kept = kept.where(F.col("docs") >= MIN_DOCS).drop("docs")
-    counts = cut(counts.drop("docs").join(kept, ["lang", "term"], "left").where("lang_count is not null or term is null"))
+    sources = Window.partitionBy("lang", "term")  # a row for each source at most
+    summed = counts.withColumns({"lang_docs": F.sum("docs").over(sources), "lang_count": F.sum("count").over(sources)})
+    counts = cut(summed.where((F.col("lang_docs") >= MIN_DOCS) | F.col("term").isNull()).drop("docs", "lang_docs"))
     postings = counts.where("term is not null")
     totals = postings.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     of_lang = postings.groupBy("lang", "term").agg(F.max("lang_count").alias("c")).groupBy("lang").agg(F.count("*").alias("kept"), F.sum("c").alias("lang_total"))
