@@ -1,17 +1,17 @@
 """SentencePiece BPE with seeded merge-dropout, and its lossless decoding.
 
 Encoding keeps an agenda of candidate merges (best score first, then leftmost). Each
-candidate is skipped with probability ``dropout``, decided by a hash keyed with seed,
-variant, word and span, so the same input and seed give the same pieces on any machine,
-and other seeds or variants give other segmentations. As a skipped candidate does not come
-back, dropping it as it enters the agenda is the same as skipping it when it is due.
+candidate is skipped with probability ``dropout``, decided by a hash keyed with seed, text,
+the word's place in the text and the span, so the same input and seed give the same pieces
+on any machine, and every occurrence of a word is segmented by draws of its own. As a
+skipped candidate does not come back, dropping it as it enters the agenda is the same as
+skipping it when it is due.
 
 No piece of the model holds a space after another character or a newline beside others
 (``load_vocabulary`` refuses models of which this is not so), so words with the spaces
-before them are segmented apart, and remembered. Which of ``VARIANTS`` variants a word takes
-is a keyed hash of the text and of the word's place in it, so a word that occurs again, in
-the same text or in others, is segmented anew; a word has VARIANTS segmentations at most in
-a whole corpus.
+before them are segmented apart. The pieces of a word depend on nothing but which of its
+possible merges the draws skip. Occurrences of a word in the texts at hand for which the
+same merges are skipped are therefore segmented once, by the draws of the first of them.
 
 Characters without a piece become byte pieces. Spaces are the model's word mark; a word
 mark that stands in the text itself is written as bytes, so decoding restores every text.
@@ -40,10 +40,14 @@ from pyspark.sql import functions as F
 from scriptorium.llm.arrow import map_arrow, texts
 from scriptorium.session import table
 
-DROPOUT, SEED, VARIANTS = 0.1, 20, 6
+DROPOUT, SEED = 0.1, 20
 LONG = 48
-#: Words that a task remembers at most, over all variants.
-CACHE_WORDS = 450_000
+#: Words that are segmented together, and words whose possible merges a task remembers, at most.
+BATCH_WORDS, CACHE_WORDS = 400_000, 100_000
+#: Possible merges of a word whose draws fit a mask; words with more are segmented one by one.
+MASK_BITS = 62
+#: What a span adds to a draw's key.
+_START, _MID, _END = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 WORDS = re.compile(r"\n| *[^ \n]+| +")
 MARK = "▁"
 NEVER = 1 << 60
@@ -87,10 +91,10 @@ def load_vocabulary(model_path: str | None = None) -> Vocabulary:
 class Encoder:
     """Pieces of texts under one seed and rate of dropout."""
 
-    def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
-        self.v, self.seed, self.variants = vocabulary, seed, variants
+    def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED):
+        self.v, self.seed = vocabulary, seed
         self.limit = int(dropout * (1 << 32))
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.known: dict[str, np.ndarray] = {}
         self.kind = np.dtype("<u2" if len(vocabulary.pieces) <= 1 << 16 else "<u4")
         self._tables()
 
@@ -109,20 +113,17 @@ class Encoder:
                     pairs.append(v.ids[piece[:cut]] * len(v.pieces) + v.ids[piece[cut:]])
                     ranks.append(v.rank[piece])
         self.chars = {p for p in v.ids if len(p) == 1}
+        self.longest = max(map(len, v.ids))
         order = np.argsort(pairs)
         self.pairs, self.ranks = np.array(pairs, dtype=np.int64)[order], np.array(ranks, dtype=np.int64)[order]
 
-    def key(self, word: str, variant: int) -> int:
-        return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + variant)
-
     def skipped(self, key: int, start: int, mid: int, end: int) -> bool:
-        x = (key + start * 0x9E3779B97F4A7C15 + mid * 0xC2B2AE3D27D4EB4F + end * 0x165667B19E3779F9) & MASK
+        x = (key + start * _START + mid * _MID + end * _END) & MASK
         x = ((x ^ x >> 29) * 0xBF58476D1CE4E5B9) & MASK
         return (x ^ x >> 32) & 0xFFFFFFFF < self.limit
 
-    def segment(self, word: str, variant: int) -> list[str]:
-        """The pieces of one word."""
-        key = self.key(word, variant)
+    def segment(self, word: str, key: int) -> list[str]:
+        """The pieces of one word by the draws of ``key``."""
         return self._short(word, key) if len(word) <= LONG else self._long(word, key)
 
     def _short(self, word: str, key: int) -> list[str]:
@@ -174,9 +175,9 @@ class Encoder:
             at = end[at]
         return parts
 
-    def packed(self, word: str, variant: int) -> bytes:
+    def packed(self, word: str, key: int) -> bytes:
         ids: list[int] = []
-        for p in self.segment(word, variant):
+        for p in self.segment(word, key):
             i = self.v.ids.get(p)
             if i is None:
                 ids.extend(self.v.byte_ids[b] for b in p.encode("utf-8", "surrogatepass"))
@@ -184,6 +185,11 @@ class Encoder:
                 ids.append(i)
         return np.array(ids, dtype=self.kind).tobytes()
 
+    def _skips(self, x: np.ndarray) -> np.ndarray:
+        """``skipped`` for many sums of key and span."""
+        x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((x ^ x >> np.uint64(32)) & np.uint64(0xFFFFFFFF)) < np.uint64(self.limit)
+
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Ranks of pairs of pieces, NEVER for those that do not merge or are skipped."""
         pair = np.where((left < 0) | (right < 0), -1, left * len(self.v.pieces) + right)
@@ -191,21 +197,18 @@ class Encoder:
         rank = np.where(self.pairs[at] == pair, self.ranks[at], NEVER)
         if self.limit:
             start, mid, end = (np.broadcast_to(a, pair.shape).astype(np.uint64) for a in (start, mid, end))
-            x = key + start * np.uint64(0x9E3779B97F4A7C15) + mid * np.uint64(0xC2B2AE3D27D4EB4F) + end * np.uint64(0x165667B19E3779F9)
-            x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-            rank[((x ^ x >> np.uint64(32)) & np.uint64(0xFFFFFFFF)) < np.uint64(self.limit)] = NEVER
+            rank[self._skips(key + start * np.uint64(_START) + mid * np.uint64(_MID) + end * np.uint64(_END))] = NEVER
         return rank
 
-    def _many(self, words: list[str], variants: list[int]) -> list[bytes]:
+    def _many(self, words: list[str], key: np.ndarray) -> list[bytes]:
         """``packed`` for words of similar length without unknown characters or runs of spaces,
-        each in its variant."""
+        each by the draws of its key."""
         n, sizes = len(words), np.fromiter(map(len, words), np.int64, len(words))
         width = int(sizes.max())
         column = np.arange(width)
         points = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
         parts = np.full((n, width), -1, dtype=np.int64)
         parts[column[None, :] < sizes[:, None]] = self.of_char[points]
-        key = np.fromiter(map(self.key, words, variants), np.uint64, n)
         starts = np.tile(np.arange(width + 1), (n, 1))
         due = self._pair_ranks(parts[:, :-1], parts[:, 1:], key[:, None], column[None, :-1], column[None, 1:], column[None, 1:] + 1)
         row, out = np.arange(n), [b""] * n
@@ -240,48 +243,92 @@ class Encoder:
         finish(np.ones(len(row), dtype=bool))
         return out
 
-    def learn(self, new: set[tuple[str, int]]) -> None:
-        """Remembers the segments of (word, variant) pairs of words of up to LONG characters."""
-        plain, odd = [], []
-        for pair in new:
-            (odd if pair[0].startswith("  ") or not self.chars.issuperset(pair[0]) else plain).append(pair)
-        plain.sort(key=lambda pair: len(pair[0]))
-        for at in range(0, len(plain), 4096):
-            words, variants = map(list, zip(*plain[at : at + 4096], strict=True))
-            for w, v, made in zip(words, variants, self._many(words, variants), strict=True):
-                self.known[v][w] = made
-        for w, v in odd:
-            self.known[v][w] = self.packed(w, v)
-
-    def places(self, text: str, n: int) -> list[int]:
-        """The variants of the ``n`` words of a text."""
+    def spans(self, word: str) -> np.ndarray:
+        """What the word's possible merges, whatever is skipped, add to a draw's key."""
+        ids, rank, n, out = self.v.ids, self.v.rank, len(word), []
+        for i in range(n - 1):
+            for k in range(i + 2, min(n, i + self.longest) + 1):
+                if word[i:k] in rank:
+                    out += [(i * _START + m * _MID + k * _END) & MASK for m in range(i + 1, k) if word[i:m] in ids and word[m:k] in ids]
+        return np.array(out, dtype=np.uint64)
+
+    def _like(self, distinct: list[str], word: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """For each occurrence (number of its word, key): the first occurrence of the same word
+        for which the same merges are skipped."""
+        own = np.arange(len(word))
+        counts = np.bincount(word, minlength=len(distinct))
+        often = [int(w) for w in np.flatnonzero(counts > 1) if len(distinct[w]) <= LONG]
+        if len(self.known) + len(often) > CACHE_WORDS:
+            self.known.clear()
+        spans, sizes = [], np.full(len(distinct), -1)
+        for w in often:
+            found = self.known.get(distinct[w])
+            if found is None:
+                found = self.known[distinct[w]] = self.spans(distinct[w])
+            if len(found) <= MASK_BITS:
+                spans.append(found)
+                sizes[w] = len(found)
+        known = sizes >= 0
+        if not known.any():
+            return own
+        flat = np.concatenate(spans)
+        begin = np.zeros(len(distinct), dtype=np.int64)
+        begin[known] = np.cumsum(sizes[known]) - sizes[known]
+        mask = np.zeros(len(word), dtype=np.uint64)
+        drawn = np.flatnonzero(sizes[word] > 0)
+        for at in range(0, len(drawn), 1 << 16):
+            some = drawn[at : at + (1 << 16)]
+            n = sizes[word[some]]
+            first = np.cumsum(n) - n
+            nth = np.arange(int(n.sum())) - np.repeat(first, n)
+            hit = self._skips(np.repeat(key[some], n) + flat[np.repeat(begin[word[some]], n) + nth])
+            mask[some] = np.bitwise_or.reduceat(hit.astype(np.uint64) << nth.astype(np.uint64), first)
+        some = np.flatnonzero(known[word])
+        mixed = (word[some].astype(np.uint64) * np.uint64(_START)) ^ (mask[some] * np.uint64(_MID))
+        _, first, back = np.unique(mixed, return_index=True, return_inverse=True)
+        like = some[first][back]
+        same = (word[like] == word[some]) & (mask[like] == mask[some])  # two pairs may mix to one number
+        own[some[same]] = like[same]
+        return own
+
+    def _segmented(self, words: list[str], key: np.ndarray) -> list[bytes]:
+        """``packed`` for each word by its key."""
+        distinct = list(dict.fromkeys(words))
+        word = np.fromiter(map(dict(zip(distinct, range(len(distinct)), strict=True)).__getitem__, words), np.int64, len(words))
+        like = self._like(distinct, word, key)
+        plain = np.array([len(w) <= LONG and not w.startswith("  ") and self.chars.issuperset(w) for w in distinct])
+        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        out: list = [None] * len(words)
+        first = np.flatnonzero(like == np.arange(len(words)))
+        easy = first[plain[word[first]]]
+        easy = easy[np.argsort(sizes[word[easy]], kind="stable")]
+        for at in range(0, len(easy), 4096):
+            some = easy[at : at + 4096].tolist()
+            for i, made in zip(some, self._many([words[i] for i in some], key[some]), strict=True):
+                out[i] = made
+        for i in first[~plain[word[first]]].tolist():
+            out[i] = self.packed(words[i], int(key[i]))
+        return [out[i] for i in like.tolist()]
+
+    def keys(self, text: str, n: int) -> np.ndarray:
+        """The keys of the ``n`` words of a text."""
         first = np.uint64(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed))
-        x = (first + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-        return ((x ^ x >> np.uint64(32)) % np.uint64(self.variants)).astype(np.int64).tolist()
+        x = (first + np.arange(n, dtype=np.uint64) * np.uint64(_START)) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ x >> np.uint64(32)
 
     def encode_all(self, docs: list[str]) -> list[bytes]:
         """Ids of each text's pieces, packed little-endian in self.kind."""
         out, at = [], 0
-        while at < len(docs):  # as many texts as the memory for words allows
-            if sum(map(len, self.known)) > CACHE_WORDS:
-                for known in self.known:
-                    known.clear()
-            get, new = [known.get for known in self.known], set()
-            split, size = [], 0
-            while at < len(docs) and size < CACHE_WORDS:
-                words = WORDS.findall(" " + docs[at]) if docs[at] else []
-                at_variant = self.places(docs[at], len(words))
-                parts = [get[v](w) for v, w in zip(at_variant, words, strict=True)]
-                missing = [i for i, p in enumerate(parts) if p is None]
-                new.update((words[i], at_variant[i]) for i in missing if len(words[i]) <= LONG)
-                split.append((parts, [(i, at_variant[i], words[i]) for i in missing]))
-                size += len(missing)
+        while at < len(docs):  # as many texts as are segmented together
+            words, keys, ends = [], [], []
+            while at < len(docs) and (not ends or len(words) < BATCH_WORDS):
+                own = WORDS.findall(" " + docs[at]) if docs[at] else []
+                words += own
+                keys.append(self.keys(docs[at], len(own)))
+                ends.append(len(words))
                 at += 1
-            self.learn(new)
-            for parts, missing in split:
-                for i, variant, w in missing:
-                    parts[i] = get[variant](w) or self.packed(w, variant)
-                out.append(b"".join(parts))
+            parts = self._segmented(words, np.concatenate(keys)) if words else []
+            out += [b"".join(parts[begin:end]) for begin, end in zip([0, *ends], ends, strict=False)]
         return out
 
     def encode(self, text: str) -> bytes:
