@@ -7,7 +7,8 @@ characters weighs DECAY**k, up to SPAN. Gapped and inserted characters therefore
 similarity instead of ending it. Units carry marks for begin and end; units of over
 WINDOW characters are read in overlapping windows, all of them.
 
-Landmarks are units that toxic and clean training documents tell apart. The Nystroem map
+Landmarks are units that toxic and clean training documents tell apart. Nothing depends on
+the order of rows: units and documents are sorted, and lots are drawn by keyed hashes. The Nystroem map
 of a unit is its kernel row times the inverse root of the landmarks' kernel. As labels are
 known for whole documents, the machine is trained on the units that witness them
 (multiple-instance: the highest units of toxic documents, the highest and a random lot of
@@ -26,6 +27,7 @@ labels of one kind all scores are 0; repeated rows score alike; other columns ar
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
 
@@ -42,14 +44,18 @@ THRESHOLD = 0.3
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
 LANDMARKS = 160
 DECAY, SPAN, WINDOW = 0.7, 6, 24
-ROUNDS = 4
+ROUNDS, FOLDS = 4, 4
+#: The highest of W windows is lowered by so much times log(W), as the highest of many is high by chance.
+MANY_WINDOWS = 0.1
+#: Clean units drawn into every training of a machine.
+MAX_LOT = 6000
 #: Units whose score a task remembers at most.
 CACHE_UNITS = 75_000
 
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 SPELLED = re.compile(rb"(?<!\S)[a-z](?: [a-z]){2,}(?!\S)")
-LETTERS = 64
-BEGIN, END_MARK = 62, 63
+LETTERS = 96
+BEGIN, END_MARK = 94, 95
 STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 
 
@@ -62,11 +68,15 @@ def units_of(text: bytes) -> list[bytes]:
 
 
 def _codes(points: np.ndarray) -> np.ndarray:
-    """Code points as letters of an alphabet of 1 to 61: a-z apart, digits as the letters
-    they stand for in disguise (0 o, 1 i, 3 e, 4 a, 5 s, 7 t), the rest by remainder."""
-    out = (27 + points % 35).astype(np.int32)
-    small = (points >= 97) & (points <= 122)
+    """Code points as letters of an alphabet of 1 to 93: a-z, the accented letters of Western
+    Europe, and 2, 6, 8 and 9 have their own; the other digits are the letters they stand for
+    in disguise (0 o, 1 i, 3 e, 4 a, 5 s, 7 t); the rest go by remainder."""
+    out = (63 + points % 31).astype(np.int32)
+    small, accented = (points >= 97) & (points <= 122), (points >= 223) & (points <= 255)
     out[small] = points[small] - 96
+    out[accented] = points[accented] - 223 + 27
+    for digit, code in zip("2689", range(60, 64), strict=True):
+        out[points == ord(digit)] = code
     for digit, letter in zip("013457", "oieast", strict=True):
         out[points == ord(digit)] = ord(letter) - 96
     return out
@@ -147,6 +157,7 @@ def unit_scores(units: list[str], triple_weights: np.ndarray) -> np.ndarray:
             total += weight * (flat[:, 0][index].sum(1)[:, None] if flat.shape[1] == 1 else flat[index].sum(1))
         total /= _norms((coded > 0).sum(1))[:, None]
         np.maximum.at(out, np.asarray(some)[owner], total)
+        out[some] -= MANY_WINDOWS * np.log(np.bincount(owner, minlength=len(some)))[:, None]
     return out if triple_weights.ndim > 1 else out[:, 0]
 
 
@@ -199,35 +210,63 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.nda
     return w[:-1], float(w[-1])
 
 
-def _pick_landmarks(names: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, rng: np.random.Generator) -> list[int]:
-    """Units by how far their documents' labels depart from chance; then common and random ones."""
-    rate = (n_toxic + 1) / (n_toxic + n_clean + 2)
-    seen = toxic + clean
-    excess = (toxic - rate * seen) / np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-9))
+def _draw(name: bytes, seed: int) -> int:
+    """A number that seed and name decide, and nothing else."""
+    return int.from_bytes(hashlib.blake2b(name, digest_size=8, key=bytes([seed])).digest(), "big")
+
+
+def _bent(unit: str) -> str:
+    """The unit with a drawn letter put inside, as a disguise would."""
+    x = _draw(unit.encode("utf-8", "replace"), 4)
+    at = 1 + x % max(1, len(unit) - 1)
+    return unit[:at] + chr(97 + (x >> 16) % 26) + unit[at:]
+
+
+def _excess(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """How far the labels of a unit's documents depart from chance, in deviations."""
+    seen, rate = toxic + clean, (toxic.sum() + 1) / (toxic.sum() + clean.sum() + 2)
+    return (toxic - rate * seen) / np.sqrt(np.maximum(seen * rate * (1 - rate), 1.0))
+
+
+def _pick_landmarks(names: list[bytes], toxic: np.ndarray, clean: np.ndarray) -> list[int]:
+    """Units by how far their documents' labels depart from chance; then common and drawn ones."""
+    excess = _excess(toxic, clean)
     strong = np.argsort(-excess, kind="stable")
     strong = [int(i) for i in strong[: LANDMARKS // 2] if excess[i] > 1.5]
     common = [int(i) for i in np.argsort(-clean, kind="stable")[: LANDMARKS // 8]]
     against = [int(i) for i in np.argsort(excess, kind="stable")[: LANDMARKS // 8]]
-    chance = [int(i) for i in rng.permutation(len(names))[: LANDMARKS // 4]]
+    chance = sorted(range(len(names)), key=lambda i: _draw(names[i], 1))[: LANDMARKS // 4]
     return list(dict.fromkeys(strong + common + against + chance))
 
 
 def fit(docs: list[tuple[bytes, int]]) -> Model:
-    """The machine of labelled documents (UTF-8 text, 1 if toxic)."""
+    """The machine of labelled documents (UTF-8 text, 1 if toxic), whatever their order.
+
+    The machine is trained without one of FOLDS folds of the documents, and the logistic
+    function is fitted on that fold, which the machine has not seen, as written and with a
+    letter put into every longer unit; of the rounds, the one with the least loss is kept. Beside each unit that it
+    is trained on, toxic or clean, stands the unit with a drawn letter put inside.
+    """
     nothing = Model(np.zeros(LETTERS**3), -1.0, np.zeros(5), -30.0)
+    docs = sorted(docs)
     labels = np.array([y for _, y in docs])
     if not len(docs) or labels.min() == labels.max():
         return nothing
-    index: dict[bytes, int] = {}
-    rows = [np.array([index.setdefault(u, len(index)) for u in units_of(t)], dtype=np.int64) for t, _ in docs]
-    names = [u.decode("utf-8", "replace") for u in index]
-    if not names:
+    split = [units_of(t) for t, _ in docs]
+    raw = sorted(set().union(*split))
+    if not raw:
         return nothing
-    toxic, clean = np.zeros(len(names)), np.zeros(len(names))
-    for r, y in zip(rows, labels, strict=True):
-        (toxic if y else clean)[np.unique(r)] += 1
-    rng = np.random.default_rng(11)
-    marks = _pick_landmarks(names, toxic, clean, int(labels.sum()), int((1 - labels).sum()), rng)
+    index = {u: n for n, u in enumerate(raw)}
+    names = [u.decode("utf-8", "replace") for u in raw]
+    rows = [np.array([index[u] for u in us], dtype=np.int64) for us in split]
+    own = [np.unique(r) for r in rows]
+    unseen = np.array([_draw(t, 2) % FOLDS == 0 for t, _ in docs])
+    if any(len(set(labels[part].tolist())) < 2 for part in (unseen, ~unseen)):
+        unseen = np.zeros(len(docs), dtype=bool)  # too few documents to keep some apart
+    clean, toxic = np.zeros(len(names)), np.zeros(len(names))  # documents that hold a unit
+    for r, y in ((r, y) for r, y, out in zip(own, labels, unseen, strict=True) if not out):
+        (toxic if y else clean)[r] += 1
+    marks = _pick_landmarks(raw, toxic, clean)
     bags = features([names[i] for i in marks])
     space = {t: n for n, t in enumerate(sorted(set().union(*bags)))}  # the landmarks' triples
     rows_of = np.zeros((len(marks), len(space)))
@@ -237,33 +276,41 @@ def fit(docs: list[tuple[bytes, int]]) -> Model:
     values, vectors = np.linalg.eigh(gram)
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])  # the Nystroem map is k(unit, landmarks) @ root
-    seen = {0: [], 1: []}
-    for r, y in zip(rows, labels, strict=True):
-        seen[int(y)].append(np.unique(r))
-    pool = np.unique(np.concatenate(seen[0])) if seen[0] else np.zeros(0, dtype=np.int64)
-    lot = rng.choice(pool, min(len(pool), 6000), replace=False)
-    rate = labels.mean()
-    now = (toxic - rate * (toxic + clean)) / np.sqrt(toxic + clean + 1)  # first witnesses by association
-    known: dict[int, np.ndarray] = {}
-    triples, bias = np.zeros(LETTERS**3), -1.0
+    lot = np.array(sorted(np.flatnonzero(clean).tolist(), key=lambda i: _draw(raw[i], 3))[:MAX_LOT], dtype=np.int64)
+    now = _excess(toxic, clean)  # first witnesses by association
+    known: dict[str, np.ndarray] = {}
+
+    def mapped(units: list[str]) -> np.ndarray:
+        new = sorted(set(units).difference(known))
+        known.update(zip(new, unit_kernel(new, rows_of, space) @ root, strict=True))
+        return np.array([known[u] for u in units]).reshape(len(units), root.shape[1])
+
+    seen = [(r, y) for r, y, out in zip(own, labels, unseen, strict=True) if len(r) and not out]
+    judged = unseen if unseen.any() else ~unseen
+    bent = {u: _bent(u) if len(u) > 3 else u for u in sorted({names[i] for r, j in zip(own, judged, strict=True) if j for i in r})}
+    more = sorted(set(bent.values()).difference(names))  # units of that fold as a disguise leaves them
+    place = {u: n for n, u in enumerate([*names, *more])}
+    as_bent = [np.array([place[bent[names[i]]] for i in r], dtype=np.int64) for r, j in zip(rows, judged, strict=True) if j]
+    to_judge = [r for r, j in zip(rows, judged, strict=True) if j] + as_bent
+    y_judged, least, model = np.tile(labels[judged].astype(float), 2), np.inf, nothing
     for _ in range(ROUNDS):
-        witness = [r[np.argsort(-now[r], kind="stable")[:2]] for r in seen[1] if len(r)]
-        hard = [r[np.argsort(-now[r], kind="stable")[:3]] for r in seen[0] if len(r)]
-        pos = np.concatenate(witness)
-        neg = np.concatenate([*hard, lot])
-        used = np.unique(np.concatenate([pos, neg]))
-        new = [i for i in used.tolist() if i not in known]
-        kernel = unit_kernel([names[i] for i in new], rows_of, space)
-        known |= {i: k for i, k in zip(new, kernel, strict=True)}
-        x = np.array([known[i] for i in np.concatenate([pos, neg]).tolist()]) @ root
+        best = lambda label, n: [names[i] for r, y in seen if y == label for i in r[np.argsort(-now[r], kind="stable")[:n]]]  # noqa: B023, E731
+        pos, hard = best(1, 2), best(0, 3)
+        if not pos or not hard:
+            return nothing
+        pos += [_bent(u) for u in pos]
+        neg = [*hard, *map(_bent, hard), *[names[i] for i in lot]]
         y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
         weight = np.r_[np.full(len(pos), 1.0 / len(pos)), np.full(len(neg), 1.0 / len(neg))] * 1000
-        w, bias = _svm(x, y, weight)
+        w, bias = _svm(mapped(pos + neg), y, weight)
         triples = fold(bags, root @ w)
-        now = unit_scores(names, triples) + bias
-    x = np.array([document_features(now[r]) for r in rows])
-    weights, offset = _logistic(x, labels.astype(float))
-    return Model(triples, bias, weights, offset)
+        now = unit_scores([*names, *more], triples) + bias
+        x = np.array([document_features(now[r]) for r in to_judge])
+        weights, offset = _logistic(x, y_judged)
+        loss = np.logaddexp(0, np.where(y_judged > 0, -1, 1) * (x @ weights + offset)).mean()
+        if loss < least:
+            least, model = loss, Model(triples, bias, weights, offset)
+    return model
 
 
 def unit_kernel(units: list[str], landmark_rows: np.ndarray, space: dict[int, int]) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 import itertools
 import os
+import random
+import re
 import zlib
 from collections import Counter
 
@@ -20,20 +22,48 @@ def labelled(spark, column):
     return [(r[0], r[1].encode(), r[2]) for r in rows]
 
 
+def with_letters(text):
+    """The text with a drawn letter put into every word of over three letters."""
+    rng = random.Random(len(text))
+    return re.sub(r"[^\W\d_]{4,}", lambda m: (lambda w, at: w[:at] + rng.choice("abcxyz") + w[at:])(m[0], rng.randrange(1, len(m[0]))), text)
+
+
 @DATA
 def test_toxicity_on_rows_not_learnt_from(spark):
-    rows = labelled(spark, "toxic")
-    out = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
-    model = toxicity.fit([(t, y) for i, t, y in rows if not out(i)])
-    test = [(t, y) for i, t, y in rows if out(i)]
-    predicted = toxicity.Scorer(model)([t for t, _ in test]) >= toxicity.THRESHOLD
-    y = np.array([y for _, y in test], dtype=bool)
-    assert (predicted == y).mean() > 0.97 and predicted[y].mean() > 0.85 and predicted[~y].mean() < 0.02
+    """What ships: the query's own scores, and its model on disguised texts of the same rows."""
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic is not null").collect()}
+    found = [r for r in toxicity.op1_string_kernel_toxicity(spark, SF).where("held_out").collect() if r["doc_id"] in labels]
+    y = np.array([labels[r["doc_id"]] for r in found], dtype=bool)
+    p = np.array([r["predicted"] for r in found], dtype=bool)
+    assert (p == y).mean() >= 0.975 and p[y].mean() >= 0.85 and p[~y].mean() <= 0.01
+    documents = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    own = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic").where(~toxicity.held_out(2, 4))
+    model = toxicity.train(documents, own)
+    texts = {r["doc_id"]: r["text"] or "" for r in documents.where(toxicity.held_out(2, 4)).collect() if r["doc_id"] in labels}
+    y = np.array([labels[i] for i in texts], dtype=bool)
+    toxic = lambda change: toxicity.Scorer(model)([change(t).encode() for t in texts.values()]) >= toxicity.THRESHOLD
+    for change in (with_letters, lambda t: re.sub(r"[^\W\d_]{4,}", lambda m: ".".join(m[0]), t)):
+        p = toxic(change)
+        assert p[y].mean() >= 0.75 and p[~y].mean() <= 0.02
+    assert toxic(lambda t: t.replace(" ", ""))[~y].mean() <= 0.03
     plain, gapped, spelled, clean = toxicity.Scorer(model)([b"you are stupid", b"you are st.u.p.i.d", b"you are s t u p i d", b"you are there"])
     assert min(plain, gapped, spelled) > clean
     assert toxicity.unit_scores(["stupid", "stuxpid", "sxtupid", "window"], model.triples).argmin() == 3
 
 
+def test_toxicity_does_not_depend_on_order():
+    rng = random.Random(3)
+    words = ["fine", "day", "river", "stone", "walk", "green", "über", "42"]
+    docs = [(" ".join(rng.choices(words, k=12) + ["stupid"] * (n % 4 == 0)).encode(), int(n % 4 == 0)) for n in range(120)]
+    docs += docs[:9] + [(docs[0][0], 0)]  # repeated rows, and a label that contradicts
+    one = toxicity.fit(docs)
+    rng.shuffle(docs)
+    two = toxicity.fit(docs)
+    assert (one.triples == two.triples).all() and (one.weights == two.weights).all() and (one.bias, one.offset) == (two.bias, two.offset)
+    toxic, clean = toxicity.Scorer(one)([b"a stupid walk", b"a green walk"])
+    assert toxic >= toxicity.THRESHOLD > clean
+
+
 @DATA
 def test_quality_on_rows_not_learnt_from(spark):
     rows = labelled(spark, "quality")
