@@ -18,7 +18,8 @@ shingle; an empty part needs nothing. One changed word takes up to five shingles
 most of a part of up to 13 words. So parts are also compared in the passage by the widest
 shingles of which any one changed word leaves half, near the words of the other part that
 are found there; the higher share counts. A part of one word, of which a change leaves
-nothing, needs nothing beside a longer one. Only items of one part of fewer than five words
+nothing, must stand within the item's length of the longer part: a question is held with its
+answer, and not without. Only items of one part of fewer than five words
 must be held as they are.
 
 Document frequencies, the number of items and their mean length are counted by Spark over
@@ -96,14 +97,13 @@ def steady_width(words: list[bytes]) -> int:
     return 0
 
 
-def judged_parts(text: str) -> tuple[list[bytes], list[bytes]]:
-    """Words of an item's question and answer; one that a changed word can wipe out is empty
-    if the other is none such."""
-    question, answer = (words_of(p.encode()) for p in parts_of(text))
-    steady = steady_width(question) > 0, steady_width(answer) > 0
-    if question and answer and steady[0] != steady[1]:
-        return (question, []) if steady[0] else ([], answer)
-    return question, answer
+def judged_parts(text: str) -> tuple[list[list[bytes]], tuple[bool, bool]]:
+    """Words of an item's question and answer, and which of them is loose: so short that a changed
+    word can wipe it out, beside one that is not."""
+    parts = [words_of(p.encode()) for p in parts_of(text)]
+    steady = [steady_width(p) > 0 for p in parts]
+    loose = bool(parts[0] and not steady[0] and steady[1]), bool(parts[1] and not steady[1] and steady[0])
+    return parts, loose
 
 
 @dataclass
@@ -115,6 +115,8 @@ class Index:
     answers: list[set]
     #: steady shingles of questions and answers, and the items' words
     steady: list[tuple[set, set]]
+    #: whether question and answer are loose; their steady shingles are then all of their words
+    loose: list[tuple[bool, bool]]
     sizes: list[int]
     vocabulary: dict[bytes, int]
     #: postings, by term: item and impact
@@ -169,9 +171,10 @@ def build_index(items: list[tuple[int, str]], of_all: Statistics | None = None)
     parts = [judged_parts(t) for _, t, _ in bags]
     return Index(
         [i for i, _, _ in bags],
-        [shingles(q) for q, _ in parts],
-        [shingles(a) for _, a in parts],
-        [tuple(shingles(p, steady_width(p)) for p in pair) for pair in parts],
+        [shingles(q) for (q, _), _ in parts],
+        [shingles(a) for (_, a), _ in parts],
+        [tuple(shingles(p, SHINGLE if free else steady_width(p)) for p, free in zip(*both, strict=True)) for both in parts],
+        [loose for _, loose in parts],
         lengths.astype(int).tolist(),
         vocabulary,
         item,
@@ -324,8 +327,10 @@ def _find_lot(index, spans, begin, offset, lengths, ids, words, threshold, overl
         if d not in own:
             own[d] = _ByWidth(words[d])
         q, a = overlaps(index, i, own[d])
-        if q < overlap or a < overlap:
-            q, a = map(max, (q, a), overlaps_nearby(index, i, words[d][start : start + 2 * index.stride]))
+        loose = index.loose[i]
+        if any(loose) or q < overlap or a < overlap:
+            near = overlaps_nearby(index, i, words[d][start : start + 2 * index.stride])
+            q, a = (n if free else max(w, n) for w, n, free in zip((q, a), near, loose, strict=True))
         if q >= overlap and a >= overlap:
             found.append((d, index.items[i], s, q, a))
     return found

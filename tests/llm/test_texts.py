@@ -318,7 +318,9 @@ def test_copies_with_one_word_changed_are_found_at_each_place():
             mark = re.sub(r"\w", "", w[at])
             docs.append(" ".join([some(70), *w[:at], "zzz" + mark, *w[at + 1 :], some(70)]).encode())
         found = {d for d, n, *_ in decontamination.find(index, docs) if n == i}
-        assert found == set(range(len(w))), text
+        n_question, n_answer = lengths[i // 2]
+        alone = {0} if n_question == 1 else {len(w) - 1} if n_answer == 1 else set()  # a part of one word that is gone
+        assert found == set(range(len(w))) - alone, text
 
 
 def test_a_question_without_its_answer_nearby_is_not_held():
@@ -328,6 +330,15 @@ def test_a_question_without_its_answer_nearby_is_not_held():
     assert decontamination.find(index, docs) == []
 
 
+def test_answers_of_one_word_are_asked_for_near_the_question():
+    question = "which of the seven old harbours of the northern land was the first to have a lighthouse"
+    items = [(1, f"{question}? Paris"), (2, f"Yes. {question.replace('seven', 'eleven')} of stone")]
+    index = decontamination.build_index(items)
+    far = "x " * 200
+    docs = [f"{far}{question}? Paris {far}", f"{far}{question}? London {far}", f"Paris {far}{question}? {far}", f"{far}Paris, {question}.{far}", "Paris"]
+    assert {(d, i) for d, i, *_ in decontamination.find(index, [t.encode() for t in docs]) if i == 1} == {(0, 1), (3, 1)}
+
+
 def test_contaminated_documents(spark):
     items, _ = bench_items()
     benchmark = spark.createDataFrame([*items, (50, None), (51, " "), (None, "x y z")], "item_id long, text string")
