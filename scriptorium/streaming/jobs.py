@@ -7,42 +7,27 @@ folders and read back as tables.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from scriptorium.functions.text import source_hash
+from scriptorium.streaming import latest
 
 READS = "novel_id bigint, chapter_id bigint, ts timestamp"
-_STATE = f"{READS}, epoch bigint"
-
+_KEYS, _ORDER = ["novel_id", "chapter_id"], ["ts"]
 
-def _there(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
-
-def reading_progress(events: DataFrame, target: str, checkpoint: str) -> DataFrame:
+def reading_progress(events: DataFrame, target: str, checkpoint: str, ttl: timedelta | None = None) -> DataFrame:
     """(novel_id, chapters_read, current_chapter) of a stream ``events(novel_id, chapter_id, ts)``.
 
-    State: one row for each pair of novel and chapter that was read, not one for each event.
-    Two folders take turns and every row carries its batch number, so the last finished
-    batch is read whether or not this run had new data, and a batch that broke off leaves
-    the one before untouched. Without any events so far the result is empty.
+    State: the last reading of each pair of novel and chapter; a batch writes the pairs that it
+    changes and no others. Without any events so far the result is empty.
     """
-    spark = events.sparkSession
-    last = events.groupBy("novel_id", "chapter_id").agg(F.max("ts").alias("ts"))
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.select("novel_id", "chapter_id", "ts", F.lit(epoch).cast("bigint").alias("epoch")).write.mode("overwrite").parquet(f"{target}/turn={epoch % 2}")
-
-    job = last.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    job.awaitTermination()
-    if not _there(spark, target):
-        seen = spark.createDataFrame([], READS)
-    else:
-        both = spark.read.schema(_STATE).parquet(target)
-        seen = both.where(F.col("epoch") == both.agg(F.max("epoch")).first()[0])
+    spark, reads = events.sparkSession, events.select("novel_id", "chapter_id", "ts")
+    latest.run_latest(reads, _KEYS, _ORDER, target, checkpoint, ttl)
+    seen = latest.read_latest(spark, target, reads.schema, _KEYS, _ORDER)
     return seen.groupBy("novel_id").agg(
         F.count("chapter_id").alias("chapters_read"), F.max_by("chapter_id", F.struct("ts", "chapter_id")).alias("current_chapter")
     )
@@ -67,20 +52,11 @@ def ingest_new(spark: SparkSession, landing: str, target: str, checkpoint: str,
 
     def append(batch: DataFrame, epoch: int) -> None:
         new = batch.dropDuplicates(["filename", "source_hash"]).withColumn("part", F.substring("source_hash", 1, 2))
-        if _there(spark, target):
+        known = latest.maybe_read(spark, target, "filename string, source_hash string, part string")
+        if known is not None:
             parts = [r["part"] for r in new.select("part").distinct().collect()]  # 256 at most
-            known = spark.read.schema("filename string, source_hash string, part string").parquet(target).where(F.col("part").isin(parts))
-            new = new.join(known.select("filename", "source_hash"), ["filename", "source_hash"], "left_anti")
+            new = new.join(known.where(F.col("part").isin(parts)).select("filename", "source_hash"), ["filename", "source_hash"], "left_anti")
         new.write.mode("append").partitionBy("part").parquet(target)
 
     rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("filename string, source_hash string, text string, part string").parquet(target)
-
-
-def progress_log(job: StreamingQuery) -> list[dict]:
-    """(batch, rows, rows_per_second, milliseconds) of the batches that a running or ended
-    query remembers, for a progress display."""
-    return [
-        {"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_second": p["processedRowsPerSecond"], "milliseconds": p["batchDuration"]}
-        for p in job.recentProgress
-    ]
