@@ -11,7 +11,9 @@ No piece of the model holds a space after another character or a newline beside
 (``load_vocabulary`` refuses models of which this is not so), so words with the spaces
 before them are segmented apart. The pieces of a word depend on nothing but which of its
 possible merges the draws skip. Occurrences of a word in the texts at hand for which the
-same merges are skipped are therefore segmented once, by the draws of the first of them.
+same merges are skipped are therefore segmented once, by the draws of the first of them; and
+where none of the merges is skipped that the agenda meets without any skipping, the pieces
+are those of the word as a whole.
 
 Characters without a piece become byte pieces. Spaces are the model's word mark; a word
 mark that stands in the text itself is written as bytes, so decoding restores every text.
@@ -44,6 +46,8 @@ DROPOUT, SEED = 0.1, 20
 LONG = 48
 #: Words that are segmented together, and words whose possible merges a task remembers, at most.
 BATCH_WORDS, CACHE_WORDS = 400_000, 100_000
+#: Occurrences in the texts at hand from which on a word's draws are compared before it is segmented.
+OFTEN = 6
 #: Possible merges of a word whose draws fit a mask; words with more are segmented one by one.
 MASK_BITS = 62
 #: What a span adds to a draw's key.
@@ -88,13 +92,23 @@ def load_vocabulary(model_path: str | None = None) -> Vocabulary:
     return Vocabulary(ids, {p: ranks[s] for s, p in order}, byte_ids, pieces)
 
 
+@dataclass
+class Merges:
+    """The possible merges of a word: what they add to a draw's key, which of them the agenda meets
+    if nothing is skipped (as bits), and the pieces that it then ends with."""
+
+    spans: np.ndarray
+    met: int
+    whole: bytes
+
+
 class Encoder:
     """Pieces of texts under one seed and rate of dropout."""
 
     def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED):
         self.v, self.seed = vocabulary, seed
         self.limit = int(dropout * (1 << 32))
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, Merges] = {}
         self.kind = np.dtype("<u2" if len(vocabulary.pieces) <= 1 << 16 else "<u4")
         self._tables()
 
@@ -126,13 +140,16 @@ class Encoder:
         """The pieces of one word by the draws of ``key``."""
         return self._short(word, key) if len(word) <= LONG else self._long(word, key)
 
-    def _short(self, word: str, key: int) -> list[str]:
-        rank, skipped, none = self.v.rank, self.skipped, not self.limit
+    def _short(self, word: str, key: int, met: set | None = None) -> list[str]:
+        """``met``: skip nothing, and note the spans of all candidates."""
+        rank, skipped, none = self.v.rank, self.skipped, not self.limit or met is not None
         parts, starts = list(word), list(range(len(word) + 1))
         due = []
         for i in range(len(word) - 1):
             r = rank.get(word[i : i + 2], NEVER)
             due.append(r if r == NEVER or none or not skipped(key, i, i + 1, i + 2) else NEVER)
+            if met is not None and r != NEVER:
+                met.add((i, i + 1, i + 2))
         while due and (best := min(due)) != NEVER:
             i = due.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
@@ -141,6 +158,8 @@ class Encoder:
                 if 0 <= j < len(due):
                     r = rank.get(parts[j] + parts[j + 1], NEVER)
                     due[j] = r if r == NEVER or none or not skipped(key, starts[j], starts[j + 1], starts[j + 2]) else NEVER
+                    if met is not None and r != NEVER:
+                        met.add((starts[j], starts[j + 1], starts[j + 2]))
         return parts
 
     def _long(self, word: str, key: int) -> list[str]:
@@ -176,8 +195,11 @@ class Encoder:
         return parts
 
     def packed(self, word: str, key: int) -> bytes:
+        return self._ids(self.segment(word, key))
+
+    def _ids(self, parts: list[str]) -> bytes:
         ids: list[int] = []
-        for p in self.segment(word, key):
+        for p in parts:
             i = self.v.ids.get(p)
             if i is None:
                 ids.extend(self.v.byte_ids[b] for b in p.encode("utf-8", "surrogatepass"))
@@ -196,8 +218,10 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
         rank = np.where(self.pairs[at] == pair, self.ranks[at], NEVER)
         if self.limit:
-            start, mid, end = (np.broadcast_to(a, pair.shape).astype(np.uint64) for a in (start, mid, end))
-            rank[self._skips(key + start * np.uint64(_START) + mid * np.uint64(_MID) + end * np.uint64(_END))] = NEVER
+            live = rank < NEVER
+            start, mid, end = (np.broadcast_to(a, pair.shape)[live].astype(np.uint64) for a in (start, mid, end))
+            x = np.broadcast_to(key, pair.shape)[live] + start * np.uint64(_START) + mid * np.uint64(_MID) + end * np.uint64(_END)
+            rank[live] = np.where(self._skips(x), NEVER, rank[live])
         return rank
 
     def _many(self, words: list[str], key: np.ndarray) -> list[bytes]:
@@ -243,34 +267,39 @@ class Encoder:
         finish(np.ones(len(row), dtype=bool))
         return out
 
-    def spans(self, word: str) -> np.ndarray:
-        """What the word's possible merges, whatever is skipped, add to a draw's key."""
-        ids, rank, n, out = self.v.ids, self.v.rank, len(word), []
+    def merges(self, word: str) -> Merges:
+        """What the draws of a word's occurrences are compared by."""
+        ids, rank, n, at = self.v.ids, self.v.rank, len(word), {}
         for i in range(n - 1):
             for k in range(i + 2, min(n, i + self.longest) + 1):
                 if word[i:k] in rank:
-                    out += [(i * _START + m * _MID + k * _END) & MASK for m in range(i + 1, k) if word[i:m] in ids and word[m:k] in ids]
-        return np.array(out, dtype=np.uint64)
-
-    def _like(self, distinct: list[str], word: np.ndarray, key: np.ndarray) -> np.ndarray:
+                    for m in range(i + 1, k):
+                        if word[i:m] in ids and word[m:k] in ids:
+                            at[i, m, k] = len(at)
+        met = set()
+        parts = self._short(word, 0, met)
+        spans = np.array([(i * _START + m * _MID + k * _END) & MASK for i, m, k in at], dtype=np.uint64)
+        return Merges(spans, sum(1 << at[x] for x in met if x in at), self._ids(parts))
+
+    def _like(self, distinct: list[str], word: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each occurrence (number of its word, key): the first occurrence of the same word
-        for which the same merges are skipped."""
-        own = np.arange(len(word))
+        for which the same merges are skipped, and these merges as a mask (-1: not looked at)."""
+        own, none = np.arange(len(word)), np.full(len(word), -1, dtype=np.int64)
         counts = np.bincount(word, minlength=len(distinct))
-        often = [int(w) for w in np.flatnonzero(counts > 1) if len(distinct[w]) <= LONG]
+        often = [int(w) for w in np.flatnonzero(counts >= OFTEN) if len(distinct[w]) <= LONG]
         if len(self.known) + len(often) > CACHE_WORDS:
             self.known.clear()
-        spans, sizes = [], np.full(len(distinct), -1)
+        spans, sizes, met = [], np.full(len(distinct), -1), np.zeros(len(distinct), dtype=np.uint64)
         for w in often:
             found = self.known.get(distinct[w])
             if found is None:
-                found = self.known[distinct[w]] = self.spans(distinct[w])
-            if len(found) <= MASK_BITS:
-                spans.append(found)
-                sizes[w] = len(found)
+                found = self.known[distinct[w]] = self.merges(distinct[w])
+            if len(found.spans) <= MASK_BITS:
+                spans.append(found.spans)
+                sizes[w], met[w] = len(found.spans), found.met
         known = sizes >= 0
         if not known.any():
-            return own
+            return own, none
         flat = np.concatenate(spans)
         begin = np.zeros(len(distinct), dtype=np.int64)
         begin[known] = np.cumsum(sizes[known]) - sizes[known]
@@ -282,24 +311,30 @@ class Encoder:
             first = np.cumsum(n) - n
             nth = np.arange(int(n.sum())) - np.repeat(first, n)
             hit = self._skips(np.repeat(key[some], n) + flat[np.repeat(begin[word[some]], n) + nth])
-            mask[some] = np.bitwise_or.reduceat(hit.astype(np.uint64) << nth.astype(np.uint64), first)
+            bits = np.bitwise_or.reduceat(hit.astype(np.uint64) << nth.astype(np.uint64), first)
+            mask[some] = np.where(bits & met[word[some]], bits, 0)
         some = np.flatnonzero(known[word])
         mixed = (word[some].astype(np.uint64) * np.uint64(_START)) ^ (mask[some] * np.uint64(_MID))
         _, first, back = np.unique(mixed, return_index=True, return_inverse=True)
         like = some[first][back]
         same = (word[like] == word[some]) & (mask[like] == mask[some])  # two pairs may mix to one number
         own[some[same]] = like[same]
-        return own
+        none[some] = mask[some].astype(np.int64)
+        return own, none
 
     def _segmented(self, words: list[str], key: np.ndarray) -> list[bytes]:
         """``packed`` for each word by its key."""
         distinct = list(dict.fromkeys(words))
         word = np.fromiter(map(dict(zip(distinct, range(len(distinct)), strict=True)).__getitem__, words), np.int64, len(words))
-        like = self._like(distinct, word, key)
+        like, mask = self._like(distinct, word, key)
         plain = np.array([len(w) <= LONG and not w.startswith("  ") and self.chars.issuperset(w) for w in distinct])
         sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
         out: list = [None] * len(words)
         first = np.flatnonzero(like == np.arange(len(words)))
+        untouched = first[mask[first] == 0]
+        for i in untouched.tolist():
+            out[i] = self.known[words[i]].whole
+        first = first[mask[first] != 0]
         easy = first[plain[word[first]]]
         easy = easy[np.argsort(sizes[word[easy]], kind="stable")]
         for at in range(0, len(easy), 4096):
