@@ -9,11 +9,13 @@ with the logistic loss; where the second term would fall below zero, that batch'
 climbs it back instead. The class prior comes from a first classifier of positives against
 unlabelled text: among its highest scores, where no negative text is left, the share of
 unlabelled text over the share of positives is the prior; the mean of the lower half of
-such ratios over many thresholds is taken.
+such ratios over many thresholds is taken. Rows are halved by keyed hashes of their ids, a
+first classifier is fitted on each half, and the shares of unlabelled text are counted over
+all unlabelled rows, each by the classifier of the other half.
 
 The features of a text are rates of kinds of characters, lengths and repetition of words
-and lines, over the whole text. Training reads a bounded sample (``MAX_POSITIVE``,
-``MAX_UNLABELLED`` rows, by keyed hash); scoring reads every whole text.
+and lines, over the whole text. Networks are fitted on a bounded sample (``MAX_POSITIVE``,
+``MAX_UNLABELLED`` rows, by keyed hash); the prior and the scores read every whole text.
 
 Defined cases: null and empty texts have the features of no characters and no words;
 without positives or without unlabelled rows every score is 0; repeated rows score alike;
@@ -27,7 +29,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,31 +161,85 @@ def _train(pos: np.ndarray, unl: np.ndarray, prior: float | None, seed: int = 3)
     return Model(mean, scale, params[0], params[1], params[2], float(params[3][0]), prior or 0.0)
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives among unlabelled rows, from the scores of both."""
-    at = np.quantile(positive, np.linspace(0.02, 0.5, 49))
-    ratios = np.sort([(unlabelled >= t).mean() / (positive >= t).mean() for t in at])
+@dataclass
+class First:
+    """A first classifier of one half: thresholds, and the shares of the other half's positives that reach them."""
+
+    halving: int
+    half: int
+    model: Model
+    at: np.ndarray
+    positive: np.ndarray
+
+
+def prior_of(unlabelled: np.ndarray, positive: np.ndarray) -> float:
+    """Share of positives among unlabelled rows, from the shares of both that reach the thresholds."""
+    ratios = np.sort(unlabelled / positive)
     return float(np.clip(ratios[: len(ratios) // 2].mean(), 0.02, 0.98))
 
 
-def fit(x: np.ndarray, is_p: np.ndarray, is_u: np.ndarray) -> Model:
+def first_classifiers(x: np.ndarray, is_p: np.ndarray, is_u: np.ndarray, halves: np.ndarray) -> list[First]:
+    """Of rows that are positives, unlabelled, or both; ``halves[row, halving]`` is 0 or 1."""
+    out = []
+    for h in range(halves.shape[1]):
+        for k in (0, 1):
+            mine, rest = halves[:, h] == k, halves[:, h] != k
+            if (mine & is_p).any() and (mine & is_u).any() and (rest & is_p).any():
+                model = _train(x[mine & is_p], x[mine & is_u], None)
+                scores = model.output(x[rest & is_p])
+                at = np.quantile(scores, np.linspace(0.02, 0.5, 49))
+                out.append(First(h, k, model, at, (scores[:, None] >= at).mean(0)))
+    return out
+
+
+def reached(firsts: list[First], x: np.ndarray, halves: np.ndarray) -> np.ndarray:
+    """For each first classifier: how many rows of the other half reach each of its thresholds, and, last, their number."""
+    out = np.zeros((len(firsts), 50), dtype=np.int64)
+    for n, first in enumerate(firsts):
+        scores = np.sort(first.model.output(x[halves[:, first.halving] != first.half]))
+        out[n] = [*(len(scores) - np.searchsorted(scores, first.at)), len(scores)]
+    return out
+
+
+def fit(x: np.ndarray, is_p: np.ndarray, is_u: np.ndarray, halves: np.ndarray | None = None, count=None) -> Model:
     """From features of rows that are positives, unlabelled, or both (a positive's text in
-    the unlabelled lot): estimates the prior on halves of the rows that a first classifier
-    did not see, then trains."""
+    the unlabelled lot). ``count`` gives ``reached`` over all unlabelled rows; without it,
+    the rows at hand are all."""
     if not is_p.any() or not is_u.any():
         zero = np.zeros(N_FEATURES)
         return Model(zero, zero + 1, np.zeros((N_FEATURES, 1)), np.zeros(1), np.zeros(1), -30.0, 0.0)
-    priors, rng = [], np.random.default_rng(7)
-    for _ in range(HALVINGS):
-        half = rng.permutation(len(x)) % 2
-        for k in (0, 1):
-            mine, rest = half == k, half != k
-            if all((a & b).any() for a in (mine, rest) for b in (is_p, is_u)):
-                first = _train(x[mine & is_p], x[mine & is_u], None)
-                priors.append(estimate_prior(first.output(x[rest & is_p]), first.output(x[rest & is_u])))
+    if halves is None:
+        rng = np.random.default_rng(7)
+        halves = np.stack([rng.permutation(len(x)) % 2 for _ in range(HALVINGS)], axis=1)
+    firsts = first_classifiers(x, is_p, is_u, halves)
+    counts = count(firsts) if count and firsts else reached(firsts, x[is_u], halves[is_u])
+    priors = [prior_of(c[:-1] / c[-1], f.positive) for c, f in zip(counts, firsts, strict=True) if c[-1]]
     return _train(x[is_p], x[is_u], float(np.median(priors)) if priors else 0.5)
 
 
+def _halves() -> Column:
+    """Bits of the halvings of a row, by its id."""
+    return F.array(*[F.pmod(F.xxhash64(F.lit(100 + h), "doc_id"), F.lit(2)).cast("int") for h in range(HALVINGS)])
+
+
+def reached_by_all(web: DataFrame, firsts: list[First]) -> np.ndarray:
+    """``reached`` over all rows of ``web(doc_id, text)``, added up by Spark."""
+    shared = web.sparkSession.sparkContext.broadcast(firsts)  # 2 * HALVINGS small networks
+
+    def step(batch: pa.RecordBatch) -> dict:
+        x = np.array([text_features(t) for t in texts(batch)]).reshape(-1, N_FEATURES)
+        halves = np.array(batch.column("halves").to_pylist(), dtype=int).reshape(-1, HALVINGS)
+        found = reached(shared.value, x, halves)
+        return {"n": list(range(len(found))), "counts": found.tolist()}
+
+    rows = map_arrow(web.select("text", _halves().alias("halves")), "n int, counts array<long>", step)
+    summed = rows.groupBy("n").agg(F.array(*[F.sum(F.get("counts", F.lit(i))) for i in range(50)]).alias("counts")).collect()  # a row for each network
+    out = np.zeros((len(firsts), 50), dtype=np.int64)
+    for r in summed:
+        out[r["n"]] = r["counts"]
+    return out
+
+
 def features(documents: DataFrame) -> DataFrame:
     """``documents(doc_id, text)`` as (doc_id, x)."""
 
@@ -194,16 +250,17 @@ def features(documents: DataFrame) -> DataFrame:
 
 
 def train(documents: DataFrame, labels: DataFrame, web: DataFrame) -> Model:
-    """Positives: rows of ``labels(doc_id, quality)`` with quality 1; unlabelled text: ``web(doc_id)``."""
+    """Positives: rows of ``labels(doc_id, quality)`` with quality 1; unlabelled text: ``web(doc_id, text)``."""
     positive = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1 and doc_id is not null")
     marked = hashed_lot(positive, MAX_POSITIVE, 1).select("doc_id", F.lit(1).alias("is_p"))
     lot = hashed_lot(web.where("doc_id is not null").select("doc_id").distinct(), MAX_UNLABELLED, 2).select("doc_id", F.lit(1).alias("is_u"))
     chosen = marked.join(lot, "doc_id", "full")  # MAX_POSITIVE + MAX_UNLABELLED ids at most
     found = documents.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    rows = features(found.groupBy("doc_id").agg(F.min("text").alias("text"))).join(chosen, "doc_id").orderBy("doc_id").collect()
+    rows = features(found.groupBy("doc_id").agg(F.min("text").alias("text"))).join(chosen, "doc_id").withColumn("halves", _halves()).orderBy("doc_id").collect()
     x = np.array([r["x"] for r in rows]).reshape(-1, N_FEATURES)
     is_p, is_u = (np.array([bool(r[c]) for r in rows], dtype=bool) for c in ("is_p", "is_u"))
-    return fit(x, is_p, is_u)
+    halves = np.array([r["halves"] for r in rows], dtype=int).reshape(-1, HALVINGS)
+    return fit(x, is_p, is_u, halves, lambda firsts: reached_by_all(web, firsts))
 
 
 def with_score(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:

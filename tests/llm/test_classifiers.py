@@ -163,3 +163,37 @@ def test_long_units_are_read_in_windows():
     units = ["x" * n + "idiot" + "y" * (80 - n) for n in range(0, 81, 7)]
     clean, *found = toxicity.unit_scores(["x" * 40 + "y" * 45, *units], weights)
     assert min(found) > clean + 0.1
+
+
+@DATA
+def test_quality_through_the_query(spark):
+    small = SF.replace("sf0.1", "sf0.01")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{small}/labels.parquet").where("quality is not null").collect()}
+    found = [r for r in quality.op8_positive_unlabelled_quality(spark, small).where("held_out").collect() if r["doc_id"] in labels]
+    y, p = (np.array(x, dtype=bool) for x in zip(*[(labels[r["doc_id"]], r["predicted"]) for r in found], strict=True))
+    assert (p == y).mean() > 0.97 and p[y].mean() > 0.97
+
+
+def test_prior_counts_all_rows(spark, monkeypatch):
+    """Spark's counts over pieces of all rows equal one count at hand, repeated and null rows among them."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["alpha", "beta", "%%", "x1"], 5 + n % 40)) for n in range(300)] + [None, "", "a"] * 2
+    docs = spark.createDataFrame([(n if n % 50 else None, t) for n, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = docs.withColumn("halves", quality._halves()).collect()
+    x = np.array([quality.text_features((r["text"] or "").encode()) for r in rows])
+    halves = np.array([r["halves"] for r in rows])
+    is_p = np.arange(len(rows)) % 3 == 0
+    firsts = quality.first_classifiers(x, is_p, ~is_p, halves)
+    assert len(firsts) == 2 * quality.HALVINGS and len({r["halves"][0] for r in rows}) == 2
+    assert (quality.reached_by_all(docs, firsts) == quality.reached(firsts, x, halves)).all()
+
+
+def test_quality_of_odd_tables(spark):
+    """An empty table, contradicting labels, and repeated training rows."""
+    docs = spark.createDataFrame([(n, f"word{n % 7} and more {n}") for n in range(40)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(40)] + [(1, 0), (1, 0)], "doc_id long, quality int")
+    model = quality.train(docs, labels, docs)
+    assert quality.with_score(docs.limit(0), model).count() == 0
+    assert quality.with_score(docs, model).where("score between 0 and 1").count() == 80
+    empty = quality.train(docs.limit(0), labels, docs.limit(0))
+    assert quality.with_score(docs, empty).where("score < 0.5").count() == 80
