@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,6 +33,16 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Hand what former tasks of this worker have freed back to the system; workers are used again
+    for stages of other kinds, and an executor's memory is shared by all of them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, schema: T.StructType | str, step: Callable[[pa.RecordBatch], dict], column: str = "text") -> DataFrame:
     """``step`` turns each piece into columns of ``schema`` by name."""
     conf = df.sparkSession.conf
@@ -42,6 +54,7 @@ def map_arrow(df: DataFrame, schema: T.StructType | str, step: Callable[[pa.Reco
     spark_schema = schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         arrow = to_arrow_schema(spark_schema)
         for piece in pieces(batches, column):
             made = step(piece)
