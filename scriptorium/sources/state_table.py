@@ -89,7 +89,10 @@ class StateTable:
             placed = merged.withColumns({"bucket": self._bucket(), "epoch": F.lit(epoch).cast("long")})
             writer = placed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             writer.partitionBy("bucket", "epoch").parquet(f"{self.path}/rows")
-        line = self.spark.createDataFrame([(epoch, note, sorted(touched))], COMMITS).coalesce(1)
+        self._commit(epoch, note, sorted(touched))
+
+    def _commit(self, epoch: int, note: str, touched: list[int]) -> None:
+        line = self.spark.createDataFrame([(epoch, note, touched)], COMMITS).coalesce(1)
         line.write.mode("append").parquet(f"{self.path}/commits")
 
 
