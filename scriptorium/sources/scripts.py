@@ -8,14 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.names import basename, natural_key
+from scriptorium.sources import glossary_files
 
 BLOCK = "struct<type:string,content:string,text:string,speaker:string,tone:string>"
 SCRIPT = f"chapter_title string, source_hash string, blocks array<{BLOCK}>, _corrupt_record string"
 MANIFEST = "source_filename string, chapters array<struct<index:int,title:string,filename:string,token_estimate:int,metadata:map<string,array<string>>>>"
-ENTRY = "struct<name:string,raw:string,aliases:array<string>,desc:string>"
-CATEGORIES = ["characters", "factions", "locations", "terms"]
-#: Entries stay texts at first, so that one of another form does not spoil the rest.
-GLOSSARY = ", ".join(f"{c} array<string>" for c in CATEGORIES)
 
 
 def scripts(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -45,14 +42,8 @@ def manifest_entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def glossary_entries(spark: SparkSession, path: str) -> DataFrame:
-    """(category, ord, name, raw, aliases, desc) of a glossary as JSON: lists of entries by
-    category. Entries of another form or without a name are left out; a file that is no JSON
-    ends the job."""
-    found = spark.read.text(path, wholetext=True).select(F.from_json("value", GLOSSARY, {"mode": "FAILFAST"}).alias("g"))
-    lists = F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"g.{c}").alias("entries")) for c in CATEGORIES])
-    rows = found.select(F.explode(lists).alias("l")).select("l.category", F.posexplode("l.entries").alias("ord", "one"))
-    parsed = rows.withColumn("e", F.from_json("one", ENTRY)).where("coalesce(e.name, '') <> ''")
-    return parsed.select("category", "ord", "e.name", "e.raw", F.coalesce("e.aliases", F.array()).alias("aliases"), "e.desc")
+    """(category, ord, name, raw, aliases, desc) of a glossary in YAML or JSON (see ``glossary_files``)."""
+    return glossary_files.read(spark, path).drop("path")
 
 
 def preferred_glossary(spark: SparkSession, own: str, shared: str) -> DataFrame:
@@ -65,7 +56,7 @@ def preferred_glossary(spark: SparkSession, own: str, shared: str) -> DataFrame:
         except (PySparkException, Py4JJavaError):  # missing or not readable: the next one
             continue
         return found
-    return spark.createDataFrame([], "category string, ord int, name string, raw string, aliases array<string>, desc string")
+    return spark.createDataFrame([], glossary_files.ENTRIES)
 
 
 def write_chapters(chapters: DataFrame, path: str) -> None:
@@ -82,7 +73,8 @@ def write_documents(pages: DataFrame, path: str) -> DataFrame:
 
 
 def write_glossary(by_category: DataFrame, path: str) -> None:
-    """A glossary ``(category, entries as JSON)`` as one JSON line for each category."""
+    """A glossary ``(category, entries as JSON)`` as one JSON line for each category; files that
+    read back as glossaries are written by ``glossary_files.write``."""
     rows = by_category.select(F.concat(F.lit('{"category": '), F.to_json(F.array("category")).substr(F.lit(2), F.length(F.to_json(F.array("category"))) - 2), F.lit(', "entries": '), "entries", F.lit("}")).alias("value"))
     rows.write.mode("overwrite").text(path)
 
