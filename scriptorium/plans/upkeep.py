@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.functions import misc, text
-from scriptorium.operators import corrections, glossary, graph, library, render, state
+from scriptorium.operators import corrections, glossary, graph, library, render, search, state
 from scriptorium.plans import entities as E
 from scriptorium.plans import markup
 from scriptorium.plans import relational as R
-from scriptorium.session import table
+from scriptorium.session import fresh_folder, table
+from scriptorium.sources.state_table import StateTable, run_phases
 
 NOVEL = 7
 
@@ -124,6 +125,27 @@ def phase_states(spark, d):
     return jobs.select("event_id", "status", "error")
 
 
+def phase_table(spark, d):
+    """The states of ``phase_states``, kept in a table of states: an epoch for the load and one for each phase."""
+    jobs = R._jobs(spark, d).select("event_id", "status", F.lit(None).cast("string").alias("error"), "value")
+    table_ = StateTable(spark, fresh_folder(spark, "states"), ["event_id"], jobs.schema, buckets=16)
+    table_.upsert(jobs, 0, "load")
+
+    def phase(n: int, name: str):
+        failed = F.when(F.floor("value") % 10 == n, F.concat(F.lit(f"{name}: "), F.floor("value").cast("string")))
+        return lambda due: due.select("event_id", (F.col("value") >= 20).alias("done"), failed.alias("failed"))
+
+    run_phases(table_, [(name, phase(n, name)) for n, name in enumerate(state.PHASES[1:])])
+    return table_.read().select("event_id", "status", "error")
+
+
+def novel_index_search(spark, d):
+    """Novels whose title holds a mark and zeros, by the index of trigrams."""
+    rows, path = E.novels(spark, d).select("id", "title"), fresh_folder(spark, "titles")
+    search.write_index(rows, "id", "title", path)
+    return search.search(rows, "id", "title", path, "R#00000")
+
+
 def phase_totals(spark, d):
     runs = R._jobs(spark, d).groupBy("novel_id", "status").agg(F.count_if(F.col("value") >= 20).alias("processed"), F.count_if(F.col("value") < 20).alias("failed"))
     return state.phase_totals(runs, ["novel_id"])
@@ -200,7 +222,7 @@ QUERIES = {
     for f in (
         novel_by_id, novel_chapters, chapters_belonging, chapters_moved, chapters_updated, chapters_appended, absent_inserted, unique_speakers, edges_by_weight,
         graph_scales, glossary_of_category, glossary_without, glossary_changed, glossary_json, glossary_sections, glossary_effect, glossary_sample,
-        common_transition, phase_states, phase_totals, run_summaries, log_newest, render_counts, chapter_documents, issue_texts, series_pages, series_payloads,
+        common_transition, phase_states, phase_table, novel_index_search, phase_totals, run_summaries, log_newest, render_counts, chapter_documents, issue_texts, series_pages, series_payloads,
         preferred_styles, speaker_mentions,
     )
 }
@@ -248,6 +270,7 @@ SELECT chapter, round(a.s, 6) AS score_plain, round(b.s, 6) AS score_helped, rou
 SELECT upper(a) || '->' || upper(b) AS transition, count(*) AS count FROM l WHERE a <> b AND b = 'click' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1""",
     "phase_states": f"""WITH p0 AS (SELECT event_id, value, {R._JOB} AS status, CAST(NULL AS VARCHAR) AS error FROM events),
 {_after_sql(0, 'clean', "'clean', 'json', 'html'", 'failed')}, {_after_sql(1, 'json', "'json', 'html'", 'failed')}, {_after_sql(2, 'html', "'html'", 'render_failed')} SELECT event_id, status, error FROM p3""",
+    "novel_index_search": "SELECT c_custkey AS id, c_name AS title FROM customer WHERE contains(lower(c_name), 'r#00000')",
     "phase_totals": "SELECT user_id AS novel_id, count(*) FILTER (value >= 20) AS processed, count(*) FILTER (value < 20) AS failed FROM events GROUP BY 1",
     "run_summaries": f"""WITH p AS ({R.ORACLE_SQL['incremental_plan']})
 SELECT CAST(filename AS BIGINT) % 10 AS job, count(*) FILTER (outcome = 'processed') AS created, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'failed') AS errors, count(*) AS total,
@@ -266,3 +289,4 @@ CASE WHEN page_id % 2 = 0 THEN 'completed' ELSE 'active' END AS status FROM page
     "preferred_styles": f"""WITH s AS ({R.ORACLE_SQL['speaker_styles']}) SELECT speaker, CASE WHEN speaker LIKE '%7' THEN '#fff' ELSE color END AS shown_color, CASE WHEN speaker LIKE '%7' THEN lower(speaker) ELSE speaker END AS shown_name FROM s""",
     "speaker_mentions": "SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), 'and')) AS BIGINT) AS mentions FROM documents",
 }
+ORACLE_SQL["phase_table"] = ORACLE_SQL["phase_states"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="scriptorium-checkpoints-"))
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4()}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and cut its lineage there."""
     ensure_checkpoint_dir(df.sparkSession)
