@@ -5,6 +5,8 @@ Patterns keep UNIX line ends: ``(?d)`` lets ``.`` and ``$`` stop at a newline on
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,12 +134,30 @@ def _quoted(word: str) -> str:
     return "".join(f"\\{c}" if not c.isalnum() and ord(c) < 128 else c for c in word)
 
 
+def resolve_references(x: Column) -> Column:
+    """Character references (``&eacute;``, ``&#233;``, ``&#xe9;``) as characters; names are those of
+    HTML 4, unknown ones and numbers beyond Unicode stay as they are."""
+    names = F.create_map(*[F.lit(v) for name, point in sorted(name2codepoint.items()) for v in (name, chr(point))], F.lit("apos"), F.lit("'"))
+    of_point = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    sound = lambda n: F.when((n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF), n)
+
+    def part(p: Column) -> Column:
+        name = F.regexp_extract(p, r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        point = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 9))
+        char = F.coalesce(of_point(sound(point.try_cast("long"))), F.try_element_at(names, name))
+        return F.coalesce(F.concat(char, F.substr(p, F.length(name) + 2)), F.concat(F.lit("&"), p))
+
+    parts = F.split(x, "&")
+    resolved = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), part), ""))
+    return F.when(F.contains(x, F.lit("&")), resolved).otherwise(x)
+
+
 def html_to_text(html: Column) -> Column:
-    """Visible text of markup, one line a block: without script, style, comments and tags;
-    the five common entities are resolved and empty lines dropped."""
+    """Visible text of markup, one line a text between tags: without script, style, comments and
+    tags (a ``>`` in quotes ends none, and a ``<`` before a blank is text), with character
+    references resolved, runs of blanks as one and empty lines dropped."""
     x = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
-    x = F.regexp_replace(x, r"(?s)<[^>]*>", "\n")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(char))
-    lines = F.filter(F.transform(F.split(x, "\n"), strip), lambda p: p != "")
+    x = F.regexp_replace(x, r"""<[a-zA-Z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>""", "\n")
+    x = resolve_references(F.regexp_replace(x, r"<[a-zA-Z/!?][^>]*>", "\n"))
+    lines = F.filter(F.transform(F.split(x, "\n"), lambda p: strip(F.regexp_replace(p, r"[ \t]+", " "))), lambda p: p != "")
     return F.array_join(lines, "\n")

@@ -154,8 +154,14 @@ def html_fields(spark, d):
     )
 
 
+_ODD_HTML = """<p title="a > b" class='c>d'>caf&eacute;  &#233;\t&#xE9; &#128512; &lt;b&gt; &unknown; &amp;lt; 1 < 2 &copy</p><!-- <a href="/x"> -->"""
+_ODD_TEXT = "café é é 😀 <b> &unknown; &lt; 1 < 2 &copy"
+
+
 def page_text(spark, d):
-    return table(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+    """Visible text of pages, every other one with references, quotes, blanks and a lone mark before it."""
+    odd = F.when(F.col("page_id") % 2 == 0, _ODD_HTML).otherwise("")
+    return table(spark, d, "pages").select("page_id", text.html_to_text(F.concat(odd, F.coalesce("html", F.lit("")))).alias("text"))
 
 
 def _book(spark, d):
@@ -228,6 +234,8 @@ lags AS (SELECT doc_id, line_no, v - row_number() OVER w AS lag FROM nums WHERE
 same AS (SELECT *, lag = first(lag) OVER (PARTITION BY doc_id ORDER BY line_no) AS s FROM lags),
 runs AS (SELECT doc_id, line_no FROM (SELECT *, bool_and(s) OVER (PARTITION BY doc_id ORDER BY line_no) AS good FROM same) WHERE good QUALIFY count(*) OVER (PARTITION BY doc_id) >= 2)"""
 
+_BLANKS = "regexp_replace(x, '[ \\t]+', ' ', 'g')"
+
 ORACLE_SQL = {
     "clean_texts": f"""WITH dirty AS ({_DIRTY_SQL}), c AS (SELECT doc_id, string_split({_SPACE(_CLEANED)}, chr(10)) AS ls FROM dirty)
 SELECT doc_id, regexp_replace(list_aggregate(list_transform(ls, lambda x: {_STRIP('x')}), 'string_agg', chr(10)), '^\\n+|\\n+$', '', 'g') AS text FROM c""",
@@ -263,9 +271,10 @@ WHEN contains(m, '429') OR contains(m, 'rate limit') OR contains(m, 'rate_limit'
 length(p_name) BETWEEN 1 AND 500 AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') AND p_size >= 10 AS valid FROM part""",
     "series_fields": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'n-' || page_id ELSE CAST(page_id AS VARCHAR) END AS series, ['active', 'completed', 'dropped', 'active'][CAST(page_id % 4 + 1 AS INT)] AS status, 'https://x.y/c.jpg' AS cover FROM pages",
     "html_fields": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1[^>]*>([^<]+)</h1>', 1) AS heading, array_to_string(list_filter(list_transform(regexp_extract_all(html, '<a[^>]*>([^<]+)</a>', 1), lambda t: trim(t)), lambda t: t <> '')[1:10], '|') AS tags FROM pages",
-    "page_text": rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'gis'), '<[^>]*>', chr(10), 'gs') AS t FROM pages),
-b AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM a)
-SELECT page_id, coalesce(list_aggregate(list_filter(list_transform(string_split(t, chr(10)), lambda x: {_STRIP('x')}), lambda x: x <> ''), 'string_agg', chr(10)), '') AS text FROM b""",
+    "page_text": rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'gis'), '<[a-zA-Z/!?](?:[^>"'']|"[^"]*"|''[^'']*'')*>', chr(10), 'gs') AS t FROM pages),
+b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[a-zA-Z/!?][^>]*>', chr(10), 'gs'), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM a),
+c AS (SELECT page_id, coalesce(list_aggregate(list_filter(list_transform(string_split(t, chr(10)), lambda x: {_STRIP(_BLANKS)}), lambda x: x <> ''), 'string_agg', chr(10)), '') AS t FROM b)
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN rtrim('{_ODD_TEXT}' || chr(10) || t, chr(10)) ELSE t END AS text FROM c""",
     "chapters_split": rf"""WITH books AS ({_BOOK}), {_LINES}, {_NUMBERS},
 heads AS (SELECT l.*, regexp_matches(line, '(?i)^[ \t]*(?:chapter|ch\.?|episode|ep\.?)\s+\d+.*$') OR (regexp_matches(line, '(?i)^[ \t]*(?:chapter|ch\.?|episode|ep\.?)[ \t]*$') AND coalesce(regexp_matches(lead(line) OVER (PARTITION BY doc_id ORDER BY line_no), '^[ \t]*\d+'), false)) AS head FROM lines l),
 final AS (SELECT h.doc_id, h.line_no, line, CASE WHEN bool_or(head) OVER (PARTITION BY h.doc_id) THEN head ELSE r.line_no IS NOT NULL END AS head FROM heads h LEFT JOIN runs r ON h.doc_id = r.doc_id AND h.line_no = r.line_no),
