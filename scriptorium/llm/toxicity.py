@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.arrow import with_column_of_text
+from scriptorium.llm.arrow import give_back, with_column_of_text
 from scriptorium.llm.sampling import labelled_sample
 from scriptorium.session import table
 
@@ -181,15 +181,20 @@ def document_features(scores: np.ndarray) -> np.ndarray:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> tuple[np.ndarray, float]:
-    """Linear squared-hinge machine by Newton steps on its active rows."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
+    """Linear squared-hinge machine by Newton steps on its active rows, some rows at a time."""
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-3
     for _ in range(30):
-        active = y * (z @ w) < 1
-        za = z[active] * (c * weight[active])[:, None]
-        new = np.linalg.solve(ridge + za.T @ z[active], za.T @ y[active])
+        left, right = ridge.copy(), np.zeros(len(w))
+        for at in range(0, len(x), 4096):
+            some = slice(at, at + 4096)
+            z = np.hstack([x[some].astype(np.float64), np.ones((len(x[some]), 1))])
+            active = y[some] * (z @ w) < 1
+            za = z[active] * (c * weight[some][active])[:, None]
+            left += za.T @ z[active]
+            right += za.T @ y[some][active]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
@@ -252,13 +257,16 @@ def fit(docs: list[tuple[bytes, int]]) -> Model:
     labels = np.array([y for _, y in docs])
     if not len(docs) or labels.min() == labels.max():
         return nothing
-    split = [units_of(t) for t, _ in docs]
-    raw = sorted(set().union(*split))
+    seen_units: set[bytes] = set()
+    for text, _ in docs:  # texts are cut twice, as the units of all of them at once are many
+        seen_units.update(units_of(text))
+    raw = sorted(seen_units)
     if not raw:
         return nothing
     index = {u: n for n, u in enumerate(raw)}
     names = [u.decode("utf-8", "replace") for u in raw]
-    rows = [np.array([index[u] for u in us], dtype=np.int64) for us in split]
+    del seen_units
+    rows = [np.fromiter(map(index.__getitem__, units_of(t)), np.int32) for t, _ in docs]
     own = [np.unique(r) for r in rows]
     unseen = np.array([_draw(t, 2) % FOLDS == 0 for t, _ in docs])
     if any(len(set(labels[part].tolist())) < 2 for part in (unseen, ~unseen)):
@@ -282,8 +290,11 @@ def fit(docs: list[tuple[bytes, int]]) -> Model:
 
     def mapped(units: list[str]) -> np.ndarray:
         new = sorted(set(units).difference(known))
-        known.update(zip(new, unit_kernel(new, rows_of, space) @ root, strict=True))
-        return np.array([known[u] for u in units]).reshape(len(units), root.shape[1])
+        known.update(zip(new, (unit_kernel(new, rows_of, space) @ root).astype(np.float32), strict=True))
+        out = np.empty((len(units), root.shape[1]), dtype=np.float32)
+        for n, u in enumerate(units):
+            out[n] = known[u]
+        return out
 
     seen = [(r, y) for r, y, out in zip(own, labels, unseen, strict=True) if len(r) and not out]
     judged = unseen if unseen.any() else ~unseen
@@ -357,7 +368,12 @@ class Scorer:
 def train(documents: DataFrame, labels: DataFrame) -> Model:
     """Fits on a bounded sample of ``documents(doc_id, text)`` that ``labels(doc_id, toxic)`` knows."""
     rows = labelled_sample(documents, labels, "toxic", {1: MAX_TOXIC, 0: MAX_CLEAN}).collect()  # bounded by the two limits
-    return fit(sorted(((r["text"] or "").encode(), r["label"]) for r in rows))
+    docs = [((r["text"] or "").encode(), r["label"]) for r in rows]
+    del rows
+    give_back()
+    model = fit(docs)
+    give_back()
+    return model
 
 
 def with_score(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
