@@ -104,3 +104,15 @@ def test_tags_and_lock(spark):
 def test_display_title(spark):
     assert one(spark, names.display_title(F.lit("008 Chapter 8 A Life 4"))) == "Chapter 8 - A Life 4"
     assert one(spark, names.display_title(F.lit("000 Chapter 1"))) == "Chapter 1"
+
+
+def test_references_and_odd_marks_in_markup(spark):
+    pages = [
+        ('<p title="a > b">x &eacute;&#233;&#xE9;&apos;&nbsp;</p>', "x ééé'"),
+        ("a \t  b<br>1 < 2 &amp;lt; &nope; &#1114112; &#128512;", "a b\n1 < 2 &lt; &nope; &#1114112; 😀"),
+        ("<style>p{}</style><!-- <a>no</a> -->é & <b>&copy</b>", "é &\n&copy"),
+        ("", ""),
+    ]
+    df = spark.createDataFrame(pages, "html string, want string")
+    assert all(r["got"] == r["want"] for r in df.select(text.html_to_text(df["html"]).alias("got"), "want").collect())
+    assert df.limit(1).selectExpr("cast(null as string) html").select(text.html_to_text(F.col("html"))).first()[0] is None
