@@ -7,7 +7,8 @@ these. A row fits if it has all trigrams of the query and, on its own text, the
 itself; a query of one or two characters is the beginning of a trigram.
 
 Defined cases: null texts are not indexed and fit nothing; the empty query fits every text;
-rows that repeat a key count as one text each, and a key fits if one of them does.
+rows that repeat a key count as one text each, and a key fits if one of them does; their
+postings may repeat.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ def _grams(text: Column) -> Column:
 
 def write_index(rows: DataFrame, key: str, text: str, path: str) -> None:
     """The index of ``rows(key, text)`` as a table at ``path``."""
-    low = F.concat(F.lower(text), F.lit(END))
-    grams = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.explode(_grams(low)).alias("gram"))
-    spread = grams.distinct().withColumn("bucket", _bucket(F.col("gram")))
-    # A frequent trigram is spread by the keys, too: no trigram is one task.
-    dealt = spread.repartition(F.col("bucket"), F.pmod(F.xxhash64("key"), F.lit(8)))
-    dealt.sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    texts = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.concat(F.lower(text), F.lit(END)).alias("low"))
+    # Dealt before each text becomes many postings: one file may be one task, and would hold all of them.
+    dealt = texts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "low")
+    postings = dealt.select("key", F.explode(_grams(F.col("low"))).alias("gram")).withColumn("bucket", _bucket(F.col("gram")))
+    # By ranges with the key in them: a frequent trigram is as many tasks as it needs.
+    ranges = postings.repartitionByRange("bucket", "gram", "key")
+    ranges.sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def postings_of(spark: SparkSession, path: str, query: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from scriptorium.operators import search
@@ -26,3 +27,13 @@ def test_a_query_reads_its_own_postings(spark, tmp_path):
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "gram" in plan.split("PushedFilters: [")[1].split("]")[0]
     assert {r["gram"] for r in found.collect()} == {"q16"}
+
+
+def test_texts_are_dealt_before_they_become_postings(spark, tmp_path, monkeypatch):
+    """One file with all texts is one task: it must not hold all their postings."""
+    written = []
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, **_: written.append(self._df))
+    rows = spark.range(3000).select("id", F.concat(F.lit("Title #0000"), "id").alias("title")).coalesce(1)
+    search.write_index(rows, "id", "title", f"{tmp_path}/index")
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan.split("Generate", 1)[1] and "Aggregate" not in plan
