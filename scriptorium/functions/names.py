@@ -28,9 +28,9 @@ def suffix(path: Column) -> Column:
 
 def title_case(x: Column) -> Column:
     """A capital after any character that is no letter, small letters else."""
-    words = F.regexp_extract_all(x, F.lit(r"(\p{L}+|\P{L}+)"), 1)
-    big = F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))))
-    return F.array_join(big, "")
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
+    runs = F.regexp_extract_all(x, F.lit(r"(\p{L}+|\P{L}+)"), 1)
+    return F.when(F.rlike(x, F.lit(r"\P{L}")), F.array_join(F.transform(runs, capital), "")).otherwise(capital(x))
 
 
 def humanise(name: Column) -> Column:
@@ -41,16 +41,13 @@ def humanise(name: Column) -> Column:
 def title_from_filename(name: Column) -> Column:
     """A readable title: no extension, nothing from "- Book N" on, marks at the ends of words
     off, words in title case but for acronyms of up to four letters."""
-    whole = F.coalesce(name, F.lit(""))
-    bare = F.regexp_replace(whole, r"(?i)\.(?:epub|txt|pdf|mobi)$", "")
-    cut = F.regexp_replace(bare, r"(?is)\s*-\s*book\s+\d+.*$", "")
-    cut = F.regexp_replace(F.replace(cut, F.lit("_"), F.lit(" ")), r"\s*-\s*", " ")
-    words = F.transform(F.split(cut, r"(?U)\s+"), lambda w: F.regexp_replace(w, "^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$", ""))
-    words = F.filter(words, lambda w: w != "")
+    bare = F.regexp_replace(F.coalesce(name, F.lit("")), r"(?i)\.(?:epub|txt|pdf|mobi)$", "")
+    cut = F.regexp_replace(bare, r"(?is)(?<!\s)\s*-\s*book\s+\d+.*$", "")
+    # Words lie between spaces, underscores and hyphens; each is taken from its first to its last letter or digit.
+    words = F.regexp_extract_all(cut, F.lit(r"(?U)[a-zA-Z0-9](?:[^\s_-]*[a-zA-Z0-9])?"), 0)
     acronym = lambda w: (F.length(w) <= 4) & (w == F.upper(w)) & (w != F.lower(w))
     titled = F.array_join(F.transform(words, lambda w: F.when(acronym(w), w).otherwise(title_case(w))), " ")
-    fallback = F.coalesce(F.nullif(strip(bare), F.lit("")), F.lit(UNTITLED))
-    return F.when(strip(whole) == "", UNTITLED).otherwise(F.coalesce(F.nullif(titled, F.lit("")), fallback))
+    return F.coalesce(F.nullif(titled, F.lit("")), F.nullif(strip(bare), F.lit("")), F.lit(UNTITLED))
 
 
 def chapter_filename(index: Column, title: Column) -> Column:

@@ -46,6 +46,13 @@ def test_title_from_filename(spark, name, expected):
     assert one(spark, names.title_from_filename(F.lit(name))) == expected
 
 
+def test_title_cuts_a_name_once(spark):
+    """A name may be a whole text: its words are taken once for the title and the test of an empty one."""
+    df = spark.createDataFrame([("my-don't__b!!NASA - Book 2.epub",), (" - ",), (None,)], "name string").select(names.title_from_filename(F.col("name")).alias("title"))
+    assert [r["title"] for r in df.collect()] == ["My Don'T B!!Nasa", "-", "Untitled Novel"]
+    assert df._jdf.queryExecution().executedPlan().toString().count("book") == 1
+
+
 @pytest.mark.parametrize("x", ["", "b" * 777, "夜" * 41, "abcdefg", "é" * 4])
 def test_token_estimate(spark, x):
     assert one(spark, text.token_estimate(F.lit(x))) == len(x) // 4
